@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import langid, media, toxicity
+from quillmesh.llm import langid, media, mixing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media": media.op1_media,
         "op2_toxicity": toxicity.op2_toxicity,
         "op5_language_id": langid.op5_language_id,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.ORACLE_OP10}
