@@ -62,6 +62,25 @@ def price(duals: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float,
     return float(value[capacity]), counts
 
 
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A small product without the threads of a linear-algebra library."""
+    return (matrix * vector).sum(1)
+
+
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots."""
+    m = len(matrix)
+    a = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(a[k:, k]).argmax())
+        a[[k, p]] = a[[p, k]]
+        a[k] /= a[k, k]
+        rest = a[:, k].copy()
+        rest[k] = 0
+        a -= np.outer(rest, a[k])
+    return a[:, m:]
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, amounts) of the linear program min sum x, patterns.T x = demand, x >= 0.
 
@@ -70,27 +89,27 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap
     m = len(lengths)
     patterns = np.diag(capacity // lengths).astype(np.int64)
     inverse = np.diag(1.0 / np.diag(patterns))
-    x = inverse @ demand.astype(float)
+    x = times(inverse, demand)
     # lengths over capacity are feasible duals: their bound is the area
     centre = lengths / capacity
-    bound = float(demand @ centre)
+    bound = float((demand * centre).sum())
     for step in range(20 * m + 100):
         if step and step % 500 == 0:
-            inverse = np.linalg.inv(patterns.T.astype(float))
-            x = np.maximum(inverse @ demand, 0)
+            inverse = invert(patterns.T)
+            x = np.maximum(times(inverse, demand), 0)
         if x.sum() <= bound * (1 + gap):
             break
         duals = inverse.sum(0)
         for share in SMOOTHING:
             mixed = share * centre + (1 - share) * duals
             value, column = price(mixed, lengths, capacity)
-            if (new := float(demand @ mixed) / max(1.0, value)) > bound:
+            if (new := float((demand * mixed).sum()) / max(1.0, value)) > bound:
                 bound, centre = new, mixed / max(1.0, value)
-            if duals @ column > 1 + 1e-9:
+            if (duals * column).sum() > 1 + 1e-9:
                 break
         else:
             break
-        direction = inverse @ column
+        direction = times(inverse, column)
         positive = np.flatnonzero(direction > 1e-9)
         ratios = x[positive] / direction[positive]
         out = positive[int(ratios.argmin())]
@@ -135,10 +154,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH
     slots: list[tuple[int, int, int, int, int, int]] = []
     sequence = 0
 
-    def place(copies: list[list[tuple[int, int, int]]], times: int) -> None:
-        """``copies``: for each member of a pattern, runs (length index, first rank, number) that add up to ``times``."""
+    def place(copies: list[list[tuple[int, int, int]]], total: int) -> None:
+        """``copies``: for each member of a pattern, runs (length index, first rank, number) that add up to ``total``."""
         nonlocal sequence
-        cuts = sorted({0, times, *(int(c) for runs in copies for c in np.cumsum([n for _, _, n in runs]))})
+        cuts = sorted({0, total, *(int(c) for runs in copies for c in np.cumsum([n for _, _, n in runs]))})
         at = [[0, 0] for _ in copies]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             now = [(runs[k][0], runs[k][1] + used) for runs, (k, used) in zip(copies, at, strict=True)]
@@ -150,30 +169,30 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH
                 pos[1] += hi - lo
                 if pos[1] == runs[pos[0]][2]:
                     pos[:] = [pos[0] + 1, 0]
-        sequence += times
+        sequence += total
 
-    def take(members: np.ndarray, times: int) -> list[tuple[int, int, int]]:
+    def take(members: np.ndarray, wanted: int) -> list[tuple[int, int, int]]:
         runs = []
         for i in members.tolist():
-            if (n := min(times, int(left[i]))) > 0:
+            if (n := min(wanted, int(left[i]))) > 0:
                 runs.append((i, int(taken[i]), n))
                 left[i] -= n
                 taken[i] += n
-                times -= n
+                wanted -= n
         return runs
 
     bins, of = np.unique(-(-lengths // width), return_inverse=True)
     demand = np.bincount(of, weights=left).astype(np.int64)
     patterns, amounts = solve(bins, demand, capacity // width)
     members = [np.flatnonzero(of == k) for k in range(len(bins))]
-    for row, times in zip(patterns, np.floor(amounts + 1e-6).astype(np.int64).tolist(), strict=True):
+    for row, n_times in zip(patterns, np.floor(amounts + 1e-6).astype(np.int64).tolist(), strict=True):
         used = np.flatnonzero(row)
         have = np.array([left[members[k]].sum() for k in used])
-        times = min([times, *(have // row[used]).tolist()])
-        if times > 0:
-            place([take(members[k], times) for k in used[::-1] for _ in range(int(row[k]))], times)
-    for key, times in sorted(best_fit(lengths, left, capacity).items()):
-        place([take(np.array([k]), times) for k, per in key[::-1] for _ in range(per)], times)
+        n_times = min([n_times, *(have // row[used]).tolist()])
+        if n_times > 0:
+            place([take(members[k], n_times) for k in used[::-1] for _ in range(int(row[k]))], n_times)
+    for key, n_times in sorted(best_fit(lengths, left, capacity).items()):
+        place([take(np.array([k]), n_times) for k, per in key[::-1] for _ in range(per)], n_times)
     return slots, sequence
 
 
