@@ -31,7 +31,7 @@ CAPACITY = 1024
 #: Column generation ends when the dual bound shows that it can save no more than this share.
 GAP = 1e-3
 #: Tokens to a bar of the length histogram: patterns are priced on lengths rounded up to it.
-WIDTH = 4
+WIDTH = 8
 #: Shares of the best duals so far in the duals that are priced, tried in turn: they keep the duals from swinging.
 SMOOTHING = (0.9, 0.6, 0.0)
 #: Parts that the ranks within a length are counted in, so that no length is one task.
