@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import langid, media, mixing, packing, pii, simhash, toxicity
+from quillmesh.llm import langid, media, mixing, packing, pii, separators, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_pii": pii.op4_pii,
         "op5_language_id": langid.op5_language_id,
+        "op6_token_counts": separators.op6_token_counts,
         "op8_packing": packing.op8_packing,
         "op9_simhash": simhash.op9_simhash,
         "op10_mixing": mixing.op10_mixing,

@@ -19,10 +19,11 @@ class Encoder:
 
     ``tiktoken`` holds the same merges as ranks and gives the same ids for plain
     text of Latin letters; other texts, and texts with the special token's
-    string, go through ``tokenizers`` itself.
+    string, go through ``tokenizers`` itself. Without ``special`` that string
+    is ordinary text.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, vocabulary: str = VOCABULARY, special: bool = True):
         import base64
 
         import public_tokenizers
@@ -33,12 +34,14 @@ class Encoder:
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.file = public_tokenizers.path(f"{vocabulary}.json")
         self.exact = None
+        self.special = special
 
     def __call__(self, text: str) -> np.ndarray:
-        if FAR.search(text) or MARK in text:
+        if FAR.search(text) or (self.special and MARK in text):
             if self.exact is None:
                 from tokenizers import Tokenizer
 
                 self.exact = Tokenizer.from_file(self.file)
+                self.exact.encode_special_tokens = not self.special
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
