@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import langid, media, mixing, packing, pii, separators, simhash, toxicity
+from quillmesh.llm import hnsw, langid, media, mixing, packing, pii, separators, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": media.op1_media,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_hnsw": hnsw.op3_hnsw,
         "op4_pii": pii.op4_pii,
         "op5_language_id": langid.op5_language_id,
         "op6_token_counts": separators.op6_token_counts,

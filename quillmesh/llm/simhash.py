@@ -196,6 +196,18 @@ def simhash_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     return rows.join(group(rows), "fp")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one of the least id (of repeated rows, one)."""
+    columns = docs.columns
+    rows = materialise(with_fingerprint(docs, tuple(columns)), "fingerprints")
+    groups = group(rows)
+    first = rows.select("doc_id", "fp").distinct().join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # an id that repeats with other texts stands once for a component
+    one = first.groupBy("class_fp", "component_id").agg(F.min("fp").alias("first_fp")).select("component_id", "first_fp")
+    named = rows.join(one, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp")), "left_semi")
+    return named.dropDuplicates(["doc_id", "fp"]).select(*columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_groups(table(spark, sf_dir, "documents"))
