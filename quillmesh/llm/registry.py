@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import hnsw, langid, media, mixing, packing, pii, separators, simhash, toxicity
+from quillmesh.llm import hnsw, langid, media, mixing, packing, pii, repeats, separators, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": pii.op4_pii,
         "op5_language_id": langid.op5_language_id,
         "op6_token_counts": separators.op6_token_counts,
+        "op7_repeats": repeats.op7_repeats,
         "op8_packing": packing.op8_packing,
         "op9_simhash": simhash.op9_simhash,
         "op10_mixing": mixing.op10_mixing,
