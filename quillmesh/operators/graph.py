@@ -29,7 +29,7 @@ def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFr
 
     if k <= 0:
         raise ValueError("k must be positive")
-    unit = lambda df, name: df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), l2_normalise(F.col(vector)).alias("v")).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    unit = lambda df, name: df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), l2_normalise(F.col(vector)).alias("v")).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = unit(nodes, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = unit(nodes if others is None else others, "b").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -37,7 +37,7 @@ def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFr
         out: dict[str, list] = {"src": [], "dst": [], "cos": []}
         if x.num_rows and y.num_rows:
             ids, vs = (t.column("id").to_numpy() for t in (x, y)), (t.column("v").combine_chunks() for t in (x, y))
-            (xi, yi), (xv, yv) = ids, (v.values.to_numpy().reshape(len(v), -1) for v in vs)
+            (xi, yi), (xv, yv) = ids, (v.flatten().to_numpy().reshape(len(v), -1) for v in vs)
             order = np.argsort(yi)
             yi, yv = yi[order], yv[order]
             for i, v in zip(xi.tolist(), xv, strict=True):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.plans import gate_queries, registry, text_queries
+from quillmesh.plans import corpus, gate_queries, rank_queries, registry, text_queries
 
-MODULES = (text_queries, gate_queries)
+#: Importing these modules registers their queries.
+MODULES = (text_queries, gate_queries, rank_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["q_clean_text"](spark, sf_dir)
+    return corpus.flagship(registry.table(spark, sf_dir, "documents"), registry.table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, registry.Query]:
