@@ -188,7 +188,7 @@ def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         reps = rows.column("rep").to_numpy()
         order = np.argsort(reps)
-        vectors = rows.column("vec").combine_chunks().values.to_numpy().reshape(len(reps), -1)[order]
+        vectors = rows.column("vec").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[order]
         g = Graph(vectors).build()
         flat = lambda a, t: np.ascontiguousarray(a, t).tobytes()
         return pa.table({
@@ -225,7 +225,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF, que
         if left.num_rows and right.num_rows:
             reps, vectors, g = load(left.to_pylist()[0])
             names = right.column("q").to_numpy()
-            qs = right.column("vec").combine_chunks().values.to_numpy().reshape(len(names), -1)
+            qs = right.column("vec").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
             for lo in range(0, len(names), BATCH):
                 part = qs[lo : lo + BATCH]
                 for name, q, found in zip(names[lo : lo + BATCH], part, g.search(part, k + 1, ef), strict=True):

@@ -32,16 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Batches, free_shuffles, materialise, table
+from quillmesh.llm.common import free_shuffles, materialise, small_batches, table
 from quillmesh.llm.induced import suffix_array
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of text to a shard, about.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
+#: Bytes of documents whose texts and findings meet in one task.
+PART_BYTES = 12 << 20
 #: Bytes of documents hashed at a time, and symbols sorted at a time (a name's pieces stay together).
 CHUNK_BYTES = 256 << 10
-SORT_SYMBOLS = 2 << 20
+#: Bytes of documents whose pieces go out together.
+FLUSH_BYTES = 6 << 20
+SORT_SYMBOLS = 1 << 20
 NULL_ID = (1 << 63) - 1
 
 
@@ -92,7 +96,8 @@ BLOB_SQL = "shard int, id binary, tag binary, count binary, name binary, low bin
 
 def keyed(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(raw).alias("tag"), raw.alias("raw"), F.col("doc_id"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select(key.alias("id"), F.hash(key, raw).alias("tag"), raw.alias("raw"), F.col("doc_id"))
 
 
 def runs(rows: DataFrame, shards: int) -> DataFrame:
@@ -122,15 +127,19 @@ def runs(rows: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            parts, texts, first, size = [], [], 0, 0
+            parts, texts, first, size, held = [], [], 0, 0, 0
             for k, x in enumerate(b.column(2)):
                 raw = x.as_py()
                 texts.append(raw)
                 size += len(raw)
                 if size >= CHUNK_BYTES or k + 1 == b.num_rows:
                     v, doc, start, windows = runs_of(texts)
-                    parts.append((v, doc + first, start, windows))
+                    parts.append((v, (doc + first).astype(np.int32), start.astype(np.int32), windows.astype(np.int32)))
+                    held += size
                     texts, first, size = [], k + 1, 0
+                if held >= FLUSH_BYTES:
+                    yield from pack(parts, ids, tags)
+                    parts, held = [], 0
             yield from pack(parts, ids, tags)
 
     return rows.select("id", "tag", "raw").mapInArrow(run, BLOB_SQL)
@@ -140,9 +149,23 @@ def unpack(blobs: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in blobs.column(column)])
 
 
-def survivors(blobs: DataFrame) -> DataFrame:
-    """(id, tag, shard, sub, start, windows) arrays of the pieces whose name occurs under two ids."""
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("shard", pa.int32()), ("sub", pa.binary()), ("start", pa.binary()), ("windows", pa.binary())])
+def blob_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    """A table of the rows, in which numpy arrays stand for their bytes."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    raw = lambda v: v.tobytes() if isinstance(v, np.ndarray) else v
+    return pa.table([pa.array([raw(v) for v in c], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def blob_schema(*numbers: str, blobs: tuple[str, ...]) -> tuple[pa.Schema, str]:
+    fields = [(n, pa.int32()) for n in numbers] + [(n, pa.binary()) for n in blobs]
+    return pa.schema(fields), ", ".join([f"{n} int" for n in numbers] + [f"{n} binary" for n in blobs])
+
+
+FOUND, FOUND_SQL = blob_schema("part", "shard", blobs=("id", "tag", "count", "sub", "start", "windows"))
+
+
+def survivors(blobs: DataFrame, parts: int) -> DataFrame:
+    """The pieces whose name occurs under two ids, as blobs by the part of their document."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         count = unpack(rows, "count", "<u4")
@@ -154,42 +177,55 @@ def survivors(blobs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
         near = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
         at = order[np.repeat(near, np.diff(np.append(first, len(v))))]
-        at = at[np.lexsort((start[at], tags[at], ids[at]))]
-        heads, n, _ = by_doc(ids[at], tags[at])
-        cut = lambda a, t: [a[at[i : i + k]].astype(t).tobytes() for i, k in zip(heads.tolist(), n.tolist(), strict=True)]
-        return pa.table(
-            [pa.array(ids[at[heads]], pa.int64()), pa.array(tags[at[heads]], pa.int32()), pa.array(np.full(len(heads), key[0].as_py()), pa.int32()), pa.array(cut(sub, "u1"), pa.binary()), pa.array(cut(start, "<u4"), pa.binary()), pa.array(cut(windows, "<u4"), pa.binary())],
-            schema=schema,
-        )
+        part = tags[at].astype(np.int64) % parts
+        again = np.lexsort((start[at], tags[at], ids[at], part))
+        at, part = at[again], part[again]
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        out = []
+        for p in range(parts):
+            own = at[edges[p] : edges[p + 1]]
+            if len(own):
+                heads, n, _ = by_doc(ids[own], tags[own])
+                out.append((p, key[0].as_py(), ids[own[heads]], tags[own[heads]], n.astype("<u4"), sub[own], start[own], windows[own]))
+        return blob_table(out, FOUND)
 
-    return blobs.groupBy("shard").applyInArrow(run, "id long, tag int, shard int, sub binary, start binary, windows binary")
+    return blobs.groupBy("shard").applyInArrow(run, FOUND_SQL)
 
 
-def pieces(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Blobs (shard, id, tag, count, sub, start, windows, bytes) of the surviving pieces with their bytes."""
-    held = found.groupBy("id", "tag").agg(F.collect_list(F.struct("shard", "sub", "start", "windows")).alias("held"))
-    # repeated rows have one id and tag, and so the same pieces
-    joined = rows.select("id", "tag", "raw").join(held, ["id", "tag"])
-    schema = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("tag", pa.int32()), ("sub", pa.binary()), ("start", pa.binary()), ("windows", pa.binary()), ("bytes", pa.binary())])
+PIECES, PIECES_SQL = blob_schema("part", "shard", blobs=("id", "tag", "count", "sub", "start", "windows", "bytes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Batches(schema)
-        for b in batches:
-            for i, t, x, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw = x.as_py()
-                for h in held.as_py():
-                    start, windows = np.frombuffer(h["start"], "<u4"), np.frombuffer(h["windows"], "<u4")
-                    cut = b"".join([raw[a : a + n + LENGTH - 1] for a, n in zip(start.tolist(), windows.tolist(), strict=True)])
-                    out.add((h["shard"], i, t, h["sub"], h["start"], h["windows"], cut), len(cut) + 64)
-                if out.full():
-                    yield from out.take()
-        yield from out.take()
 
-    return joined.mapInArrow(run, "shard int, id long, tag int, sub binary, start binary, windows binary, bytes binary")
-
-
-def least_ids(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each distinct piece with its least id: the least id of each of its windows among all pieces."""
+def pieces(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The blobs of ``found`` with the bytes of their pieces, compressed."""
+
+    def run(key: tuple, docs: pa.Table, blobs: pa.Table) -> pa.Table:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        # repeated rows have one id and tag, and so the same pieces
+        texts = {(i, t): k for k, (i, t) in enumerate(zip(docs.column("id").to_pylist(), docs.column("tag").to_pylist(), strict=True))}
+        raws = docs.column("raw")
+        out = []
+        for b in blobs.to_pylist():
+            cuts = []
+            doc = zip(np.frombuffer(b["id"], "<i8").tolist(), np.frombuffer(b["tag"], "<i4").tolist(), np.frombuffer(b["count"], "<u4").tolist(), strict=True)
+            spans_ = iter(zip(np.frombuffer(b["start"], "<u4").tolist(), np.frombuffer(b["windows"], "<u4").tolist(), strict=True))
+            for i, t, n in doc:
+                raw = raws[texts[i, t]].as_py()
+                for _ in range(n):
+                    a, w = next(spans_)
+                    cuts.append(raw[a : a + w + LENGTH - 1])
+            out.append((b["part"], b["shard"], b["id"], b["tag"], b["count"], b["sub"], b["start"], b["windows"], press.compress(b"".join(cuts))))
+        return blob_table(out, PIECES)
+
+    return rows.select("part", "id", "tag", "raw").groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, PIECES_SQL)
+
+
+def least_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a piece's windows occur under a smaller id than its own, as (piece, from, to) of runs of windows.
+
+    ``texts`` are distinct, ``ids`` the least id of each.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
@@ -202,10 +238,13 @@ def least_ids(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     group = np.cumsum(lcp < LENGTH) - 1
     at, group = sa[whole], group[whole]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    low = np.minimum.reduceat(ids[piece[at]], first)
-    least = np.full(len(symbols), NULL_ID)
-    least[at] = np.repeat(low, np.diff(np.append(first, len(group))))
-    return [least[a : a + n - LENGTH + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    own = ids[piece[at]]
+    low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(group))))
+    flags = np.zeros(len(symbols) + 1, bool)
+    flags[at[low < own]] = True
+    lo, hi = spans(flags[:-1])
+    of = piece[lo]
+    return of, lo - starts[of], hi - starts[of]
 
 
 def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,65 +253,74 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+CUTS, CUTS_SQL = blob_schema("part", blobs=("id", "tag", "count", "ranges"))
+
+
 def matches(blobs: DataFrame) -> DataFrame:
-    """(id, tag, ranges): byte ranges to remove, as flat little-endian (start, end) pairs."""
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("ranges", pa.binary())])
+    """Byte ranges to remove, as blobs by part: ids and tags with counts, and (start, end) pairs."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, tags = rows.column("id").to_pylist(), rows.column("tag").to_pylist()
-        subs = [np.frombuffer(x.as_buffer(), "u1") for x in rows.column("sub")]
-        starts = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("start")]
-        widths = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("windows")]
-        data = [x.as_py() for x in rows.column("bytes")]
-        # equal pieces fold into one, by sub-shard
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
         folded: list[dict[bytes, int]] = [{} for _ in range(256)]
-        texts: list[list[bytes]] = [[] for _ in range(256)]
-        least: list[list[int]] = [[] for _ in range(256)]
-        uses: list[list[tuple[int, int, int]]] = [[] for _ in range(256)]
-        for r, (i, sub, start, width, raw) in enumerate(zip(ids, subs, starts, widths, data, strict=True)):
-            pos = 0
-            for s, a, n in zip(sub.tolist(), start.tolist(), width.tolist(), strict=True):
-                cut = raw[pos : pos + n + LENGTH - 1]
-                pos += n + LENGTH - 1
-                k = folded[s].setdefault(cut, len(texts[s]))
-                if k == len(texts[s]):
-                    texts[s].append(cut)
-                    least[s].append(i)
-                elif i < least[s][k]:
-                    least[s][k] = i
-                uses[s].append((r, a, k))
-        del folded, data
-        ranges: dict[int, list[int]] = {}
-        todo: list[int] = []
-        size = 0
+        chosen: list[int] = []
+        sub, start, windows = unpack(rows, "sub", "u1"), unpack(rows, "start", "<u4").astype(np.int64), unpack(rows, "windows", "<u4").astype(np.int64)
+        size = windows + LENGTH - 1
+        # equal pieces fold into one, by sub-shard
+        each = iter(zip(sub.tolist(), size.tolist(), strict=True))
+        for n, b in zip((len(x.as_py()) for x in rows.column("sub")), rows.column("bytes"), strict=True):
+            raw, pos = unpress.decompress(b.as_py()), 0
+            for _ in range(n):
+                s, k = next(each)
+                own = folded[s]
+                chosen.append(own.setdefault(raw[pos : pos + k], len(own)))
+                pos += k
+        before = np.concatenate([[0], np.cumsum([len(x) for x in folded])])
+        piece = before[sub] + np.array(chosen, np.int64)
+        count = unpack(rows, "count", "<u4")
+        doc = np.repeat(np.arange(len(count)), count)
+        ids = unpack(rows, "id", "<i8")
+        use_id = ids[doc]
+        low = np.full(int(before[-1]), NULL_ID)
+        np.minimum.at(low, piece, use_id)
+        own_runs: list[tuple[np.ndarray, ...]] = []
+        texts: list[bytes] = []
+        first = 0
         for s in range(257):
-            if todo and (s == 256 or size >= SORT_SYMBOLS):
-                flat = [x for t in todo for x in texts[t]]
-                low = np.array([x for t in todo for x in least[t]], np.int64)
-                found = least_ids(flat, low)
-                own = [list(zip(*(x.tolist() for x in spans(f < i)), strict=True)) for f, i in zip(found, low.tolist(), strict=True)]
-                base = 0
-                for t in todo:
-                    for r, a, k in uses[t]:
-                        to = ranges.setdefault(r, [])
-                        if ids[r] > low[base + k]:
-                            to += (a, a + len(flat[base + k]))
-                        else:
-                            for x, y in own[base + k]:
-                                to += (a + x, a + y + LENGTH - 1)
-                    base += len(texts[t])
-                    texts[t], uses[t] = [], []
-                todo, size = [], 0
-            if s < 256 and texts[s]:
-                todo.append(s)
-                size += sum(map(len, texts[s]))
-        kept = [(r, x) for r, x in ranges.items() if x]
-        return pa.table(
-            [pa.array([ids[r] for r, _ in kept], pa.int64()), pa.array([tags[r] for r, _ in kept], pa.int32()), pa.array([np.array(x, "<i8").tobytes() for _, x in kept], pa.binary())],
-            schema=schema,
-        )
-
-    return blobs.groupBy("shard").applyInArrow(run, "id long, tag int, ranges binary")
+            if texts and (s == 256 or sum(map(len, texts)) >= SORT_SYMBOLS):
+                of, a, z = least_ids(texts, low[first : first + len(texts)])
+                own_runs.append((of + first, a, z + LENGTH - 1))
+                first, texts = first + len(texts), []
+            if s < 256:
+                texts += folded[s]
+        of, a, z = (np.concatenate(x) for x in zip(*own_runs, strict=True))
+        # a piece under a larger id than its least goes whole; under its least, only what a smaller id holds elsewhere
+        over = np.flatnonzero(use_id > low[piece])
+        least = np.flatnonzero(use_id == low[piece])
+        heads = np.searchsorted(of, piece[least])
+        n = np.searchsorted(of, piece[least], side="right") - heads
+        use = np.repeat(least, n)
+        run_ = np.repeat(heads, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.concatenate([over, use])
+        lo = np.concatenate([start[over], start[use] + a[run_]])
+        hi = np.concatenate([start[over] + size[over], start[use] + z[run_]])
+        order = np.argsort(at, kind="stable")
+        pairs = np.column_stack([lo, hi])[order].astype("<i8")
+        per_doc = np.bincount(doc[at], minlength=len(count))
+        # back to rows, one for each that came
+        docs_in = np.array([len(x.as_py()) // 8 for x in rows.column("id")])
+        doc_edges, pair_edges = np.concatenate([[0], np.cumsum(docs_in)]), np.concatenate([[0], np.cumsum(per_doc)])
+        tags = unpack(rows, "tag", "<i4")
+        out = []
+        for r, p in enumerate(rows.column("part").to_pylist()):
+            d = slice(doc_edges[r], doc_edges[r + 1])
+            keep = per_doc[d] > 0
+            if keep.any():
+                out.append((p, ids[d][keep], tags[d][keep], per_doc[d][keep].astype("<u4"), pairs[pair_edges[doc_edges[r]] : pair_edges[doc_edges[r + 1]]]))
+        return blob_table(out, CUTS)
+
+    return blobs.groupBy("shard").applyInArrow(run, CUTS_SQL)
 
 
 def unite(ranges: np.ndarray) -> np.ndarray:
@@ -285,38 +333,46 @@ def unite(ranges: np.ndarray) -> np.ndarray:
     return np.column_stack([ranges[first, 0], reach[np.append(first[1:] - 1, len(ranges) - 1)]])
 
 
-def strip(rows: DataFrame, found: DataFrame) -> DataFrame:
+def strip(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept_sha256) of every row; ``removed`` holds the runs."""
-    held = found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("held"))
-    joined = rows.join(held, ["id", "tag"], "left").select("doc_id", "raw", "held")
     kind = rows.schema["doc_id"].dataType.simpleString()
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            schema = pa.schema([("doc_id", b.schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("removed", pair), ("kept_sha256", pa.string())])
-            out = Batches(schema)
-            for i, x, held in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = x.as_py()
-                cuts = unite(np.frombuffer(b"".join(held or ()), "<i8").reshape(-1, 2)).tolist()
-                digest, at = hashlib.sha256(), 0
-                for a, e in cuts:
-                    digest.update(raw[at:a])
-                    at = e
-                digest.update(raw[at:])
-                out.add((i, len(raw), sum(e - a for a, e in cuts), [{"start": a, "end": e} for a, e in cuts], digest.hexdigest()))
-            yield from out.take()
-
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string")
-
-
-def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    def run(key: tuple, docs: pa.Table, blobs: pa.Table) -> pa.Table:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        for b in blobs.to_pylist():
+            pairs, at = np.frombuffer(b["ranges"], "<i8").reshape(-1, 2), 0
+            for i, t, n in zip(np.frombuffer(b["id"], "<i8").tolist(), np.frombuffer(b["tag"], "<i4").tolist(), np.frombuffer(b["count"], "<u4").tolist(), strict=True):
+                held.setdefault((i, t), []).append(pairs[at : at + n])
+                at += n
+        sizes, gone, runs_, digests = [], [], [], []
+        for i, t, x in zip(docs.column("id").to_pylist(), docs.column("tag").to_pylist(), docs.column("raw"), strict=True):
+            raw = x.as_py()
+            found = held.get((i, t))
+            cuts_ = unite(np.concatenate(found)).tolist() if found else []
+            digest, at = hashlib.sha256(), 0
+            for a, e in cuts_:
+                digest.update(raw[at:a])
+                at = e
+            digest.update(raw[at:])
+            sizes.append(len(raw))
+            gone.append(sum(e - a for a, e in cuts_))
+            runs_.append([{"start": a, "end": e} for a, e in cuts_])
+            digests.append(digest.hexdigest())
+        return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed": pa.array(runs_, pair), "kept_sha256": pa.array(digests, pa.string())})
+
+    return rows.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """What ``strip`` returns, for all rows of ``docs``."""
     spark = docs.sparkSession
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("raw")).alias("n")).first().n or 0
-    shards = max(4, -(-total // shard_bytes))
-    found = materialise(survivors(runs(rows, shards)), "survivors")
+    shards, parts = max(4, -(-total // shard_bytes)), max(4, -(-total // part_bytes))
+    rows = rows.withColumn("part", F.pmod("tag", F.lit(parts)).cast("int"))
+    with small_batches(spark):
+        found = materialise(survivors(runs(rows, shards), parts), "survivors")
     free_shuffles(spark)
     cuts = materialise(matches(pieces(rows, found)), "matches")
     free_shuffles(spark)
