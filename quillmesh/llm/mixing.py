@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import table
+from quillmesh.llm.common import materialise, table
 
 SEED = 17
 #: Weights are sizes to this power where none are given; 0.5 lies between natural and uniform.
@@ -69,6 +69,8 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, e
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     by_source = rates(docs, weights, epochs, temperature).withColumn("mix_parts", parts)
     by_source = by_source.withColumn("mix_cdf", distribution(F.col("rate") / F.col("mix_parts"))).drop("rate")
+    # written first, so that the planner knows its size: a small table is broadcast under the session's threshold, a large one is not
+    by_source = materialise(by_source, "rates")
     joined = docs.join(by_source, docs["source"].eqNullSafe(by_source["mix_source"]))
     draw = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
     counts = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda n, j: n + draw(j))
