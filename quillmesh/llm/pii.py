@@ -164,6 +164,7 @@ def pii_spans(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     seen = materialise(mentions(found), "mentions")
     risky = disclosing(docs, found, seen)
     hits = seen.join(risky, ["entity", "term"]).groupBy("pii_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pii_terms"))
+    hits = materialise(hits, "hits")  # of known size to the planner: rows are shuffled only if it is large
     none = F.array().cast("array<struct<start:int,end:int>>")
     return found.join(hits, "pii_row", "left").withColumn("pii_terms", F.coalesce("pii_terms", none)).drop("pii_row")
 
