@@ -102,11 +102,30 @@ def stream_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.unionByName(spark.read.parquet(f"{out}/rejected").select("doc_id", "stage"))
 
 
-@register("q_stream_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@register("q_stream_counts", "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "counts")
     events = table(spark, sf_dir, "events")
     stream = gates.read_stream(spark, f"{sf_dir}/events.parquet", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counted = gates.counts_stream(stream, "ts", ["event_type"], late="60 days")
     gates.run_to_end(counted, f"{out}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/latest"), "complete")
-    return spark.read.parquet(f"{out}/latest")
+    return spark.read.parquet(f"{out}/latest").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
+
+
+@register(
+    "q_html_cards",
+    """SELECT doc_id, '<section><h2>' || doc_id || '</h2><p>' || replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p><dl><dt>lang</dt><dd>' || lang || '</dd></dl></section>' AS html FROM documents""",
+)
+def html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return writers.html_cards(docs, "doc_id", F.col("doc_id").cast("string"), F.col("text"), {"lang": F.col("lang")})
+
+
+@register("q_markdown_rows", r"SELECT doc_id, '| ' || doc_id || ' | ' || lang || ' | ' || replace(coalesce(text, ''), '|', '\|') || ' |' AS line FROM documents")
+def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.markdown_rows(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "lang", "text"])
+
+
+@register("q_page_hosts", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
