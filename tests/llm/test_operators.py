@@ -1,0 +1,380 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillmesh.llm import hnsw, induced, langid, media, mixing, packing, pii, registry, repeats, separators, simhash, toxicity
+from quillmesh.llm.components import stars
+from quillmesh.llm.tokens import Encoder
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return pd.read_parquet(f"{SF}/documents.parquet")
+
+
+def key(rows):
+    return sorted(rows, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
+
+
+# op1
+def test_media_round_trip(spark, odd, texts):
+    got = key((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in registry.queries()["op1_media"](spark, odd).collect())
+    want = []
+    for i, t in texts:
+        raw = (t or "").encode()
+        p = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        want.append((i, len(raw), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+    assert got == key(want)
+
+
+@given(st.integers(1, 400))
+@settings(max_examples=30, deadline=None)
+def test_media_index_points_at_key_frames(frames):
+    payload = bytes(random.Random(frames).randbytes(frames * media.FRAME))
+    data = media.mux(payload)
+    track = media.Track(data)
+    assert track.payload(data) == payload
+    assert (track.codec, track.duration, track.timescale) == ("raw", frames, media.TIMESCALE)
+    for s, o, n in zip(track.keys, track.offsets[track.keys], track.sizes[track.keys], strict=True):
+        assert data[o : o + n] == payload[s * media.FRAME : (s + 1) * media.FRAME]
+
+
+def test_media_rejects_broken_containers():
+    data = media.mux(media.pad(b"some text"))
+    for bad in (data[:60], b"", b"\0" * 40, data.replace(b"stsz", b"free"), data[:-100]):
+        row = media.describe(bad)
+        assert row[-1] and row[0] is None
+    assert media.describe(None)[-1] == "no media"
+
+
+# op2
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["op2_toxicity"](spark, sf).toPandas()
+    labels = pd.read_parquet(f"{sf}/labels.parquet").merge(got, on="doc_id")
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    held = labels[labels.held_out]
+    assert ((held.predicted == 1) == (held.toxic == 1)).mean() > 0.9
+    assert ((got.score >= 0.3) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
+
+
+def test_folding_undoes_disguise():
+    assert toxicity.fold("Ｉd1оt!! m0r0n $cum 2024") == (" idiot moron cum 2024 ", 4)
+    lex = toxicity.Lexicon({" clown ": 5.0, " mor": 3.0}, ("rodeo clown",))
+    a = lex.automaton()
+    score = lambda t: toxicity.evidence(*toxicity.fold(t), a)
+    assert score("a cl0wn") == pytest.approx(5.0, rel=0.02)
+    assert score("the rodeo clown") == 0 and score("clowns") == 0
+    assert score("moron morons moron") == pytest.approx(6.0, rel=0.02)
+    assert score("moron " + "word " * 5000) < score("moron")
+
+
+# op3
+def test_hnsw_recall_and_order(spark, odd):
+    got = registry.queries()["op3_hnsw"](spark, odd).toPandas()
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{odd}/embeddings.parquet").collect() if r.vec_id is not None and r.embedding and None not in r.embedding}
+    vectors = {i: v for i, v in vectors.items() if np.isfinite(v).all() and v.any()}
+    for q, g in got.groupby("query_id"):
+        others = sorted(((-float((v * vectors[q]).sum()), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])))[:20]
+        g = g.sort_values("rank")
+        assert g.vec_id.tolist() == [i for _, i in others]
+        assert np.allclose(g.score, [-s for s, _ in others], atol=1e-12)
+    assert set(got.query_id) == {i for i, v in vectors.items() if i % 20 == 0 and sum(len(w) == len(v) for w in vectors.values()) > 1}
+
+
+def test_hnsw_graph_finds_most_neighbours():
+    x = np.random.default_rng(1).normal(size=(3000, 32))
+    found = hnsw.Graph(x).build().search(x[::30], 21)
+    truth = np.argsort(-(x[::30] @ x.T), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(truth.tolist(), found.tolist(), strict=True)]) > 0.9
+
+
+# op4
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits: str) -> bool:
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base(text: str) -> str:
+    out = []
+    for o, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((m.start(), o, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x for *_, x in sorted(out))
+
+
+TRICKY = [
+    "a@b.c%d@e.f x@y", "1.2.3.4.5.6.7.8 256.1.1.1 01.02.003.004 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 " + "9" * 25, "+1 2 +123456789 +49 (30) 123-45.67- +1+2", "é4111111111111111é a+b@c.de.fg-h",
+    "1.2.3.400 1.2.3.4", "x@y.z@u.v", "+12345678 +1234567890123456", "00000000000000", "", "a" * 5000 + "@", "7" * 40 + " @@ .. ++",
+]
+
+
+def test_pii_base_spans(spark, odd, texts):
+    rows = [(1000 + k, t) for k, t in enumerate(TRICKY)] + texts
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pii.pii_spans(frame, ("doc_id", "text")).select("doc_id", "text", pii._listed("pii_base").alias("b")).collect()
+    assert len(got) == len(rows)
+    assert not [(r.doc_id, r.b, base(r.text or "")) for r in got if r.b != base(r.text or "")]
+
+
+def test_pii_terms_disclose_and_go(spark):
+    rows = [(i, f"some plain words {'zebra' if i < 8 else 'horse'} wrote {'boss@corp.com' if i < 8 else 'nobody'} today in town") for i in range(400)]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert clean[0] == "some plain words  wrote <email> today in town"
+    assert clean[300] == rows[300][1]
+
+
+def test_pii_running_totals_cross_blocks(spark):
+    n = pii.SCAN_BLOCK * 2 + 7
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(pii.scan(F.sequence(F.lit(1), F.lit(n)), lambda a, b: a + b, F.lit(0)).alias("s")).first()
+    assert row.s == np.cumsum(np.arange(1, n + 1)).tolist()
+
+
+# op5
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["op5_language_id"](spark, sf).toPandas()
+    truth = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "lang"]).merge(got, on="doc_id")
+    held = truth[truth.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.95
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+
+
+def test_language_of_texts_without_letters(spark, odd, texts):
+    got = {r.doc_id: r for r in registry.queries()["op5_language_id"](spark, odd).collect()}
+    for i in (100, 101, 102, 105):
+        assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+    assert {r.lang_pred for r in got.values()} <= {"en", "fr", "und"}
+    assert langid.decide([10, 10, 12])[0] == 0 and langid.decide([10])[1] == 1.0
+
+
+# op6
+def test_token_counts(spark, odd, texts):
+    encode = Encoder(special=False)
+    got = key((r.doc_id, r.n_tokens) for r in registry.queries()["op6_token_counts"](spark, odd).collect())
+    assert got == key((i, len(encode(t or ""))) for i, t in texts)
+
+
+def test_separator_scan_stitches_blocks(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    want = {}
+    for name, n in (("a", 1000), ("b", 77), ("c", 5), ("d", 0)):
+        ids = rng.integers(0, 5, n).astype("<u2") if name != "c" else np.ones(n, "<u2")
+        ids.tofile(tmp_path / f"{name}.bin")
+        rows, start = [], 0
+        for k in np.flatnonzero(ids == 3).tolist():
+            rows.append((start, k - start, True))
+            start = k + 1
+        want[name] = rows + ([(start, n - start, False)] if start < n else [])
+    got = separators.count_tokens(separators.read_files(spark, str(tmp_path), block_bytes=14), separator=3).toPandas()
+    for name, rows in want.items():
+        g = got[got["shard"].str.endswith(f"/{name}.bin")].sort_values("ordinal")
+        assert list(zip(g.start, g.n_tokens, g.terminated, strict=True)) == rows
+
+
+# op7
+def strip(rows):
+    """Rows (id, text) to (id, n_bytes, n_removed, n_spans, sha); a null id is larger than any."""
+    first: dict[bytes, float] = {}
+    order = lambda i: float("inf") if i is None else i
+    for i, t in sorted(rows, key=lambda r: order(r[0])):
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], order(i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < order(i):
+                gone[p : p + 50] = True
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out.append((i, len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return key(out)
+
+
+def test_repeats_on_documents(spark, docs):
+    got = key(tuple(r) for r in repeats.op7_repeats(spark, SF).collect())
+    assert got == strip(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)))
+
+
+def test_repeats_on_odd_rows(spark, odd, texts):
+    got = key(tuple(r) for r in repeats.op7_repeats(spark, odd).collect())
+    assert got == strip(texts)
+
+
+@given(st.integers(0, 10**6), st.integers(1, 90), st.integers(1, 4), st.sampled_from([3, 6, 50]), st.sampled_from([64, 1 << 20]))
+@settings(max_examples=150, deadline=None)
+def test_suffix_array(seed, n, letters, depth, memory):
+    rng = np.random.default_rng(seed)
+    s = (rng.integers(0, letters, n) + 2).astype(np.int16)
+    s[rng.random(n) < 0.1] = 1
+    sa, lcp = induced.suffix_array(s, depth, memory)
+    t = [*s.tolist(), 0]
+    head = [t[i : i + depth] for i in sa.tolist()]
+    assert sorted(sa.tolist()) == list(range(n)) and head == sorted(head)
+    for a, b, k in zip(head, head[1:], lcp[1:].tolist(), strict=False):
+        same = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert k == same
+
+
+# op8
+def test_packing_places_every_id_once(spark, odd, texts):
+    encode = Encoder()
+    got = registry.queries()["op8_packing"](spark, odd).toPandas()
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == (g.length.cumsum() - g.length).tolist()
+        assert g.length.sum() <= 1024 and (g.sequence_tokens == g.length.sum()).all()
+    want = Counter()
+    for i, t in texts:
+        ids = np.append(encode(t or ""), 0).astype("<u4")
+        for a in range(0, len(ids), 1024):
+            part = ids[a : a + 1024]
+            want[(-1 if i is None else i, a, len(part), zlib.crc32(part.tobytes()), len(ids))] += 1
+    rows = zip(got.doc_id.fillna(-1).astype(int), got.start, got.length, got.ids_crc32, got.doc_tokens, strict=True)
+    assert Counter((int(a), int(b), int(c), int(d), int(e)) for a, b, c, d, e in rows) == want
+
+
+@pytest.mark.parametrize("n", [1, 30, 3000])
+def test_packing_pads_little(n):
+    rng = np.random.default_rng(n)
+    lengths = np.minimum(1023, rng.exponential(350, n).astype(int) + 1)
+    slots, sequences = packing.plan({int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)})
+    assert sum(hi - lo for _, lo, hi, *_ in slots) == n
+    if n == 3000:
+        assert lengths.sum() / (sequences * 1024) > 0.98
+
+
+def test_pricing_is_optimal():
+    rng = np.random.default_rng(3)
+    lengths = np.array([3, 5, 7, 11])
+    duals = rng.random(4)
+    value, counts = packing.price(duals, lengths, 24)
+    best = max(sum(d * c for d, c in zip(duals, cs, strict=True)) for cs in np.ndindex(9, 5, 4, 3) if sum(n * c for n, c in zip(lengths, cs, strict=True)) <= 24)
+    assert value == pytest.approx(best) and (counts * lengths).sum() <= 24
+
+
+def test_encoder_equals_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Encoder()
+    rng = random.Random(5)
+    for k in range(400):
+        text = "".join(chr(rng.choice([rng.randint(0, 0x24F), 32, 10, 39, 115])) for _ in range(20)) + ("<|endoftext|>日本" if k % 9 == 0 else "")
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+# op9
+def reference_fingerprint(text):
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42) for k in range(max(1, len(words) - 3))]
+    return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(spark, odd, texts):
+    got = simhash.op9_simhash(spark, odd).collect()
+    prints = [reference_fingerprint(t) for _, t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                parent[root(a)] = root(b)
+    least: dict[int, int | None] = {}
+    for k, (i, _) in enumerate(texts):
+        r = root(k)
+        if i is not None and (least.get(r) is None or i < least[r]):
+            least[r] = i
+    want = key((i, f"{p:016x}", least.get(root(k))) for k, ((i, _), p) in enumerate(zip(texts, prints, strict=True)))
+    assert key(tuple(r) for r in got) == want
+
+
+@given(st.integers(0, 10**6), st.integers(2, 400))
+@settings(max_examples=25, deadline=None)
+def test_trie_join_loses_no_link(seed, n):
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, max(1, n // 20)).astype(np.uint64)
+    fp = centres[rng.integers(0, len(centres), n)]
+    for _ in range(4):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    fp = np.unique(fp)
+    parent = {int(x): int(x) for x in fp}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for pair in combinations(range(6), 2):
+        for u, v in zip(*simhash.shard_forest(fp, pair), strict=True):
+            assert int(u) != int(v)
+            parent[root(int(u))] = root(int(v))
+    for a in fp.tolist():
+        for b in fp[np.bitwise_count(fp ^ np.uint64(a)) <= 4].tolist():
+            assert root(a) == root(b)
+
+
+def test_stars_on_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201)]
+    got = {r.u: r.v for r in stars(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 140)} | {201: 200}
+
+
+# op10
+def test_mixing_meets_rates(spark):
+    rows = [(i, "x" * 10, "big" if i % 10 else "small", "en") for i in range(5000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    out = mixing.replicate(frame, weights={"big": 1.0, "small": 1.0}).toPandas()
+    counts = out.source.value_counts()
+    assert abs(counts["small"] - 2500) < 250 and abs(counts["big"] - 2500) < 250
+    assert out.groupby("doc_id").copy.max().eq(out.groupby("doc_id").n_copies.max()).all()
+    assert out.groupby("doc_id").copy.nunique().eq(out.groupby("doc_id").n_copies.max()).all()
+
+
+def test_mixing_of_large_rates(spark):
+    frame = spark.createDataFrame([(i, "x", "tiny", "en") for i in range(200)] + [(-1, "y" * 40_000, "huge", "en")], "doc_id bigint, text string, source string, lang string")
+    n = mixing.replicate(frame, weights={"tiny": 1.0}).filter("source = 'tiny' AND copy = 1").agg({"n_copies": "avg"}).first()[0]
+    assert 190 < n < 212
