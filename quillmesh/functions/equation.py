@@ -39,7 +39,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "min": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)),
     "max": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)),
     "where": lambda c, a, b: F.when(c, a).otherwise(b),
-    "clip": lambda x, a, b: F.least(F.greatest(x, a), b),
+    "clip": lambda x, a, b: F.when(x.isNotNull() & a.isNotNull() & b.isNotNull(), F.least(F.greatest(x, a), b)),
 }
 FUNCTIONS |= {"minimum": FUNCTIONS["min"], "maximum": FUNCTIONS["max"]}
 CONSTANTS = {"pi": math.pi, "e": math.e}

@@ -12,7 +12,7 @@ def known(x: Column) -> Column:
 
 
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-60.0)), F.lit(60.0))))
+    return 1 / (1 + F.exp(-clip(x, -60.0, 60.0)))
 
 
 def softmax_second(a: Column, b: Column) -> Column:
@@ -22,7 +22,8 @@ def softmax_second(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x held between bounds; null stays null, which least and greatest alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
