@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,3 +69,44 @@ def metrics_record(record: Column) -> Column:
     """A map of metrics with ``eval_`` stripped from keys and values as doubles; others are skipped."""
     cast = F.transform_values(F.transform_keys(record, lambda k, v: F.regexp_replace(k, "^eval_", "")), lambda k, v: v.try_cast("double"))
     return F.map_filter(cast, lambda k, v: v.isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a lambda inside it uses it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def trie_pattern(words: Sequence[str]) -> str:
+    """A pattern that matches the longest of the words at a position, branching on one letter at a time."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        branches = [_quoted(c) + build(node[c]) for c in sorted(k for k in node if k)]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return body + "?" if "" in node else body
+
+    return build(root)
+
+
+def _quoted(c: str) -> str:
+    return c if c.isalnum() or c in " '_" else "\\" + c
+
+
+def contained(low: Column, words: Sequence[str]) -> Column:
+    """The words that a lower-cased text contains, sorted, overlaps included: one pass over the text.
+
+    A look-ahead gives the longest word at every position; a word is contained
+    if it begins one of those.
+    """
+    known = sorted({w for w in words if w})
+    if not known:
+        return literals([])
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({trie_pattern(known)}))"), F.lit(1)))
+    return let(found, lambda ms: F.filter(literals(known), lambda w: F.exists(ms, lambda m: F.startswith(m, w))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmesh.functions import lexicons as L
-from quillmesh.functions.arrays import compact, literals
+from quillmesh.functions.arrays import compact, contained, literals
 from quillmesh.functions.text import CAPS, NAMED_SOURCE, URL, count_of, quotes, structural_features, text_or_empty, word_count, words
 
 
@@ -31,8 +31,7 @@ def word_hits(t: Column, lexicon: Sequence[str]) -> Column:
 
 def phrase_hits(t: Column, phrases: Sequence[str]) -> Column:
     """The phrases that occur anywhere, sorted."""
-    low = F.lower(text_or_empty(t))
-    return F.filter(literals(sorted(set(phrases))), lambda p: F.contains(low, p))
+    return contained(F.lower(text_or_empty(t)), phrases)
 
 
 def pattern_hits(t: Column, patterns: Sequence[str]) -> Column:
@@ -67,10 +66,13 @@ def unanchored_quote(t: Column, least_words: int = 8) -> Column:
 
 
 def by_patterns(code: str, t: Column, patterns: Sequence[str] | None = None) -> Column:
-    found = pattern_hits(t, L.PATTERNS[code] if patterns is None else patterns)
+    own = L.PATTERNS[code] if patterns is None else patterns
+    found = pattern_hits(t, own)
     weight, kept = L.WEIGHTS[code]
-    score = (F.size(found) > 0).cast("double") if code == "IMP" else weight * F.size(found)
-    return hit(code, F.size(found) > 0, F.slice(found, 1, kept), score)
+    # whether any matches is one search, which stops at the first match
+    fired = F.regexp_like(text_or_empty(t), F.lit("(?iu)" + "|".join(f"(?:{p})" for p in own))) if own else F.lit(False)
+    score = fired.cast("double") if code == "IMP" else weight * F.size(found)
+    return hit(code, fired, F.slice(found, 1, kept), score)
 
 
 def detectors(t: Column, emotive_words: Sequence[str] = L.EMOTIVE, urgent_phrases: Sequence[str] = L.URGENT, patterns: dict[str, Sequence[str]] | None = None) -> dict[str, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import lexicons as L
-from quillmesh.functions.arrays import compact, literals
+from quillmesh.functions.arrays import compact, contained, let, literals
 from quillmesh.functions.indicators import fired_codes
 from quillmesh.functions.text import last_word, preview, squeeze, text_or_empty
 
@@ -16,11 +16,15 @@ from quillmesh.functions.text import last_word, preview, squeeze, text_or_empty
 def keyword_score(t: Column, positive: Sequence[str] = L.ON_THEME, negative: Sequence[str] = L.OFF_THEME) -> Column:
     """(pos, neg, score): distinct keywords contained, and their logistic score; empty text scores 0."""
     low = F.lower(text_or_empty(t))
-    count = lambda ws: F.size(F.filter(literals(sorted({w.lower() for w in ws if w.strip()})), lambda w: F.contains(low, w)))
-    pos, neg = count(positive), count(negative)
-    raw = (pos - neg).cast("double") - F.when((neg >= pos) & (neg >= 2), 1.5).otherwise(0.0)
-    score = F.when(low == "", 0.0).otherwise(1 / (1 + F.pow(F.lit(2.71828), -0.7 * raw)))
-    return F.struct(pos.alias("pos"), neg.alias("neg"), score.alias("score"))
+    words = lambda ws: sorted({w.lower() for w in ws if w.strip()})
+
+    def score(held: Column) -> Column:
+        pos, neg = (F.size(F.array_intersect(held, literals(words(ws)))) for ws in (positive, negative))
+        raw = (pos - neg).cast("double") - F.when((neg >= pos) & (neg >= 2), 1.5).otherwise(0.0)
+        value = F.when(low == "", 0.0).otherwise(1 / (1 + F.pow(F.lit(2.71828), -0.7 * raw)))
+        return F.struct(pos.alias("pos"), neg.alias("neg"), value.alias("score"))
+
+    return let(contained(low, sorted({*words(positive), *words(negative)})), score)
 
 
 def truncation(t: Column, danglers: Sequence[str] = L.DANGLERS, least: int = 30) -> Column:
