@@ -29,6 +29,7 @@ SAMPLE_ROWS = 600
 DICTIONARY_BYTES = 64 << 10
 #: Bytes that one sampled row gives at most, so that the dictionary holds many texts.
 PIECE_BYTES = 2000
+HASHES = 1 << 40
 #: Languages that can be told apart, at most; the rarest others are not learned.
 MAX_LANGUAGES = 200
 #: Texts are compressed in blocks of so many bytes, so that the dictionary still counts in long ones.
@@ -45,9 +46,12 @@ def learn(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> dict[str, by
     spark = docs.sparkSession
     train = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0))
     langs = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    by_size = [r.lang for r in langs.collect()]
-    langs = spark.createDataFrame([(x,) for x in by_size], "lang string")
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(langs), "lang")
+    sizes_ = {r.lang: r.n for r in langs.collect()}
+    by_size = list(sizes_)
+    # only hashes below a cut can be among the least: four times the sample is let through, so that no task ranks a language's every row
+    cuts = spark.createDataFrame([(k, min(HASHES, 4 * rows_per_language * HASHES // n)) for k, n in sizes_.items()], "lang string, cut bigint")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h")
+    ids = train.select("doc_id", "lang", h).join(F.broadcast(cuts), "lang").filter(F.col("h") < F.col("cut"))
     w = W.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ids.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= rows_per_language).select("doc_id", "lang", "rank")
     bound = MAX_LANGUAGES * rows_per_language
