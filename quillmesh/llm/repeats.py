@@ -41,6 +41,8 @@ GRAM = 16
 SHARD_BYTES = 12 << 20
 #: Bytes of documents whose texts and findings meet in one task.
 PART_BYTES = 12 << 20
+#: Shards, at least; and half the least number of parts.
+LEAST = 16
 #: Bytes of documents hashed at a time, and symbols sorted at a time (a name's pieces stay together).
 CHUNK_BYTES = 256 << 10
 #: Bytes of documents whose pieces go out together.
@@ -369,7 +371,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
     spark = docs.sparkSession
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("raw")).alias("n")).first().n or 0
-    shards, parts = max(4, -(-total // shard_bytes)), max(4, -(-total // part_bytes))
+    shards, parts = max(LEAST, -(-total // shard_bytes)), max(2 * LEAST, -(-total // part_bytes))
     rows = rows.withColumn("part", F.pmod("tag", F.lit(parts)).cast("int"))
     with small_batches(spark):
         found = materialise(survivors(runs(rows, shards), parts), "survivors")
