@@ -31,7 +31,7 @@ TRAIN_ROWS = 50_000
 #: Terms looked at, at most; the least frequent among toxic rows go.
 CANDIDATES = 20_000
 MIN_SUPPORT = 4
-MIN_WEIGHT = 2.0
+MIN_WEIGHT = 3.0
 STEMS = range(4, 9)
 LENGTH_WORDS = 400
 BINS = 400
@@ -194,28 +194,37 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
         return Lexicon(exceptions=exceptions)
     first = _partial_counts(rows, None).filter(F.col("pos") >= MIN_SUPPORT).orderBy(F.desc("pos"), "term").limit(CANDIDATES)
     keep = frozenset(r.term for r in first.select("term").collect())
-    weights = {}
-    for r in _partial_counts(rows, keep).collect():
-        w = math.log((r.pos + 0.5) / (p + 1)) - math.log((r.neg + 0.5) / (n + 1))
-        if w >= MIN_WEIGHT:
-            weights[r.term] = w
-    lexicon = Lexicon(dict(sorted(weights.items())), exceptions)
-    binned = score_bins(rows, lexicon)
+    counts = {r.term: (r.pos, r.neg) for r in _partial_counts(rows, keep).collect()}
+    lexicon = Lexicon(_weights(counts, p, n), exceptions)
+    # a training row is judged by what the others say: its own share of the counts is left out
+    others = (Lexicon(_weights(counts, p, n, clean=1), exceptions), Lexicon(_weights(counts, p, n, toxic=1), exceptions))
     pos, total = [0] * BINS, [0] * BINS
-    for r in binned.groupBy("bin").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect():
+    for r in score_bins(rows, others).groupBy("bin").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect():
         pos[r.bin], total[r.bin] = r.pos, r.n
     lexicon.scores = _isotonic(pos, total)
     return lexicon
 
 
-def score_bins(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """rows(folded, words, toxic) as (bin, toxic)."""
+def _weights(counts: dict[str, tuple[int, int]], p: int, n: int, toxic: int = 0, clean: int = 0) -> dict[str, float]:
+    """Log odds of the terms with enough support, as they are without so many toxic or clean rows that hold them."""
+    out = {}
+    for term in sorted(counts):
+        a, b = counts[term][0] - toxic, max(0, counts[term][1] - clean)
+        if a >= MIN_SUPPORT:
+            w = math.log((a + 0.5) / (p - toxic + 1)) - math.log((b + 0.5) / (n - clean + 1))
+            if w >= MIN_WEIGHT:
+                out[term] = w
+    return out
+
+
+def score_bins(rows: DataFrame, by_label: tuple[Lexicon, Lexicon]) -> DataFrame:
+    """rows(folded, words, toxic) as (bin, toxic), each row judged by the lexicon of its label."""
     schema = pa.schema([("bin", pa.int64()), ("toxic", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
+        automata = [x.automaton() for x in by_label]
         for b in batches:
-            bins = [bin_of(evidence(t, n, automaton)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            bins = [bin_of(evidence(t, n, automata[y])) for t, n, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), b.column(2)], schema=schema)
 
     return rows.select("folded", "words", "toxic").mapInArrow(run, "bin long, toxic long")
