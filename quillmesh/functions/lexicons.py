@@ -65,9 +65,9 @@ PATTERNS = {
         r"\bbuilt\s+\d{2,4}\s+(?:hospitals?|schools?|bridges?)\s+single[-\s]?handedly\b", r"\bawarded\s+by\s+(?:un|united\s+nations|world\s+bank)\b",
     ),
 }
-#: Score of one match and evidence kept, by code.
+# Score of one match and evidence kept, by code.
 WEIGHTS = {"ANON": (0.4, 5), "POL": (0.5, 5), "CONS": (0.5, 5), "DISC": (0.5, 5), "IMP": (1.0, 3), "REV": (0.6, 3), "ENDO": (0.6, 3), "RECF": (0.6, 3)}
-#: Detector order.
+# Detector order.
 CODES = ("EMO", "URG", "ANON", "MISS", "FAB", "POL", "CONS", "DISC", "IMP", "REV", "ENDO", "RECF")
 
 # The technique family of each code.
@@ -129,7 +129,7 @@ KNOWN_CITIES = (
     "kidapawan", "koronadal", "tacurong", "butuan", "bayugan", "bislig", "cabadbaran", "tandag", "marawi", "lamitan", "isabela city", "lapu-lapu",
 )
 
-#: Order in which explanations take codes, at most three.
+# Order in which explanations take codes, at most three.
 PRIORITY = ("EMO", "URG", "ANON", "MISS", "FAB", "REV", "ENDO", "RECF", "POL", "CONS", "DISC", "IMP")
 
 # Cues of the three archetypes.

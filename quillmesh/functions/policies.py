@@ -13,9 +13,9 @@ from quillmesh.functions.hashing import stable_index
 from quillmesh.functions.numeric import known
 from quillmesh.functions.text import preview, text_or_empty
 
-#: (FAKE at or above, REAL at or below) by policy.
+# Fixed values: (FAKE at or above, REAL at or below) by policy.
 VERDICTS = {"explain": (0.6, 0.4), "merge": (0.65, 0.35), "validate": (0.55, 0.45)}
-#: Margins (easy, medium) by policy.
+# Margins (easy, medium) by policy.
 DIFFICULTIES = {"explain": (0.35, 0.15), "merge": (0.30, 0.10)}
 
 

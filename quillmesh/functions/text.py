@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of the lexical and structural measures.
 SPACE = r"[\s\p{Z}]+"
 WORD = r"[\p{L}\p{N}_]+"
 URL = r"(?i)https?://[^\s)\]]+"

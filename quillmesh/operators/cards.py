@@ -41,6 +41,13 @@ def build_cards(df: DataFrame, key: str, text: str, score: Column, candidate: Co
     )
 
 
+def stamp(df: DataFrame, provenance: str, script: str) -> DataFrame:
+    """``df`` with a script added to the chain of its provenance struct, and the time of it."""
+    p = F.col(provenance)
+    chain = F.array_append(F.coalesce(p["script_chain"], literals([])), F.lit(script))
+    return df.withColumn(provenance, p.withField("script_chain", chain).withField("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")))
+
+
 def from_features(df: DataFrame, key: str, features: str, score: str) -> DataFrame:
     """Cards of records that carry a flat feature map: their codes, verdict and difficulty by the merge policy."""
     p = F.col(score)

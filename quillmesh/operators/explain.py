@@ -84,7 +84,7 @@ def pair_with(df: DataFrame, reals: DataFrame, key: str, real_id: str, seed: str
     return indexed.join(numbered, "position", "left").drop("__n", "position")
 
 
-#: Fields of a card that the schema knows.
+# Fields of a card that the schema knows, and the form of its codes and references.
 CARD_FIELDS = (
     "id", "candidate", "text", "target_label", "verdict", "fake_likelihood_percent", "credibility_percent", "difficulty_bin", "fired_indicators",
     "indicator_details", "named_features", "qlattice", "detectors", "heuristics", "theme_flags", "explanation", "provenance", "metadata",

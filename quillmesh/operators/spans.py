@@ -47,7 +47,7 @@ ROLES = (
 )
 NAME = rf"{CAPWORD}(?:\s+{CAPWORD}){{0,3}}"
 MULTIWORD = rf"{CAPWORD}(?:\s+{CAPWORD}){{1,3}}"
-#: Person patterns by name; group 1 is the name.
+# Person patterns by name; group 1 is the name.
 PERSON = (
     ("title_name", rf"\b{TITLE}\.?\s+({NAME})\b"),
     ("particle_title_name", rf"\b(?:si|kay|kina|ni)\s+(?:{TITLE}\.?\s+)?({NAME})\b"),
@@ -56,7 +56,7 @@ PERSON = (
     ("according_to", rf"\b(?:According to|according to|Ayon kay|ayon kay|Sinabi ni|sinabi ni)\s+(?:{TITLE}\.?\s+)?({NAME})\b"),
     ("comma_attribution", rf",\s+({CAPWORD})\s*,"),
 )
-#: Patterns of names that are counted for a blocklist.
+# Patterns of names that are counted for a blocklist.
 COUNTED = (rf"\b{TITLE}\.?\s+({MULTIWORD})\b", rf"\b{PARTICLE}\s+({MULTIWORD})\b", rf"\b({MULTIWORD})\b")
 SPAN = "array<struct<start:int,end:int,entity:string,pattern:string>>"
 
@@ -246,7 +246,7 @@ def pseudonymise_people(df: DataFrame, key: str, text: str, prefix: str = "Entit
     return rewritten, mapping
 
 
-#: Passes of the universal rewrite: pattern by pattern, group 1 is the name.
+# Passes of the universal rewrite, pattern by pattern; group 1 is the name.
 PASSES = (
     r'(?:\b(?:Pres(?:ident)?\.?|Sen(?:ator)?\.?|Rep(?:resentative)?\.?|Mayor|Gov(?:ernor)?\.?|Sec(?:retary)?\.?|VP|Vice\s*Pres(?:ident)?|Vice[-\s]+Mayor|'
     r'Cong(?:ressman)?\.?|Atty\.?|Dr\.?|Mr\.?|Mrs\.?|Ms\.?)\s+)([A-Z][a-z]+(?:\s+"[A-Z][a-z]+")?(?:\s+[A-Z][a-z]+){0,3})\b',
@@ -257,6 +257,13 @@ PASSES = (
 )
 
 
+def collapse_repeats(t: Column, full: str, short: str) -> Column:
+    """Every mention of a full name after the first becomes its short form."""
+    parts = F.split(t, alternation([full]), 2)
+    rest = F.regexp_replace(F.element_at(parts, -1), alternation([full]), short)
+    return F.when(F.size(parts) > 1, F.concat(parts[0], F.lit(full), rest)).otherwise(t)
+
+
 def role_for(name: Column, roles: Sequence[str] = ROLES) -> Column:
     return F.element_at(literals(roles), (stable_index(name, len(roles)) + 1).cast("int"))
 

@@ -239,3 +239,14 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {r.doc_id for r in batch.filter("accepted").select("doc_id").collect()}
     assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "o/accepted")).collect()} == want and want
     assert spark.read.parquet(str(tmp_path / "o/rejected")).select("doc_id").distinct().count() == docs.count() - len(want)
+
+
+def test_stamp_collapse_and_batched_model(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([("Ana One met Ana One and Ana One.", (["a"],)), ("nobody", (None,))], "t string, p struct<script_chain:array<string>>")
+    assert [r[0] for r in df.select(S.collapse_repeats(F.col("t"), "Ana One", "Ana")).collect()] == ["Ana One met Ana and Ana.", "nobody"]
+    assert [r.p.script_chain for r in C.stamp(df, "p", "b").collect()] == [["a", "b"], ["b"]]
+    nums = spark.range(5).select(F.col("id").cast("double").alias("x"))
+    got = ml.predict_batches(nums, lambda: lambda x: np.asarray(x) * 2, ["x"], "y").collect()
+    assert sorted(r.y for r in got) == [0.0, 2.0, 4.0, 6.0, 8.0]
