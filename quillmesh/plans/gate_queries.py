@@ -180,11 +180,19 @@ def gated(t):
 DEFAULT_FIRED = "(" + " OR ".join(
     [f"(len(list_intersect(list_distinct({WORD_LIST}), {sql_list(sorted(set(L.EMOTIVE)))})) >= 2)", f"{CAPS} >= 3 OR {count('!')} >= 3", f"({URLS} = 0 AND {NAMED} = 0)", FIRED_SQL["FAB"]]
 ) + ")"
-GATED = f"""
+
+
+def gated_sql(source: str, mention: bool = True) -> str:
+    missing = "CASE WHEN electoral AND mention IS NULL THEN 'no_candidate_mention' END" if mention else "NULL"
+    return f"""
   SELECT *, list_filter([CASE WHEN NOT electoral AND NOT neutral THEN 'theme' END, CASE WHEN electoral AND cut <> 'ok' THEN 'truncation: ' || cut END,
-    CASE WHEN len(offenders) > 0 THEN 'legacy_pseudonyms: ' || array_to_string(offenders, ', ') END, CASE WHEN electoral AND mention IS NULL THEN 'no_candidate_mention' END], lambda x: x IS NOT NULL) AS reasons
+    CASE WHEN len(offenders) > 0 THEN 'legacy_pseudonyms: ' || array_to_string(offenders, ', ') END, {missing}], lambda x: x IS NOT NULL) AS reasons
   FROM (SELECT *, score >= 0.55 AS electoral, score < 0.55 AND neg <= 1 AND pos = 0 AND NOT {DEFAULT_FIRED} AS neutral, {CUT} AS cut, {OFFENDERS} AS offenders, {MENTION} AS mention
-    FROM ({SCORED.replace('FROM documents', 'FROM ' + NAMED_TEXT)}))"""
+    FROM ({SCORED.replace('FROM documents', 'FROM ' + source)}))"""
+
+
+STAGE_SQL = "CASE WHEN reason LIKE 'theme%' THEN 'theme' WHEN reason LIKE 'trunc%' THEN 'truncation' WHEN reason LIKE 'legacy%' THEN 'pseudonym' ELSE 'candidate' END"
+GATED = gated_sql(NAMED_TEXT)
 
 
 @query("q_run_all_gates", f"SELECT doc_id, len(reasons) = 0 AS accepted, array_to_string(reasons, ';') AS reasons, electoral, neutral FROM ({GATED})")

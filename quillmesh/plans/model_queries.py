@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import numeric as N
 from quillmesh.functions.equation import compile_equation
 from quillmesh.operators import ml
-from quillmesh.plans.gate_queries import NEGATIVE, POSITIVE, REGISTRY
+from quillmesh.plans.gate_queries import NEGATIVE, POSITIVE, REGISTRY, STAGE_SQL, gated_sql
 from quillmesh.plans.registry import ORACLES, QUERIES, query, table, whole
 from quillmesh.sources import readers, writers
 from quillmesh.streaming import gates
@@ -92,7 +92,11 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_pool(spark, path, "struct<id:string,lang:string,text:string>").select("id", "lang", F.regexp_replace("pool_metadata", " ", "").alias("meta"))
 
 
-@register("q_stream_gates")
+@register(
+    "q_stream_gates",
+    f"""WITH g AS ({gated_sql('documents', mention=False)}) SELECT doc_id, 'accepted' AS stage FROM g WHERE len(reasons) = 0
+      UNION ALL SELECT doc_id, {STAGE_SQL} AS stage FROM (SELECT doc_id, unnest(reasons) AS reason FROM g)""",
+)
 def stream_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "stream")
     docs = table(spark, sf_dir, "documents")

@@ -374,10 +374,20 @@ def explained(t):
     rows = cards(t).withColumn("tier", F.lit("novice"))
     codes = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("URG"), F.lit("EMO"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("POL"))).otherwise(F.array(F.lit("MISS")))
     rows = rows.withColumn("fired", codes)
-    return rows, EX.explanation(rows, bank(rows), "doc_id", "fired", "verdict", 100 * p_fake(), "tier")
+    return rows, EX.explanation(rows, bank(rows), "doc_id", "fired", "verdict", F.col("doc_id") % 101 + 0.25, "tier")
 
 
-@query("q_explanations")
+EXPLAINED = f"""WITH v AS (SELECT code, list({{'id': bank_id, 'phrase': phrase}} ORDER BY bank_id) AS vs FROM {BANK_VALUES} WHERE tier = 'novice' GROUP BY 1),
+    c AS (SELECT doc_id, verdict, doc_id % 101 AS k, CASE WHEN verdict = 'REAL' THEN ['CREDIBLE'] WHEN doc_id % 3 = 0 THEN ['EMO', 'URG'] WHEN doc_id % 3 = 1 THEN ['POL'] ELSE ['MISS'] END AS codes FROM {CARDS}),
+    e AS (SELECT doc_id, unnest(codes) AS code, generate_subscripts(codes, 1) AS pos FROM c),
+    p AS (SELECT doc_id, list(e.code ORDER BY pos) AS codes, list(vs[(('0x' || substr(sha256(doc_id || e.code || 'novice'), 1, 8))::BIGINT % len(vs) + 1)::INT].phrase ORDER BY pos) AS phrases FROM e JOIN v ON v.code = e.code GROUP BY 1),
+    s AS (SELECT c.doc_id, verdict, p.codes, coalesce(p.phrases, []) AS ps, k::BIGINT AS pct FROM c LEFT JOIN p ON p.doc_id = c.doc_id)
+  SELECT doc_id, 'novice' AS tier, len(ps)::BIGINT AS n, CASE WHEN verdict = 'REAL' THEN 'Looks credible (estimated fake-likelihood ' || pct || '%). ' || array_to_string(ps, ' ')
+    WHEN len(ps) = 0 THEN 'Looks suspicious (estimated fake-likelihood ' || pct || '%), but the cues are subtle.'
+    ELSE 'Looks suspicious (estimated fake-likelihood ' || pct || '%). ' || len(ps) || CASE WHEN len(ps) = 1 THEN ' cue: ' ELSE ' cues: ' END || array_to_string(codes, ', ') || '. ' || array_to_string(ps, ' ') END AS summary FROM s"""
+
+
+@query("q_explanations", EXPLAINED)
 def explanations(t):
     return explained(t)[1].select("doc_id", "tier", "summary", F.size("indicator_phrases").alias("n"))
 
