@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,11 @@ from quillmesh.streaming import gates
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder in the place that the cluster shares."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder in the place that the cluster shares; a local session gets a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if base is None:
+        base = f"file://{tempfile.mkdtemp(prefix='quillmesh-')}" if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
