@@ -17,7 +17,7 @@ def standardise(df: DataFrame, id_col: str, vector: str, train: Column) -> DataF
     return z.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda e: e["z"]).alias("z"))
 
 
-def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFrame | None = None, blocks: int = 8) -> DataFrame:
+def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFrame | None = None, block_rows: int = 8192) -> DataFrame:
     """(src, dst, rank, cos): the k most similar ``others`` (by default all nodes but itself) of each node, ties to the smaller id.
 
     Exact: every node meets every other, in blocks. A node's block takes only
@@ -29,6 +29,7 @@ def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFr
 
     if k <= 0:
         raise ValueError("k must be positive")
+    blocks = max(1, -(-max(nodes.count(), 0 if others is None else others.count()) // block_rows))
     unit = lambda df, name: df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), l2_normalise(F.col(vector)).alias("v")).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = unit(nodes, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = unit(nodes if others is None else others, "b").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

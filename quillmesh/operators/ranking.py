@@ -73,7 +73,9 @@ def balance(df: DataFrame, key: str, target: int, fake_share: float = 0.5, seed:
     n_open = target - n_fake - n_real
     quota = {"FAKE": max(1, n_fake // groups), "REAL": max(1, n_real // groups)}
     h = hash_order(seed, F.col(key))
-    ranked = df.withColumn("__h", h).withColumn("__r", F.row_number().over(W.partitionBy("verdict", "candidate").orderBy(F.col("__h"), F.col(key))))
+    # no row beyond these can be chosen; groups are cut to them before the shuffle
+    few = take_per_group(df, ["verdict", "candidate"], seed, key, 2 * target).drop("bucket_rank")
+    ranked = few.withColumn("__h", h).withColumn("__r", F.row_number().over(W.partitionBy("verdict", "candidate").orderBy(F.col("__h"), F.col(key))))
     opens = ranked.withColumn("__u", F.row_number().over(W.partitionBy("verdict").orderBy(F.col("__h"), F.col(key))))
     step = (
         F.when((F.col("verdict") == "FAKE") & (F.col("__r") <= quota["FAKE"]), 0)
@@ -90,7 +92,8 @@ def curate(df: DataFrame, key: str, target: int, min_real: float = 0.35, max_ope
     n_real, n_open = max(1, int(target * min_real)), max(1, int(target * max_open))
     h = hash_order(seed, F.col(key))
     w = W.partitionBy("verdict").orderBy(F.col("__h"), F.col(key))
-    ranked = df.withColumn("__h", h).withColumn("__r", F.row_number().over(w))
+    few = take_per_group(df, ["verdict"], seed, key, 2 * target).drop("bucket_rank")  # no row beyond these can be chosen
+    ranked = few.withColumn("__h", h).withColumn("__r", F.row_number().over(w))
     sizes = df.agg(
         F.least(F.count_if(F.col("verdict") == "REAL"), F.lit(n_real)).alias("__a"), F.least(F.count_if(F.col("verdict") == "UNCERTAIN"), F.lit(n_open)).alias("__b")
     )
