@@ -321,15 +321,35 @@ def names(t):
 
 
 PLACES = ("the", "of the", "and", "les", "luzon", "der city", "que")
-SORTED_PLACES = "of the|der city|luzon|and|les|que|the"
+# The oracle's engine has no look-around: every separator is doubled, so that neighbouring matches can each consume one.
+DOUBLED = r"regexp_replace(coalesce(text, ''), '([^A-Za-z0-9])', '\1\1', 'g')"
+PLACE_RE = "(?i)(^|[^A-Za-z0-9])(" + "|".join(p.replace(" ", "  ") for p in sorted(PLACES, key=lambda x: (-len(x), x))) + ")([^A-Za-z0-9]|$)"
+PLACE_CODES = f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all({DOUBLED}, '{PLACE_RE}', 2)) AS m, generate_subscripts(regexp_extract_all({DOUBLED}, '{PLACE_RE}', 2), 1) AS k FROM documents),
+    e AS (SELECT lower(replace(m, '  ', ' ')) AS entity, min({{'a': doc_id, 'b': k}}) AS first FROM w GROUP BY 1),
+    c AS (SELECT entity, CASE entity WHEN 'luzon' THEN 'island_group' WHEN 'der city' THEN 'city' ELSE 'province' END AS category, first FROM e),
+    r AS (SELECT entity, category, row_number() OVER (PARTITION BY category ORDER BY first) - 1 AS idx FROM c)
+  SELECT entity, category, idx, CASE category WHEN 'island_group' THEN 'Island Group ' || (idx + 1) WHEN 'city' THEN 'City ' || ['W', 'X', 'Y'][idx + 1] ELSE 'Province ' || ['L', 'M', 'N', 'O', 'P', 'K', 'J', 'I'][idx + 1] END AS pseudonym FROM r"""
 
 
-@query("q_place_codes")
+@query("q_place_codes", PLACE_CODES)
 def place_codes(t):
-    return S.place_codes(t("documents"), "doc_id", "text", PLACES)
+    return S.place_codes(t("documents"), "doc_id", "text", PLACES).withColumnRenamed("index", "idx")
 
 
-@query("q_place_pseudonymise")
+def _place_text() -> str:
+    # each place becomes a mark that no text holds, separators are halved again, and marks give way to pseudonyms
+    text = DOUBLED
+    order = sorted(PLACES, key=lambda x: (-len(x), x))
+    for k, p in enumerate(order):
+        text = f"regexp_replace({text}, '(?i)(^|[^A-Za-z0-9]){p.replace(' ', '  ')}([^A-Za-z0-9]|$)', '\\1QZQ{k}QZQ\\2', 'g')"
+    text = f"array_to_string(list_transform(regexp_extract_all({text}, '[A-Za-z0-9]+|[^A-Za-z0-9][^A-Za-z0-9]'), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z0-9]') THEN x ELSE substr(x, 1, 1) END), '')"
+    text = text.replace("[^A-Za-z0-9][^A-Za-z0-9]'), lambda", "(?s:[^A-Za-z0-9][^A-Za-z0-9])'), lambda")
+    for k, p in enumerate(order):
+        text = f"replace({text}, 'QZQ{k}QZQ', coalesce((SELECT pseudonym FROM codes WHERE entity = '{p}'), '{p}'))"
+    return text
+
+
+@query("q_place_pseudonymise", f"WITH codes AS ({PLACE_CODES}) SELECT doc_id, {_place_text()} AS text, len(regexp_extract_all({DOUBLED}, '{PLACE_RE}', 2))::BIGINT AS n_places FROM documents")
 def place_text(t):
     return S.pseudonymise_places(t("documents").select("doc_id", "text"), "doc_id", "text", PLACES)
 
