@@ -503,7 +503,19 @@ def conditioned(t):
     return conditioned_corpus(docs, t("labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "text", "p")
 
 
-@query("q_deck_draw")
+DECKS = f"""WITH u AS (SELECT DISTINCT user_id::VARCHAR AS user_id, (('0x' || substr(sha256(user_id || ':pool'), 1, 16))::UBIGINT % 9223372036854775808)::VARCHAR AS seed FROM events),
+    cards AS (SELECT *, {sha(1729)} AS h0, row_number() OVER (PARTITION BY verdict ORDER BY {sha(1729)}, doc_id) AS r0, count(*) FILTER (verdict = 'REAL') OVER () AS nr, count(*) FILTER (verdict = 'UNCERTAIN') OVER () AS nu FROM {CARDS}),
+    pool AS (SELECT id, verdict FROM cards ORDER BY CASE WHEN verdict = 'REAL' AND r0 <= 105 THEN 1 WHEN verdict = 'UNCERTAIN' AND r0 <= 30 THEN 2 WHEN verdict = 'FAKE' AND r0 <= 300 - least(nr, 105) - least(nu, 30) THEN 3 ELSE 4 END, h0, doc_id LIMIT 300),
+    a AS (SELECT user_id, id, verdict, sha256('deck|' || seed || '|' || id) AS h, CASE verdict WHEN 'REAL' THEN 2 WHEN 'UNCERTAIN' THEN 1 ELSE 5 END AS quota FROM u, pool),
+    b AS (SELECT *, row_number() OVER (PARTITION BY user_id, verdict ORDER BY h, id) AS r FROM a QUALIFY r <= 56),
+    c AS (SELECT *, CASE WHEN r <= quota * 7 THEN 0 WHEN verdict = 'FAKE' THEN 1 WHEN verdict = 'UNCERTAIN' THEN 2 ELSE 3 END AS p FROM b),
+    d AS (SELECT *, CASE WHEN p = 0 THEN ceil(r / quota::DOUBLE)::INT ELSE 8 END AS own FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p, h, id) <= 56),
+    e AS (SELECT *, ceil(row_number() OVER (PARTITION BY user_id ORDER BY own, h, id) / 8.0)::BIGINT AS day FROM d),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY h, id) AS slot FROM e)
+  SELECT user_id, day, slot, id, verdict, CASE WHEN verdict = 'FAKE' THEN last_value(CASE WHEN verdict = 'REAL' THEN id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day, slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS counter_id FROM f"""
+
+
+@query("q_deck_draw", DECKS)
 def decks(t):
     pool = K.curate(cards(t), "doc_id", 300).select("id", "verdict")
     users = t("events").select(F.col("user_id").cast("string").alias("user_id")).distinct()
