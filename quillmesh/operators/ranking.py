@@ -119,7 +119,7 @@ def split(df: DataFrame, key: str, label: str, shares: Sequence[tuple[str, float
     base = sizes.select(label, "__part", F.coalesce(F.sum("__n").over(by_label.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(by_label).alias("__all"))
     base = base.withColumnRenamed(label, "__label").withColumnRenamed("__part", "__p")
     own = F.row_number().over(W.partitionBy(label, "__part").orderBy("__h", key)) - 1
-    ranked = put.withColumn("__own", own).join(F.broadcast(base), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__p")))
+    ranked = put.withColumn("__own", own).join(base, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__p")))
     at = F.col("__base") + F.col("__own")
     out, reach = None, 0.0
     for name, share in shares[:-1]:
