@@ -36,8 +36,6 @@ BUDGET = 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Classes dealt to a shard, about.
 SHARD_ROWS = 50_000
-#: Stands for a null id; it is larger than any other.
-NO_ID = (1 << 63) - 1
 #: Node pairs with no more members than this on either side are compared directly.
 LEAF = 64
 
@@ -198,18 +196,6 @@ def simhash_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     return rows.join(group(rows), "fp")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one of the least id (of repeated rows, one)."""
-    columns = docs.columns
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    rows = materialise(with_fingerprint(keyed, (*columns, "__id")), "fingerprints")
-    groups = group(rows, "__id")
-    first = rows.select("__id", "fp").distinct().join(groups, "fp").filter(F.col("__id") == F.col("component_id"))
-    # an id that repeats with other texts stands once for a component
-    one = first.groupBy("class_fp", "component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("__id"), "fp")
-    return rows.join(one, ["__id", "fp"], "left_semi").dropDuplicates(["__id", "fp"]).select(*columns)
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_groups(table(spark, sf_dir, "documents"))
