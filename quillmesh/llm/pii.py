@@ -3,10 +3,13 @@
 Base spans (email, ip, card, phone) are the protected entities. Around each
 mention, the words of a window are terms. Over the whole corpus, with n(c)
 documents holding entity c, n(t) holding term t and n(c,t) holding t in a
-window of c, a term discloses PMI(c;t) = log2(N n(c,t) / (n(c) n(t))) of the
-log2(N / n(c)) bits that name c. Where the share reaches DISCLOSURE, the
-term's mentions in windows of c become spans of kind ``term``; ``sanitise``
-generalises the base spans to their kind and removes those terms.
+window of c, a term discloses PMI(c;t) = log2(P(c|t) / P(c)) of the
+log2(1 / P(c)) bits that name c, where P(c) = n(c) / N and P(c|t) is
+(n(c,t) + PRIOR P(c)) / (n(t) + PRIOR): a term starts from telling nothing, as
+PRIOR documents would show, so few documents weigh less but every pair is
+judged. Where the share reaches DISCLOSURE, the term's mentions in windows of
+c become spans of kind ``term``; ``sanitise`` generalises the base spans to
+their kind and removes those terms.
 
 Edge cases: null and empty texts have no spans; repeated rows count as rows
 and get equal spans; equal starts are ordered by kind; overlapping spans are
@@ -42,9 +45,9 @@ NEEDS = {
 #: Code points on either side of a mention that form its window.
 WINDOW = 64
 TERM = r"\p{L}{3,}"
-#: Share of an entity's bits that a term may disclose, and documents that must hold the two together.
+#: Share of an entity's bits that a term may disclose, and documents that the lack of a link counts for beforehand.
 DISCLOSURE = 0.9
-MIN_SUPPORT = 5
+PRIOR = 0.5
 SCAN_BLOCK = 256
 
 
@@ -148,13 +151,14 @@ def disclosing(docs: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
     total = docs.agg(F.count("*").alias("n_all"))
     holds = found.filter(F.size("pii_base") > 0).select(F.explode(F.array_distinct(F.transform("pii_base", lambda s: s["value"]))).alias("entity"))
     by_entity = holds.groupBy("entity").agg(F.count("*").alias("n_c"))
-    together = seen.select("pii_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= MIN_SUPPORT)
+    together = seen.select("pii_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     together = materialise(together, "together")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     by_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(together.select("term").distinct(), "term")
     counted = together.join(by_entity, "entity").join(by_term, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n_all") * F.col("n_ct") / (F.col("n_c") * F.col("n_t").cast("double")))
-    bits = F.log2(F.col("n_all") / F.col("n_c"))
+    known = F.col("n_c") / F.col("n_all")
+    pmi = F.log2((F.col("n_ct") + PRIOR * known) / (F.col("n_t") + PRIOR) / known)
+    bits = -F.log2(known)
     return counted.filter((bits > 0) & (pmi >= DISCLOSURE * bits)).select("entity", "term")
 
 
