@@ -1,15 +1,16 @@
 """Personal data: base patterns plus information-theoretic sanitisation, in DataFrame functions only.
 
-Base spans (email, ip, card, phone) are the protected entities. Around each
-mention, the words of a window are terms. Over the whole corpus, with n(c)
-documents holding entity c, n(t) holding term t and n(c,t) holding t in a
-window of c, a term discloses PMI(c;t) = log2(P(c|t) / P(c)) of the
-log2(1 / P(c)) bits that name c, where P(c) = n(c) / N and P(c|t) is
+Base spans (email, ip, card, phone) are the protected entities, the words of
+the documents that hold them are terms. Over the whole corpus, with n(c)
+documents holding entity c, n(t) holding term t and n(c,t) holding both, a
+term discloses PMI(c;t) = log2(P(c|t) / P(c)) of the log2(1 / P(c)) bits that
+name c, where P(c) = n(c) / N and P(c|t) is
 (n(c,t) + PRIOR P(c)) / (n(t) + PRIOR): a term starts from telling nothing, as
 PRIOR documents would show, so few documents weigh less but every pair is
-judged. Where the share reaches DISCLOSURE, the term's mentions in windows of
-c become spans of kind ``term``; ``sanitise`` generalises the base spans to
-their kind and removes those terms.
+judged. Where the share reaches DISCLOSURE, the term's mentions throughout the
+documents that hold c become spans of kind ``term``, but for those inside base
+spans; ``sanitise`` generalises the base spans to their kind and removes those
+terms.
 
 Edge cases: null and empty texts have no spans; repeated rows count as rows
 and get equal spans; equal starts are ordered by kind; overlapping spans are
@@ -42,8 +43,6 @@ NEEDS = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-#: Code points on either side of a mention that form its window.
-WINDOW = 64
 TERM = r"\p{L}{3,}"
 #: Share of an entity's bits that a term may disclose, and documents that the lack of a link counts for beforehand.
 DISCLOSURE = 0.9
@@ -66,7 +65,7 @@ def scan(values: Column, op: Callable[[Column, Column], Column], zero: Column) -
     return F.when(F.size(values) > 0, scanned).otherwise(empty)
 
 
-SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
 def _digits(value: Column) -> Column:
@@ -100,33 +99,32 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """The valid matches of a kind with their offsets and windows, as an array of SPAN."""
+    """The valid matches of a kind with their offsets, as an array of SPAN."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    heads = F.slice(parts, 1, F.size(found))
+    heads = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     ends = scan(F.zip_with(heads, found, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b, F.lit(0))
-    rows = F.arrays_zip(found.alias("m"), ends.alias("e"), heads.alias("p"), F.slice(parts, 2, F.size(found)).alias("q"))
+    rows = F.arrays_zip(found.alias("m"), ends.alias("e"))
     valid = F.filter(rows, lambda r: _valid(kind, r["m"]))
     made = F.transform(
         valid,
-        lambda r: F.struct(
-            F.lit(kind).alias("kind"), (r["e"] - F.length(r["m"])).alias("start"), r["e"].alias("end"), _entity(kind, r["m"]).alias("value"),
-            # a word that the window cuts is not a term
-            F.when(F.length(r["p"]) > WINDOW, F.regexp_replace(F.right(r["p"], F.lit(WINDOW)), r"^\p{L}+", "")).otherwise(r["p"]).alias("left"),
-            F.when(F.length(r["q"]) > WINDOW, F.regexp_replace(F.left(r["q"], F.lit(WINDOW)), r"\p{L}+$", "")).otherwise(r["q"]).alias("right"),
-        ),
-    )
+        lambda r: F.struct(F.lit(kind).alias("kind"), (r["e"] - F.length(r["m"])).alias("start"), r["e"].alias("end"), _entity(kind, r["m"]).alias("value")),
+    )
     return F.when(NEEDS[kind](text), F.coalesce(made, F.array().cast(f"array<{SPAN}>"))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _terms(side: Column, start: Column) -> Column:
-    """The terms of one side of a window: lower-cased, with offsets in the text."""
-    found = F.regexp_extract_all(side, F.lit(TERM), F.lit(0))
-    heads = F.slice(F.split(side, TERM, -1), 1, F.size(found))
+def _words(text: Column) -> Column:
+    """The lower-cased terms of a text, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _terms(text: Column) -> Column:
+    """The mentions of terms in a text: lower-cased, with offsets."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    heads = F.slice(F.split(text, TERM, -1), 1, F.size(found))
     ends = scan(F.zip_with(heads, found, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b, F.lit(0))
     rows = F.arrays_zip(found.alias("m"), ends.alias("e"))
-    return F.transform(rows, lambda r: F.struct(F.lower(r["m"]).alias("term"), (start + r["e"] - F.length(r["m"])).cast("int").alias("start"), (start + r["e"]).cast("int").alias("end")))
+    return F.transform(rows, lambda r: F.struct(F.lower(r["m"]).alias("term"), (r["e"] - F.length(r["m"])).cast("int").alias("start"), r["e"].cast("int").alias("end")))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -138,39 +136,47 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.withColumn("pii_base", spans).withColumn("pii_row", F.monotonically_increasing_id())
 
 
-def mentions(found: DataFrame) -> DataFrame:
-    """(pii_row, entity, term, start, end) for each term of a window."""
-    one = found.filter(F.size("pii_base") > 0).select("pii_row", F.explode("pii_base").alias("s"))
-    sides = F.concat(_terms(F.col("s.left"), F.col("s.start") - F.length("s.left")), _terms(F.col("s.right"), F.col("s.end")))
-    terms = one.select("pii_row", F.col("s.value").alias("entity"), F.explode(sides).alias("t"))
-    return terms.select("pii_row", "entity", "t.term", "t.start", "t.end")
+def _outside() -> Column:
+    """Whether the mention t lies in no base span: those are generalised as a whole."""
+    return ~F.exists("pii_base", lambda s: (s["start"] <= F.col("t.start")) & (F.col("t.end") <= s["end"]))
+
+
+def holders(found: DataFrame) -> DataFrame:
+    """(pii_row, entity, n_c): the documents of each entity; of entities with the same documents, which are judged alike, one."""
+    held = found.filter(F.size("pii_base") > 0).select("pii_row", F.explode(F.array_distinct(F.transform("pii_base", lambda s: s["value"]))).alias("entity"))
+    same = [F.bit_xor(F.xxhash64("pii_row", F.lit(k))).alias(f"same_{k}") for k in (0, 1)]
+    sets = held.groupBy("entity").agg(F.count("*").alias("n_c"), *same)
+    one = sets.groupBy("n_c", "same_0", "same_1").agg(F.min("entity").alias("entity")).select("entity", "n_c")
+    return held.join(one, "entity")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
-    """(entity, term) whose term discloses too much; counts are over all documents."""
+    """(pii_row, term) whose term discloses too much of an entity in that row; counts are over all documents."""
     total = docs.agg(F.count("*").alias("n_all"))
-    holds = found.filter(F.size("pii_base") > 0).select(F.explode(F.array_distinct(F.transform("pii_base", lambda s: s["value"]))).alias("entity"))
-    by_entity = holds.groupBy("entity").agg(F.count("*").alias("n_c"))
-    together = seen.select("pii_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    together = materialise(together, "together")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    by_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(together.select("term").distinct(), "term")
-    counted = together.join(by_entity, "entity").join(by_term, "term").crossJoin(F.broadcast(total))  # one row
+    held = materialise(holders(found).crossJoin(F.broadcast(total)).filter("n_c < n_all"), "held")  # one row
     known = F.col("n_c") / F.col("n_all")
-    pmi = F.log2((F.col("n_ct") + PRIOR * known) / (F.col("n_t") + PRIOR) / known)
-    bits = -F.log2(known)
-    return counted.filter((bits > 0) & (pmi >= DISCLOSURE * bits)).select("entity", "term")
+    share = lambda together: -F.log2((together + PRIOR * known) / (F.col("n_t") + PRIOR) / known) / F.log2(known)
+    words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
+    by_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = seen.select("pii_row", "term").distinct().join(by_term, "term").join(held, "pii_row")
+    # n_ct is n_c at most: what does not pass with that needs no count
+    pairs = materialise(pairs.filter(share(F.col("n_c")) >= DISCLOSURE), "pairs")
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"), F.first("n_all").alias("n_all"))
+    risky = counted.filter(share(F.col("n_ct")) >= DISCLOSURE).select("entity", "term")
+    return pairs.join(risky, ["entity", "term"]).select("pii_row", "term").distinct()
 
 
 def pii_spans(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """The ``carry`` columns with pii_base and pii_terms, arrays of spans in code points, ends exclusive."""
-    found = materialise(find(docs).select(*carry, "pii_row", "pii_base"), "found")
-    seen = materialise(mentions(found), "mentions")
+    held = F.when(F.size("pii_base") > 0, F.col("text"))
+    found = materialise(find(docs).select(*carry, "pii_row", "pii_base", held.alias("pii_held")), "found")
+    holding = found.filter(F.col("pii_held").isNotNull())
+    seen = materialise(holding.select("pii_row", "pii_base", F.explode(_terms(F.col("pii_held"))).alias("t")).select("pii_row", "t.*", _outside().alias("free")), "mentions")
     risky = disclosing(docs, found, seen)
-    hits = seen.join(risky, ["entity", "term"]).groupBy("pii_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pii_terms"))
+    hits = seen.filter("free").join(risky, ["pii_row", "term"]).groupBy("pii_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pii_terms"))
     hits = materialise(hits, "hits")  # of known size to the planner: rows are shuffled only if it is large
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return found.join(hits, "pii_row", "left").withColumn("pii_terms", F.coalesce("pii_terms", none)).drop("pii_row")
+    return found.join(hits, "pii_row", "left").withColumn("pii_terms", F.coalesce("pii_terms", none)).drop("pii_row", "pii_held")
 
 
 def _all_spans() -> Column:
