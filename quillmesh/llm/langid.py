@@ -6,9 +6,12 @@ compressed in blocks with every dictionary; the smallest total names its languag
 marked as rejected and score low.
 
 Edge cases: null texts, empty texts and texts without a letter are ``und``
-with score 0; ties go to the language with more training rows; repeated rows give
-equal results; rows with null lang or null id never train; with no training
-rows every text is ``und``; other input columns are ignored.
+with score 0; ties go to the language with more training ids, then to the lesser
+name; repeated rows give equal results, and an id that repeats counts once for
+each of its languages, with its least text; rows with null lang or null id
+never train; with no training rows every text is ``und``; other input columns
+are ignored. Every language is learned; the driver holds DICTIONARY_BYTES of
+each.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import id_remainder, table
 
-#: Rows sampled for each language (least hash of the id first) and bytes of its dictionary.
+#: Ids sampled for each language (least hash first) and bytes of its dictionary.
 SAMPLE_ROWS = 600
 DICTIONARY_BYTES = 64 << 10
-#: Bytes that one sampled row gives at most, so that the dictionary holds many texts.
+#: Bytes that one sampled training row gives at most, so that a dictionary holds many texts (classified texts are whole).
 PIECE_BYTES = 2000
 HASHES = 1 << 40
-#: Languages that can be told apart, at most; the rarest others are not learned.
-MAX_LANGUAGES = 200
+#: Hashed ids let through to the ranking, as a multiple of the sample: so many are expected, and none are cut of a language with fewer.
+LET_IN = 8
 #: Texts are compressed in blocks of so many bytes, so that the dictionary still counts in long ones.
 BLOCK_BYTES = 1024
 LEVEL = 9
@@ -42,25 +45,26 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def learn(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """Language to dictionary, from rows with a language whose crc32(id) mod 5 is not 0."""
-    spark = docs.sparkSession
+    """Language to dictionary, from rows with a language whose crc32(id) mod 5 is not 0; languages of more ids come first."""
     train = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0))
-    langs = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    sizes_ = {r.lang: r.n for r in langs.collect()}
-    by_size = list(sizes_)
-    # only hashes below a cut can be among the least: four times the sample is let through, so that no task ranks a language's every row
-    cuts = spark.createDataFrame([(k, min(HASHES, 4 * rows_per_language * HASHES // n)) for k, n in sizes_.items()], "lang string, cut bigint")
     h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h")
-    ids = train.select("doc_id", "lang", h).join(F.broadcast(cuts), "lang").filter(F.col("h") < F.col("cut"))
+    # ids, not rows, are counted: a sketch a language, so that no task ranks a language's every row
+    langs = train.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    cuts = langs.select("lang", "n", (F.lit(float(LET_IN * rows_per_language)) * HASHES / F.col("n")).alias("cut"))
+    ids = train.select("doc_id", "lang", h).join(cuts, "lang").filter(F.col("h") <= F.col("cut")).groupBy("lang", "doc_id", "h").agg(F.max("n").alias("n"))
     w = W.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= rows_per_language).select("doc_id", "lang", "rank")
-    bound = MAX_LANGUAGES * rows_per_language
-    picked = train.select("doc_id", "lang", F.col("text").cast("binary").alias("raw")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    piece = F.substring("raw", 1, 4 * PIECE_BYTES)  # only of the dictionary's content; classified texts are whole
-    texts: dict[str, list] = {}
-    for r in picked.select("lang", "rank", piece.alias("raw")).limit(bound).collect():
-        texts.setdefault(r.lang, []).append((r.rank, normal(bytes(r.raw).decode("utf-8", "ignore"))[:PIECE_BYTES]))
-    return {k: b"\n".join(raw for _, raw in sorted(v))[:DICTIONARY_BYTES] for k, v in sorted(texts.items(), key=lambda x: by_size.index(x[0]))}
+    chosen = ids.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= rows_per_language).select("doc_id", "lang", "rank", "n")
+    piece = F.substring(F.col("text").cast("binary"), 1, 4 * PIECE_BYTES).alias("raw")
+    picked = train.select("doc_id", "lang", piece).join(chosen, ["doc_id", "lang"]).groupBy("lang", "rank", "n").agg(F.min("raw").alias("raw"))
+
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        """The dictionary of one language, from rows_per_language rows at most."""
+        texts = rows.sort_by("rank").column("raw").to_pylist()
+        raw = b"\n".join(normal(t.decode("utf-8", "ignore"))[:PIECE_BYTES] for t in texts)[:DICTIONARY_BYTES]
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "n": pa.array([rows.column("n")[0].as_py()], pa.int64()), "raw": pa.array([raw], pa.binary())})
+
+    found = picked.groupBy("lang").applyInArrow(fill, "lang string, n long, raw binary").collect()
+    return {r.lang: bytes(r.raw) for r in sorted(found, key=lambda r: (-r.n, r.lang))}
 
 
 def normal(text: str) -> bytes:

@@ -2,12 +2,14 @@
 
 ``encode_media`` stores bytes losslessly as uncompressed 8x8 RGB frames (192
 8-bit samples each) in a one-track container. ``media_features`` walks the
-nested boxes of any container, decodes its sample tables with numpy, and
-returns codec, duration and the byte ranges of the key frames; the payload is
-never decoded.
+nested boxes of any container, decodes the sample tables of one track (the
+first video track, else the first track) and the runs of its movie fragments
+with numpy, and returns codec, duration and the byte ranges of the key frames;
+the payload is never decoded.
 
 Edge cases: null bytes or text count as empty and give one frame of spaces;
-null or malformed containers give null features and a message in
+null or malformed containers, also those that claim more samples than their
+bytes can hold or nest without end, give null features and a message in
 ``media_error``; other input columns are ignored, so clashing names are safe;
 equal bytes give equal containers.
 """
@@ -86,26 +88,55 @@ def mux(payload: bytes) -> bytes:
     return b"".join([FTYP, moov(base), struct.pack(">I4sQ", 1, b"mdat", MDAT_HEADER + len(payload)), payload])
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Every box as (path, start of its body, end), parents before children."""
-    end = len(data) if end is None else end
-    while start < end:
-        if end - start < 8:
+class Node:
+    """A box: where its body lies, and the boxes in it by kind."""
+
+    def __init__(self, kind: bytes, at: int, body: int, end: int):
+        self.kind, self.at, self.body, self.end = kind, at, body, end
+        self.children: list[Node] = []
+
+    def all(self, kind: bytes) -> list[Node]:
+        return [x for x in self.children if x.kind == kind]
+
+    def find(self, *path: bytes) -> Node | None:
+        """The first box at the end of the path."""
+        node: Node | None = self
+        for kind in path:
+            node = next(iter(node.all(kind)), None) if node else None
+        return node
+
+    def need(self, *path: bytes) -> Node:
+        if (node := self.find(*path)) is None:
+            raise ValueError(f"no {path[-1].decode('latin1')} box")
+        return node
+
+
+def walk(data: bytes) -> Node:
+    """The tree of boxes, walked with a stack of its own, so that depth costs no recursion."""
+    root = Node(b"", 0, 0, len(data))
+    open_ = [(root, 0)]
+    while open_:
+        parent, start = open_.pop()
+        if start >= parent.end:
+            continue
+        if parent.end - start < 8:
             raise ValueError("truncated box header")
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
-            if end - start < 16:
+            if parent.end - start < 16:
                 raise ValueError("truncated box header")
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
-        stop = end if size == 0 else start + size
-        if stop > end or stop < body:
+        stop = parent.end if size == 0 else start + size
+        if stop > parent.end or stop < body:
             raise ValueError(f"box {kind!r} leaves its parent")
-        yield (*path, kind), body, stop
+        node = Node(kind, start, body, stop)
+        parent.children.append(node)
+        open_.append((parent, stop))
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            open_.append((node, body))
+    return root
 
 
 def _ints(data: bytes, at: int, end: int, count: int, width: int = 1, kind: str = ">u4") -> np.ndarray:
@@ -116,61 +147,141 @@ def _ints(data: bytes, at: int, end: int, count: int, width: int = 1, kind: str
 
 
 class Track:
-    """The sample tables of the first track, as flat arrays."""
+    """The samples of one track as flat arrays: its sample tables, then its movie fragments."""
 
     def __init__(self, data: bytes):
-        boxes: dict[bytes, tuple[int, int]] = {}
-        for path, body, end in walk(data):
-            boxes.setdefault(path[-1], (body, end))
-        u32 = lambda at: struct.unpack_from(">I", data, at)[0]
-
-        def need(kind: bytes) -> tuple[int, int]:
-            if kind not in boxes:
-                raise ValueError(f"no {kind.decode('latin1')} box")
-            return boxes[kind]
-
-        at, end = need(b"mdhd")
-        if data[at] == 1:
-            self.timescale, self.duration = struct.unpack_from(">IQ", data, at + 20)
+        self.data = data
+        root = walk(data)
+        moov = root.need(b"moov")
+        tracks = moov.all(b"trak")
+        if not tracks:
+            raise ValueError("no trak box")
+        video = [t for t in tracks if (h := t.find(b"mdia", b"hdlr")) and data[h.body + 8 : h.body + 12] == b"vide"]
+        trak = (video or tracks)[0]
+        mdhd = trak.need(b"mdia", b"mdhd")
+        if data[mdhd.body] == 1:
+            self.timescale, self.duration = struct.unpack_from(">IQ", data, mdhd.body + 20)
         else:
-            self.timescale, self.duration = struct.unpack_from(">II", data, at + 12)
-        at, end = need(b"stsd")
-        self.codec = data[at + 12 : at + 16].decode("latin1").strip()
-        self.width, self.height = struct.unpack_from(">HH", data, at + 40)
-        at, end = need(b"stsz")
-        same, count = u32(at + 4), u32(at + 8)
-        self.sizes = np.full(count, same, np.int64) if same else _ints(data, at + 12, end, count)[:, 0]
-        at, end = need(b"stts")
-        runs = _ints(data, at + 8, end, u32(at + 4), 2)
-        if runs[:, 0].sum() != count:
-            raise ValueError("stts and stsz disagree")
-        self.media_duration = int((runs[:, 0] * runs[:, 1]).sum())
-        if b"co64" in boxes:
-            at, end = boxes[b"co64"]
-            chunk = _ints(data, at + 8, end, u32(at + 4), 1, ">u8")[:, 0]
-        else:
-            at, end = need(b"stco")
-            chunk = _ints(data, at + 8, end, u32(at + 4))[:, 0]
-        at, end = need(b"stsc")
-        runs = _ints(data, at + 8, end, u32(at + 4), 3)
+            self.timescale, self.duration = struct.unpack_from(">II", data, mdhd.body + 12)
+        stbl = trak.need(b"mdia", b"minf", b"stbl")
+        stsd = stbl.need(b"stsd")
+        self.codec = data[stsd.body + 12 : stsd.body + 16].decode("latin1").strip()
+        self.width, self.height = struct.unpack_from(">HH", data, stsd.body + 40) if video and stsd.end >= stsd.body + 44 else (0, 0)
+        self._tables(stbl)
+        tkhd = trak.find(b"tkhd")
+        if tkhd is not None:
+            track_id = self._u32(tkhd.body + (20 if data[tkhd.body] == 1 else 12))
+            mvex = moov.find(b"mvex")
+            defaults = {self._u32(x.body + 4): struct.unpack_from(">III", data, x.body + 12) for x in (mvex.all(b"trex") if mvex else [])}
+            for moof in root.all(b"moof"):
+                base = moof.at
+                for traf in moof.all(b"traf"):
+                    base = self._fragment(moof, traf, track_id, base, defaults)
+        if len(self.sizes) and (int((self.offsets + self.sizes).max()) > len(data) or int(self.offsets.min()) < 0):
+            raise ValueError("a sample lies past the end")
+        if not self.duration:
+            self.duration = self.media_duration
+
+    def _u32(self, at: int) -> int:
+        return struct.unpack_from(">I", self.data, at)[0]
+
+    def _tables(self, stbl: Node) -> None:
+        data, u32 = self.data, self._u32
+        stts = stbl.need(b"stts")
+        times = _ints(data, stts.body + 8, stts.end, u32(stts.body + 4), 2)
+        co64 = stbl.find(b"co64")
+        offsets = co64 or stbl.need(b"stco")
+        chunk = _ints(data, offsets.body + 8, offsets.end, u32(offsets.body + 4), 1, ">u8" if co64 else ">u4")[:, 0]
+        stsc = stbl.need(b"stsc")
+        runs = _ints(data, stsc.body + 8, stsc.end, u32(stsc.body + 4), 3)
+        if len(runs) and (runs[0, 0] != 1 or (np.diff(np.append(runs[:, 0], len(chunk) + 1)) < 0).any()):
+            raise ValueError("stsc is out of order")
         per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1)))
+        if (small := stbl.find(b"stz2")) and not stbl.find(b"stsz"):
+            field, count, same = data[small.body + 7], u32(small.body + 8), 0
+        else:
+            stsz = stbl.need(b"stsz")
+            same, count = u32(stsz.body + 4), u32(stsz.body + 8)
+        # before anything of that size is made: all samples lie in the bytes present
+        if count * max(same, 1) > len(data) and (same or not small):
+            raise ValueError("more samples than the bytes can hold")
+        if times[:, 0].sum() != count:
+            raise ValueError("stts and the sample sizes disagree")
         if per.sum() != count or len(per) != len(chunk):
-            raise ValueError("stsc and stsz disagree")
-        ends = np.cumsum(self.sizes)
+            raise ValueError("stsc and the sample sizes disagree")
+        if small and not stbl.find(b"stsz"):
+            self.sizes = self._compact(small, field, count)
+        else:
+            self.sizes = np.full(count, same, np.int64) if same else _ints(data, stsz.body + 12, stsz.end, count)[:, 0]
+        self.media_duration = int((times[:, 0] * times[:, 1]).sum())
+        before = np.append(0, np.cumsum(self.sizes))
         first = np.cumsum(per) - per
-        before = np.append(0, ends)
         self.chunk_ranges = np.stack([chunk, before[first + per] - before[first]], 1)
         self.offsets = np.repeat(chunk - before[first], per) + before[:-1]
-        if count and int((self.offsets + self.sizes).max()) > len(data):
-            raise ValueError("a sample lies past the end")
-        if b"stss" in boxes:
-            at, end = boxes[b"stss"]
-            self.keys = _ints(data, at + 8, end, u32(at + 4))[:, 0] - 1
+        if stss := stbl.find(b"stss"):
+            self.keys = _ints(data, stss.body + 8, stss.end, u32(stss.body + 4))[:, 0] - 1
         else:
             self.keys = np.arange(count)
         if len(self.keys) and (self.keys.min() < 0 or self.keys.max() >= count):
             raise ValueError("stss names a sample that does not exist")
 
+    def _compact(self, box_: Node, field: int, count: int) -> np.ndarray:
+        """The sizes of a stz2 box: fields of 4, 8 or 16 bits."""
+        if field == 16:
+            return _ints(self.data, box_.body + 12, box_.end, count, 1, ">u2")[:, 0]
+        if field == 8:
+            return _ints(self.data, box_.body + 12, box_.end, count, 1, "u1")[:, 0]
+        if field != 4:
+            raise ValueError("stz2 has an unknown field size")
+        pairs = _ints(self.data, box_.body + 12, box_.end, -(-count // 2), 1, "u1")[:, 0]
+        return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:count]
+
+    def _fragment(self, moof: Node, traf: Node, track_id: int, base: int, defaults: dict[int, tuple[int, int, int]]) -> int:
+        """Adds the samples of one track fragment; returns where data without an offset of its own goes on."""
+        data = self.data
+        tfhd = traf.need(b"tfhd")
+        flags, at = self._u32(tfhd.body) & 0xFFFFFF, tfhd.body + 8
+        own = self._u32(tfhd.body + 4)
+        duration, size, marks = defaults.get(own, (0, 0, 0))
+        if flags & 0x020000:
+            base = moof.at
+        if flags & 0x01:
+            (base,) = struct.unpack_from(">Q", data, at)
+            at += 8
+        at += 4 * bool(flags & 0x02)
+        if flags & 0x08:
+            duration, at = self._u32(at), at + 4
+        if flags & 0x10:
+            size, at = self._u32(at), at + 4
+        if flags & 0x20:
+            marks, at = self._u32(at), at + 4
+        follow = base
+        for trun in traf.all(b"trun"):
+            flags, count, at = self._u32(trun.body) & 0xFFFFFF, self._u32(trun.body + 4), trun.body + 8
+            start = follow
+            if flags & 0x01:
+                start, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first = None
+            if flags & 0x04:
+                first, at = self._u32(at), at + 4
+            fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+            if count * max(1, size if 0x200 not in fields else 1) > len(data):
+                raise ValueError("more samples than the bytes can hold")
+            rows = _ints(data, at, trun.end, count, len(fields)) if fields else np.zeros((count, 0), np.int64)
+            column = lambda f, other: rows[:, fields.index(f)] if f in fields else np.full(count, other, np.int64)  # noqa: B023, E731
+            sizes, lengths, kinds = column(0x200, size), column(0x100, duration), column(0x400, marks).copy()
+            if first is not None and count:
+                kinds[0] = first
+            follow = start + int(sizes.sum())
+            if own == track_id:
+                # bit 16: not a sync sample
+                self.keys = np.append(self.keys, len(self.sizes) + np.flatnonzero((kinds & 0x10000) == 0))
+                self.offsets = np.append(self.offsets, start + np.cumsum(sizes) - sizes)
+                self.sizes = np.append(self.sizes, sizes)
+                self.chunk_ranges = np.concatenate([self.chunk_ranges, [[start, int(sizes.sum())]]])
+                self.media_duration += int(lengths.sum())
+        return follow
+
     def payload(self, data: bytes) -> bytes:
         """The stored samples in order, read chunk by chunk."""
         return b"".join(data[a : a + n] for a, n in self.chunk_ranges.tolist())
@@ -216,7 +327,7 @@ def describe(media: bytes | None) -> tuple:
     sums = (len(media), hashlib.sha256(media).hexdigest())
     try:
         track = Track(media)
-    except (ValueError, struct.error, IndexError) as e:
+    except (ValueError, struct.error, IndexError, OverflowError) as e:
         return (None, None, None, *sums, None, None, None, None, None, str(e))
     payload = track.payload(media)
     keys = [

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialise, table
+from quillmesh.llm.common import free_name, materialise, table
 
 SEED = 17
 #: Weights are sizes to this power where none are given; 0.5 lies between natural and uniform.
@@ -65,16 +65,19 @@ def distribution(rate: Column) -> Column:
 
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs`` with copy (from 1), n_copies and shuffle_key; rows of count 0 are gone."""
+    added = {"copy", "n_copies", "shuffle_key"}
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
+    source, rate, parts, cdf = (free_name(docs, f"mix_{x}") for x in ("source", "rate", "parts", "cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    by_source = rates(docs, weights, epochs, temperature).withColumn("mix_parts", parts)
-    by_source = by_source.withColumn("mix_cdf", distribution(F.col("rate") / F.col("mix_parts"))).drop("rate")
+    by_source = rates(docs, weights, epochs, temperature).toDF(source, rate)
+    by_source = by_source.withColumn(parts, F.greatest(F.ceil(F.col(rate) / PART), F.lit(1)).cast("int"))
+    by_source = by_source.withColumn(cdf, distribution(F.col(rate) / F.col(parts))).drop(rate)
     # written first, so that the planner knows its size: a small table is broadcast under the session's threshold, a large one is not
     by_source = materialise(by_source, "rates")
-    joined = docs.join(by_source, docs["source"].eqNullSafe(by_source["mix_source"]))
-    draw = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
-    counts = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda n, j: n + draw(j))
-    counted = joined.withColumn("n_copies", counts).filter("n_copies > 0").drop("mix_source", "mix_parts", "mix_cdf")
+    joined = docs.join(by_source, docs["source"].eqNullSafe(by_source[source]))
+    draw = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
+    counts = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, j: n + draw(j))
+    counted = joined.withColumn("n_copies", counts).filter("n_copies > 0").drop(source, parts, cdf)
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy").cast("string")).cast("binary"))
     return copies.withColumn("shuffle_key", order).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

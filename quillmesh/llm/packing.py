@@ -8,9 +8,13 @@ improves. Pattern counts are rounded down, the few rests left over are placed
 best-fit decreasing, and documents, ranked within their length, take their
 places through a table of a few thousand slots.
 
+Lengths are priced in bars of WIDTH tokens, rounded up, as long as that adds no
+more than ROUNDING to the tokens; shorter rests get narrower bars, down to
+single tokens, which are exact.
+
 Edge cases: null and empty texts are the end id alone; repeated rows get a
-place each; rows of equal length are ranked by id, then start; a null id ranks
-first; an empty table gives an empty result; other input columns are ignored.
+place each; rows of equal length are ranked by a hash of id and start, then by
+both; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +34,15 @@ from quillmesh.llm.tokens import END, VOCABULARY, Encoder
 CAPACITY = 1024
 #: Column generation ends when the dual bound shows that it can save no more than this share.
 GAP = 1e-3
-#: Tokens to a bar of the length histogram: patterns are priced on lengths rounded up to it.
+#: Tokens to a bar of the length histogram at most: patterns are priced on lengths rounded up to it.
 WIDTH = 8
+#: Share of the tokens that rounding may add; where it would add more, bars are halved.
+ROUNDING = 0.01
 #: Shares of the best duals so far in the duals that are priced, tried in turn: they keep the duals from swinging.
 SMOOTHING = (0.9, 0.6, 0.0)
-#: Parts that the ranks within a length are counted in, so that no length is one task.
+#: Parts that the ranks within a length are counted in, at least, and pieces to a part beyond that: no length is one task.
 RANK_PARTS = 256
+PART_PIECES = 100_000
 
 
 def price(duals: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -141,10 +148,19 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tup
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def bar_width(lengths: np.ndarray, counts: np.ndarray, most: int = WIDTH, share: float = ROUNDING) -> int:
+    """The widest bars, ``most`` tokens or a half, quarter... of it, whose rounding adds at most ``share`` to the tokens."""
+    width = most
+    while width > 1 and ((-lengths % width) * counts).sum() > share * (lengths * counts).sum():
+        width //= 2
+    return width
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Slots (length, lo, hi, first sequence, offset, tokens of the sequence) and the number of sequences.
 
     Ranks lo..hi-1 of a length go to consecutive sequences, one to each.
+    ``width`` 1 prices exact lengths; by default ``bar_width`` chooses.
     """
     if not histogram:
         return [], 0
@@ -181,6 +197,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH
                 wanted -= n
         return runs
 
+    width = bar_width(lengths, left) if width is None else width
     bins, of = np.unique(-(-lengths // width), return_inverse=True)
     demand = np.bincount(of, weights=left).astype(np.int64)
     patterns, amounts = solve(bins, demand, capacity // width)
@@ -197,30 +214,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full pieces and the rest of each row."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, copy): full pieces and the rest of each row.
+
+    ``copy`` numbers the rows of one id within a task, so that a hot id is many keys.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
+        seen: dict = {}
         for b in batches:
-            out = Batches(pa.schema([("doc_id", b.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]))
+            out = Batches(pa.schema([("doc_id", b.schema.field(0).type), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "copy"))]))
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), END).astype("<u4")
+                copy = seen[i] = seen.get(i, -1) + 1
                 for a in range(0, len(ids), capacity):
                     part = ids[a : a + capacity]
-                    out.add((i, a, len(part), zlib.crc32(part.tobytes()), len(ids)))
+                    out.add((i, a, len(part), zlib.crc32(part.tobytes()), len(ids), copy))
                 if out.full():
                     yield from out.take()
             yield from out.take()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, copy long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """The pieces of all rows with sequence_id, offset and sequence_tokens (before padding)."""
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int")
-    cut = materialise(pieces(docs, capacity, vocabulary).withColumn("part", part), "pieces")
+    cut = materialise(pieces(docs, capacity, vocabulary), "pieces")
+    parts = max(RANK_PARTS, -(-cut.count() // PART_PIECES))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(parts)).cast("int"))
     counts = materialise(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     # capacity rows at most
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -231,12 +254,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     by_length: dict[int, list] = {}
     for n, *slot in slots:
         by_length.setdefault(n, []).append(tuple(slot))
-    # slots are bounded by capacity (a few for each length), base rows by capacity * RANK_PARTS
+    # slots are bounded by capacity (a few for each length)
     places = spark.createDataFrame(sorted(by_length.items()), "length long, slots array<struct<lo:long,hi:long,first:long,offset:long,fill:long>>")
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     base = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
     own = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "start")) - 1
-    ranked = cut.withColumn("own", own).join(F.broadcast(base), ["length", "part"]).join(F.broadcast(places), "length")
+    ranked = cut.withColumn("own", own).join(base, ["length", "part"]).join(F.broadcast(places), "length")
     placed = ranked.withColumn("rank", F.col("base") + F.col("own")).withColumn("s", F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0])
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -167,7 +167,17 @@ def disclosing(docs: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def pii_spans(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """The ``carry`` columns with pii_base and pii_terms, arrays of spans in code points, ends exclusive."""
+    """The ``carry`` columns with pii_base and pii_terms, arrays of spans in code points, ends exclusive.
+
+    Carried columns keep their names, but for those of the two added ones, which win.
+    """
+    names = [c for c in carry if c.lower() not in ("pii_base", "pii_terms")]
+    inner = [f"pii_c{k}" for k in range(len(names))]
+    docs = docs.select(F.col("text"), *[F.col(c).alias(k) for c, k in zip(names, inner, strict=True)])
+    return _spans_of(docs, tuple(inner)).toDF(*names, "pii_base", "pii_terms")
+
+
+def _spans_of(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     held = F.when(F.size("pii_base") > 0, F.col("text"))
     found = materialise(find(docs).select(*carry, "pii_row", "pii_base", held.alias("pii_held")), "found")
     holding = found.filter(F.col("pii_held").isNotNull())
@@ -176,7 +186,7 @@ def pii_spans(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     hits = seen.filter("free").join(risky, ["pii_row", "term"]).groupBy("pii_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pii_terms"))
     hits = materialise(hits, "hits")  # of known size to the planner: rows are shuffled only if it is large
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return found.join(hits, "pii_row", "left").withColumn("pii_terms", F.coalesce("pii_terms", none)).drop("pii_row", "pii_held")
+    return found.join(hits, "pii_row", "left").select(*carry, "pii_base", F.coalesce("pii_terms", none).alias("pii_terms"))
 
 
 def _all_spans() -> Column:
@@ -193,7 +203,9 @@ def _listed(spans: Column | str) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with base spans generalised to ``<kind>`` and disclosing terms removed; null texts stay null."""
-    found = pii_spans(docs, tuple(docs.columns)).withColumn("pii_all", _all_spans())
+    names = docs.columns
+    docs = docs.select([F.col(c).alias("text") if c.lower() == "text" else F.col(c).alias(f"pii_c{k}") for k, c in enumerate(names)])
+    found = _spans_of(docs, tuple(docs.columns)).withColumn("pii_all", _all_spans())
     reach = scan(F.transform("pii_all", lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
     rows = F.arrays_zip(F.col("pii_all").alias("s"), F.concat(F.array(F.lit(0)), reach).alias("before"))
     pieces = F.transform(
@@ -205,7 +217,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     )
     tail = F.substring(F.col("text"), F.element_at("pii_reach", -1) + 1, F.length("text"))
     text = F.when(F.size("pii_all") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return found.withColumn("pii_reach", reach).withColumn("text", text).drop("pii_all", "pii_reach", "pii_base", "pii_terms")
+    return found.withColumn("pii_reach", reach).withColumn("text", text).select(*docs.columns).toDF(*names)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by suffix sorting.
+"""Removal of repeated byte strings by external suffix sorting.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a
 document with a smaller id. Equal strings must meet in one shard, so shards
@@ -6,14 +6,22 @@ are cut by content: each window of LENGTH bytes is named by the least hash of
 its GRAM-byte grams, runs of windows of one name form a piece, and names are
 dealt to shards. Equal windows have equal names, so no match is lost.
 
-1. ``runs``: every document's pieces as (name, id, start, windows).
-2. ``survivors``: pieces whose name occurs in documents of two ids.
-3. ``pieces``: the bytes of those, dealt by name again.
-4. ``matches``: equal pieces are folded into one with its least id; the rest
-   is sorted by external induced sorting (induced.py) with common prefixes
-   capped at LENGTH. Suffixes linked by full prefixes hold one window; the
-   least id among them decides for every piece that holds it.
-5. ``strip``: ranges are united by document and cut from the text.
+1. ``cut_parts``: documents are packed into parts of some megabytes.
+2. ``name_parts``: a part's names, each once, with its least id, go to shards.
+3. ``survivors``: shards tell parts which of their names occur under two ids.
+4. ``pieces``: a part's pieces of those names, equal ones folded into one with
+   its least id, go to shards.
+5. ``matches``: a shard's pieces run through external induced sorting
+   (induced.py) with common prefixes capped at LENGTH; suffixes linked by full
+   prefixes hold one window, and its least id decides for every piece.
+6. ``strip``: parts apply what shards found to their documents.
+
+A part sends each name and each piece once, however often it occurs there, so
+that a passage of a third of all documents is a row or two a part. Shards and
+parts exchange one blob each; parts grow with the number of shards and the
+shards' number has a bound, so that blobs stay in proportion to the input.
+Shards are read in batches and may be far larger than memory: what exceeds
+MEMORY lies on disk.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH keep
 all; a string repeated within one document alone stays; repeated rows have the
@@ -25,29 +33,35 @@ other input columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import free_shuffles, materialise, small_batches, table
-from quillmesh.llm.induced import suffix_array
+from quillmesh.llm.induced import Disk, suffixes
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of text to a shard, about.
+#: Bytes of text to a shard, about, and the most shards there are: beyond them shards grow.
 SHARD_BYTES = 12 << 20
-#: Bytes of documents whose texts and findings meet in one task.
+SHARDS = 1 << 14
+#: Bytes of documents to a part, at most for few shards; and the bytes that a blob of a part for a shard stands for, at least.
 PART_BYTES = 12 << 20
+BLOB_BYTES = 4 << 10
 #: Shards, at least; and half the least number of parts.
 LEAST = 16
-#: Bytes of documents hashed at a time, and symbols sorted at a time (a name's pieces stay together).
+#: Bytes of documents hashed at a time.
 CHUNK_BYTES = 256 << 10
-#: Bytes of documents whose pieces go out together.
-FLUSH_BYTES = 6 << 20
-SORT_SYMBOLS = 1 << 20
+#: Bytes of tuples that a shard holds while it sorts, and bytes of distinct pieces that it folds at a time.
+MEMORY = 256 << 20
+FOLD_BYTES = 64 << 20
+#: Slices of a shard's names that are matched one after the other.
+SLICES = 16
 NULL_ID = (1 << 63) - 1
 
 
@@ -86,167 +100,306 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return v[start[ok]], doc[ok], start_in[ok], windows[ok]
 
 
-def by_doc(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Run lengths of equal (id, tag): first index of each run, and its length."""
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(ids))), first
+def blob(kind: pa.Schema, *row) -> pa.RecordBatch:
+    """One row, in which numpy arrays stand for their bytes."""
+    raw = (v.tobytes() if isinstance(v, np.ndarray) else v for v in row)
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(raw, kind, strict=True)], schema=kind)
 
 
-BLOB = pa.schema([("shard", pa.int32()), ("id", pa.binary()), ("tag", pa.binary()), ("count", pa.binary()), ("name", pa.binary()), ("low", pa.binary()), ("start", pa.binary()), ("windows", pa.binary())])
-BLOB_SQL = "shard int, id binary, tag binary, count binary, name binary, low binary, start binary, windows binary"
+def schema_of(numbers: str, blobs: str) -> tuple[pa.Schema, str]:
+    """An Arrow schema of long and binary columns, and the same for Spark."""
+    fields = [(n, "long", pa.int64()) for n in numbers.split()] + [(n, "binary", pa.binary()) for n in blobs.split()]
+    return pa.schema([(n, t) for n, _, t in fields]), ", ".join(f"{n} {kind}" for n, kind, _ in fields)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.select(key.alias("id"), F.hash(key, raw).alias("tag"), raw.alias("raw"), F.col("doc_id"))
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Ids in four bytes each where they all fit, in eight otherwise; ``wide`` reads them."""
+    return a.astype("<u4") if len(a) == 0 or (a.min() >= 0 and a.max() < 1 << 32) else a.astype("<i8")
 
 
-def runs(rows: DataFrame, shards: int) -> DataFrame:
-    """Blobs of pieces by shard: ids with counts, 40 bits of the names, starts and windows."""
+def wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i8" if len(raw) == 8 * n else "<u4").astype(np.int64)
 
-    def pack(parts: list, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        v, doc, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+def cut_parts(docs: DataFrame, part_bytes: int) -> DataFrame:
+    """(part, ids, sizes, raw, doc_ids): documents in parts of about ``part_bytes``, their texts compressed."""
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        part = TaskContext.get().partitionId() << 32
+        ids, texts, names_, size = [], [], [], 0
+
+        def give() -> pa.RecordBatch:
+            keys = np.array([NULL_ID if i is None else i for i in ids], "<i8")
+            sizes = np.fromiter(map(len, texts), "<i8", len(texts))
+            arrays = [pa.array([v], t) for v, t in ((part, pa.int64()), (keys.tobytes(), pa.binary()), (sizes.tobytes(), pa.binary()), (press.compress(b"".join(texts)), pa.binary()))]
+            own = pa.concat_arrays(names_)
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["part", "ids", "sizes", "raw", "doc_ids"])
+
+        for b in batches:
+            for k, i in enumerate(b.column(0).to_pylist()):
+                ids.append(i)
+                texts.append(b.column(1)[k].as_py())
+                names_.append(b.column(2)[k : k + 1])
+                size += len(texts[-1])
+                if size >= part_bytes:
+                    yield give()
+                    part, ids, texts, names_, size = part + 1, [], [], [], 0
+        if ids:
+            yield give()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), "doc_id")
+    return rows.mapInArrow(run, f"part long, ids binary, sizes binary, raw binary, doc_ids array<{kind.simpleString()}>")
+
+
+class Part:
+    """The documents of a part, their pieces, and its names in the order in which shards see them."""
+
+    def __init__(self, ids: bytes, sizes: bytes, raw: bytes, shards: int):
+        import zstandard
+
+        self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
+        self.raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=int(self.sizes.sum()) + 1)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.shards = shards
+
+    def text(self, k: int) -> bytes:
+        return self.raw[self.offsets[k] : self.offsets[k] + self.sizes[k]]
+
+    def find(self) -> None:
+        """Pieces (doc, start, windows, name) and the distinct names, by shard and name."""
+        found = []
+        first = 0
+        ends = np.cumsum(self.sizes)
+        while first < len(self.ids):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK_BYTES)))
+            v, doc, start, windows = runs_of([self.text(k) for k in range(first, last)])
+            found.append((v, (doc + first).astype(np.int32), start, windows))
+            first = last
+        v, self.doc, self.start, self.windows = (np.concatenate(x) for x in zip(*found, strict=True))
+        # the shard stands in the upper half, so that names are sorted by shard
         mixed = v * np.uint64(0x9FB21C651E98DF25)
-        shard = ((mixed >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
-            at = order[edges[s] : edges[s + 1]]
-            if len(at):
-                d = doc[at]
-                first, count, _ = by_doc(d, d)
-                own = mixed[at]
-                row = [
-                    s, ids[d[first]].astype("<i8").tobytes(), tags[d[first]].astype("<i4").tobytes(), count.astype("<u4").tobytes(),
-                    (own & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").tobytes(),
-                    start[at].astype("<u4").tobytes(), windows[at].astype("<u4").tobytes(),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOB, strict=True)], schema=BLOB)
+        self.shard_of = lambda key: ((key >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
+        shard = self.shard_of(mixed)
+        order = np.lexsort((mixed, shard))
+        head = np.flatnonzero(np.concatenate([[True], mixed[order][1:] != mixed[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+        self.keys = mixed[order][head]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        self.order, self.head = order, head
+        self.edges = np.searchsorted(shard[order][head], np.arange(self.shards + 1)) if len(head) else np.zeros(self.shards + 1, np.int64)
+
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least id of each name, and whether it has others here."""
+        if not len(self.head):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        own = self.ids[self.doc[self.order]]
+        lo, hi = np.minimum.reduceat(own, self.head), np.maximum.reduceat(own, self.head)
+        return lo, lo != hi
+
+
+NAMES, NAMES_SQL = schema_of("shard part n", "name least more")
+
+
+def name_parts(parts: DataFrame, shards: int) -> DataFrame:
+    """(shard, part, n, name, least, more): a part's names for each shard, sorted, with their least ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            parts, texts, first, size, held = [], [], 0, 0, 0
-            for k, x in enumerate(b.column(2)):
-                raw = x.as_py()
-                texts.append(raw)
-                size += len(raw)
-                if size >= CHUNK_BYTES or k + 1 == b.num_rows:
-                    v, doc, start, windows = runs_of(texts)
-                    parts.append((v, (doc + first).astype(np.int32), start.astype(np.int32), windows.astype(np.int32)))
-                    held += size
-                    texts, first, size = [], k + 1, 0
-                if held >= FLUSH_BYTES:
-                    yield from pack(parts, ids, tags)
-                    parts, held = [], 0
-            yield from pack(parts, ids, tags)
-
-    return rows.select("id", "tag", "raw").mapInArrow(run, BLOB_SQL)
-
-
-def unpack(blobs: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in blobs.column(column)])
-
-
-def blob_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    """A table of the rows, in which numpy arrays stand for their bytes."""
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    raw = lambda v: v.tobytes() if isinstance(v, np.ndarray) else v
-    return pa.table([pa.array([raw(v) for v in c], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def blob_schema(*numbers: str, blobs: tuple[str, ...]) -> tuple[pa.Schema, str]:
-    fields = [(n, pa.int32()) for n in numbers] + [(n, pa.binary()) for n in blobs]
-    return pa.schema(fields), ", ".join([f"{n} int" for n in numbers] + [f"{n} binary" for n in blobs])
-
-
-FOUND, FOUND_SQL = blob_schema("part", "shard", blobs=("id", "tag", "count", "sub", "start", "windows"))
-
-
-def survivors(blobs: DataFrame, parts: int) -> DataFrame:
-    """The pieces whose name occurs under two ids, as blobs by the part of their document."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        count = unpack(rows, "count", "<u4")
-        ids, tags = np.repeat(unpack(rows, "id", "<i8"), count), np.repeat(unpack(rows, "tag", "<i4"), count)
-        low, sub = unpack(rows, "name", "<u4"), unpack(rows, "low", "u1")
-        start, windows = unpack(rows, "start", "<u4"), unpack(rows, "windows", "<u4")
-        v = sub.astype(np.uint64) << np.uint64(32) | low
-        order = np.argsort(v, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
-        near = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
-        at = order[np.repeat(near, np.diff(np.append(first, len(v))))]
-        part = tags[at].astype(np.int64) % parts
-        again = np.lexsort((start[at], tags[at], ids[at], part))
-        at, part = at[again], part[again]
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        out = []
-        for p in range(parts):
-            own = at[edges[p] : edges[p + 1]]
-            if len(own):
-                heads, n, _ = by_doc(ids[own], tags[own])
-                out.append((p, key[0].as_py(), ids[own[heads]], tags[own[heads]], n.astype("<u4"), sub[own], start[own], windows[own]))
-        return blob_table(out, FOUND)
+            for row in b.to_pylist():
+                part = Part(row["ids"], row["sizes"], row["raw"], shards)
+                part.find()
+                lo, more = part.least()
+                for s in np.flatnonzero(np.diff(part.edges)).tolist():
+                    at = slice(int(part.edges[s]), int(part.edges[s + 1]))
+                    yield blob(NAMES, s, row["part"], at.stop - at.start, part.keys[at].astype("<u8"), narrow(lo[at]), np.packbits(more[at]))
 
-    return blobs.groupBy("shard").applyInArrow(run, FOUND_SQL)
+    return parts.select("part", "ids", "sizes", "raw").mapInArrow(run, NAMES_SQL)
 
 
-PIECES, PIECES_SQL = blob_schema("part", "shard", blobs=("id", "tag", "count", "sub", "start", "windows", "bytes"))
+class Shelf:
+    """Byte strings on disk, by number."""
 
+    def __init__(self):
+        self.file, self.at = tempfile.TemporaryFile(), [0]  # noqa: SIM115
 
-def pieces(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The blobs of ``found`` with the bytes of their pieces, compressed."""
+    def add(self, raw: bytes) -> None:
+        self.file.write(raw)
+        self.at.append(self.at[-1] + len(raw))
 
-    def run(key: tuple, docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        import zstandard
+    def get(self, k: int, lo: int = 0, hi: int | None = None) -> bytes:
+        end = self.at[k + 1] if hi is None else self.at[k] + hi
+        self.file.seek(self.at[k] + lo)
+        return self.file.read(end - self.at[k] - lo)
 
-        press = zstandard.ZstdCompressor(level=1)
-        # repeated rows have one id and tag, and so the same pieces
-        texts = {(i, t): k for k, (i, t) in enumerate(zip(docs.column("id").to_pylist(), docs.column("tag").to_pylist(), strict=True))}
-        raws = docs.column("raw")
-        out = []
-        for b in blobs.to_pylist():
-            cuts = []
-            doc = zip(np.frombuffer(b["id"], "<i8").tolist(), np.frombuffer(b["tag"], "<i4").tolist(), np.frombuffer(b["count"], "<u4").tolist(), strict=True)
-            spans_ = iter(zip(np.frombuffer(b["start"], "<u4").tolist(), np.frombuffer(b["windows"], "<u4").tolist(), strict=True))
-            for i, t, n in doc:
-                raw = raws[texts[i, t]].as_py()
-                for _ in range(n):
-                    a, w = next(spans_)
-                    cuts.append(raw[a : a + w + LENGTH - 1])
-            out.append((b["part"], b["shard"], b["id"], b["tag"], b["count"], b["sub"], b["start"], b["windows"], press.compress(b"".join(cuts))))
-        return blob_table(out, PIECES)
 
-    return rows.select("part", "id", "tag", "raw").groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, PIECES_SQL)
+KEPT, KEPT_SQL = schema_of("part shard n", "keep")
 
 
-def least_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where a piece's windows occur under a smaller id than its own, as (piece, from, to) of runs of windows.
+def survivors(names_: DataFrame) -> DataFrame:
+    """(part, shard, n, keep): a bit for each name of a part, whether it occurs under two ids anywhere."""
 
-    ``texts`` are distinct, ``ids`` the least id of each.
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a shard's names lie on disk and are matched a slice at a time; as each blob is sorted, a slice is a range of it
+        names_on, least_on = Shelf(), Shelf()
+        blobs: list[tuple[int, int, int]] = []
+        more: list[np.ndarray] = []
+        cuts: list[np.ndarray] = []
+        for b in batches:
+            for row in b.to_pylist():
+                n = row["n"]
+                v = np.frombuffer(row["name"], "<u8")
+                bounds = (np.arange(SLICES + 1, dtype=np.float64) * (2.0**64 / SLICES)).astype(object)
+                cuts.append(np.array([0, *(np.searchsorted(v, np.uint64(int(x))) for x in bounds[1:-1]), n]))
+                names_on.add(row["name"])
+                least_on.add(wide(row["least"], n).tobytes())
+                blobs.append((row["part"], row["shard"], n))
+                more.append(np.unpackbits(np.frombuffer(row["more"], np.uint8), count=n).astype(bool))
+        for s in range(SLICES):
+            spans_ = [(k, int(c[s]), int(c[s + 1])) for k, c in enumerate(cuts) if c[s] < c[s + 1]]
+            if not spans_:
+                continue
+            v = np.concatenate([np.frombuffer(names_on.get(k, 8 * a, 8 * z), "<u8") for k, a, z in spans_])
+            lo = np.concatenate([np.frombuffer(least_on.get(k, 8 * a, 8 * z), "<i8") for k, a, z in spans_])
+            two = np.concatenate([more[k][a:z] for k, a, z in spans_])
+            order = np.argsort(v, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
+            keep = np.minimum.reduceat(lo[order], head) != np.maximum.reduceat(lo[order], head)
+            keep |= np.logical_or.reduceat(two[order], head)
+            two[order] = np.repeat(keep, np.diff(np.append(head, len(v))))
+            at = 0
+            for k, a, z in spans_:
+                more[k][a:z] = two[at : at + z - a]
+                at += z - a
+        for (part, shard, n), kept in zip(blobs, more, strict=True):
+            if kept.any():
+                yield blob(KEPT, part, shard, n, np.packbits(kept))
+
+    return names_.groupBy("shard").applyInArrow(run, KEPT_SQL)
+
+
+SENT, SENT_SQL = schema_of("kind shard part n", "size least bytes")
+
+
+def pieces(parts: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
+    """Kind 0: (shard, part, n, size, least, bytes), the distinct pieces of a part for a shard with their least ids.
+
+    Kind 1: (part, n, size, least, bytes), the documents, starts and piece numbers of the part's own occurrences.
     """
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
-    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 2
-    symbols[ends - 1] = 1
-    sa, lcp = suffix_array(symbols, LENGTH)
-    piece = np.repeat(np.arange(len(texts)), sizes + 1)
-    room = np.repeat(ends - 1, sizes + 1) - np.arange(len(symbols))
-    whole = room[sa] >= LENGTH
-    group = np.cumsum(lcp < LENGTH) - 1
-    at, group = sa[whole], group[whole]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    own = ids[piece[at]]
-    low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(group))))
-    flags = np.zeros(len(symbols) + 1, bool)
-    flags[at[low < own]] = True
-    lo, hi = spans(flags[:-1])
-    of = piece[lo]
-    return of, lo - starts[of], hi - starts[of]
+
+    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        import zstandard
+
+        out = [blob(SENT, 0, 0, 0, 0, b"", b"", b"").slice(0, 0)]
+        press = zstandard.ZstdCompressor(level=1)
+        for row in rows.to_pylist() if replies.num_rows else ():
+            part = Part(row["ids"], row["sizes"], row["raw"], shards)
+            part.find()
+            keep = np.zeros(len(part.keys), bool)
+            for r in replies.to_pylist():
+                a = int(part.edges[r["shard"]])
+                keep[a : a + r["n"]] = np.unpackbits(np.frombuffer(r["keep"], np.uint8), count=r["n"])
+            live = np.flatnonzero(keep[part.of])
+            if not len(live):
+                continue
+            shard = part.shard_of(part.keys)[part.of[live]]
+            live = live[np.argsort(shard, kind="stable")]
+            shard = np.sort(shard)
+            at, size = part.offsets[part.doc[live]] + part.start[live], part.windows[live] + LENGTH - 1
+            edges = np.searchsorted(shard, np.arange(shards + 1))
+            number = np.empty(len(live), np.int64)
+            raw, first = part.raw, 0
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(int(edges[s]), int(edges[s + 1]))
+                folded: dict[bytes, int] = {}
+                each = np.array([folded.setdefault(raw[a : a + n], len(folded)) for a, n in zip(at[own].tolist(), size[own].tolist(), strict=True)])
+                least = np.full(len(folded), NULL_ID)
+                np.minimum.at(least, each, part.ids[part.doc[live[own]]])
+                sizes = np.fromiter(map(len, folded), "<u4", len(folded))
+                out.append(blob(SENT, 0, s, row["part"], len(folded), sizes, narrow(least), press.compress(b"".join(folded))))
+                number[own] = first + each
+                first += len(folded)
+            out.append(blob(SENT, 1, None, row["part"], len(live), size.astype("<u4"), part.doc[live].astype("<u4"), press.compress(np.column_stack([part.start[live], number]).astype("<i8").tobytes())))
+        return pa.Table.from_batches(out)
+
+    return parts.select("part", "ids", "sizes", "raw").groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(run, SENT_SQL)
+
+
+class Pieces:
+    """The distinct pieces of a shard: a text of symbols (bytes plus 2, each piece ended by 1), starts, and least ids."""
+
+    def __init__(self, disk: Disk, total: int, count: int):
+        self.symbols = disk.array(total + count + 1 + LENGTH, np.int16)
+        self.starts = disk.array(count, np.int64)
+        self.ids = disk.array(count, np.int64)
+        self.n = self.k = 0
+
+    def add(self, texts: list[bytes], ids: np.ndarray) -> None:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes + 1)
+        block = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 2
+        block[ends - 1] = 1
+        self.symbols[self.n : self.n + len(block)] = block
+        self.starts[self.k : self.k + len(texts)] = self.n + ends - sizes - 1
+        self.ids[self.k : self.k + len(texts)] = ids
+        self.n += len(block)
+        self.k += len(texts)
+
+
+def held_elsewhere(own: Pieces, disk: Disk) -> np.ndarray:
+    """A flag for each symbol: whether the window that starts there also stands in a piece of a smaller id."""
+    flags = disk.array(own.n + 1, bool)
+    starts, ids = own.starts[: own.k], own.ids[: own.k]
+    ends = np.append(starts[1:], own.n) - 1
+    for blocks in suffixes(own.symbols, own.n + 1, 257, LENGTH, disk):
+        group = _Group(flags)
+        for pos, lcp in blocks:
+            piece = np.searchsorted(starts, pos, side="right") - 1
+            whole = ends[piece] - pos >= LENGTH
+            # suffixes of fewer symbols than a window are equal to none
+            group.feed(pos, ids[piece], whole, lcp >= LENGTH)
+        group.close()
+    return flags
+
+
+class _Group:
+    """Suffixes that share a window, as they come in blocks: those of a larger id than the least are flagged."""
+
+    def __init__(self, flags: np.ndarray):
+        self.flags = flags
+        self.pos: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []
+        self.least = NULL_ID
+
+    def feed(self, pos: np.ndarray, own: np.ndarray, whole: np.ndarray, linked: np.ndarray) -> None:
+        head = np.flatnonzero(~(linked & whole))
+        if not len(head):
+            self._hold(pos, own, whole)
+            return
+        self._hold(pos[: head[0]], own[: head[0]], whole[: head[0]])
+        self.close()
+        last = int(head[-1])
+        if last > head[0]:
+            a = int(head[0])
+            first = head[:-1] - a
+            low = np.minimum.reduceat(own[a:last], first)
+            low = np.repeat(low, np.diff(head))
+            self.flags[pos[a:last][(low < own[a:last]) & whole[a:last]]] = True
+        self._hold(pos[last:], own[last:], whole[last:])
+
+    def _hold(self, pos: np.ndarray, own: np.ndarray, whole: np.ndarray) -> None:
+        if len(pos):
+            self.pos.append(pos[whole])
+            self.own.append(own[whole])
+            self.least = min(self.least, int(own.min()))
+
+    def close(self) -> None:
+        for pos, own in zip(self.pos, self.own, strict=True):
+            self.flags[pos[own > self.least]] = True
+        self.pos, self.own, self.least = [], [], NULL_ID
 
 
 def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,74 +408,83 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-CUTS, CUTS_SQL = blob_schema("part", blobs=("id", "tag", "count", "ranges"))
+FOUND, FOUND_SQL = schema_of("kind part shard n", "least count ranges")
 
 
-def matches(blobs: DataFrame) -> DataFrame:
-    """Byte ranges to remove, as blobs by part: ids and tags with counts, and (start, end) pairs."""
+def matches(sent: DataFrame, memory: int = MEMORY, fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """(kind 0, part, shard, n, least, count, ranges): for each piece of a part its least id anywhere, and the runs of bytes to cut where it stands under that id."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        shelf, sizes_on, least_on = Shelf(), Shelf(), Shelf()
+        blobs: list[tuple[int, int, int]] = []
+        total = count = 0
+        for b in batches:
+            for row in b.to_pylist():
+                shelf.add(row["bytes"])
+                sizes_on.add(row["size"])
+                least_on.add(wide(row["least"], row["n"]).tobytes())
+                blobs.append((row["part"], row["shard"], row["n"]))
+                total += int(np.frombuffer(row["size"], "<u4").sum(dtype=np.int64))
+                count += row["n"]
+        disk = Disk(memory)
         unpress = zstandard.ZstdDecompressor()
-        folded: list[dict[bytes, int]] = [{} for _ in range(256)]
-        chosen: list[int] = []
-        sub, start, windows = unpack(rows, "sub", "u1"), unpack(rows, "start", "<u4").astype(np.int64), unpack(rows, "windows", "<u4").astype(np.int64)
-        size = windows + LENGTH - 1
-        # equal pieces fold into one, by sub-shard
-        each = iter(zip(sub.tolist(), size.tolist(), strict=True))
-        for n, b in zip((len(x.as_py()) for x in rows.column("sub")), rows.column("bytes"), strict=True):
-            raw, pos = unpress.decompress(b.as_py()), 0
-            for _ in range(n):
-                s, k = next(each)
-                own = folded[s]
-                chosen.append(own.setdefault(raw[pos : pos + k], len(own)))
-                pos += k
-        before = np.concatenate([[0], np.cumsum([len(x) for x in folded])])
-        piece = before[sub] + np.array(chosen, np.int64)
-        count = unpack(rows, "count", "<u4")
-        doc = np.repeat(np.arange(len(count)), count)
-        ids = unpack(rows, "id", "<i8")
-        use_id = ids[doc]
-        low = np.full(int(before[-1]), NULL_ID)
-        np.minimum.at(low, piece, use_id)
-        own_runs: list[tuple[np.ndarray, ...]] = []
-        texts: list[bytes] = []
-        first = 0
-        for s in range(257):
-            if texts and (s == 256 or sum(map(len, texts)) >= SORT_SYMBOLS):
-                of, a, z = least_ids(texts, low[first : first + len(texts)])
-                own_runs.append((of + first, a, z + LENGTH - 1))
-                first, texts = first + len(texts), []
-            if s < 256:
-                texts += folded[s]
-        of, a, z = (np.concatenate(x) for x in zip(*own_runs, strict=True))
-        # a piece under a larger id than its least goes whole; under its least, only what a smaller id holds elsewhere
-        over = np.flatnonzero(use_id > low[piece])
-        least = np.flatnonzero(use_id == low[piece])
-        heads = np.searchsorted(of, piece[least])
-        n = np.searchsorted(of, piece[least], side="right") - heads
-        use = np.repeat(least, n)
-        run_ = np.repeat(heads, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.concatenate([over, use])
-        lo = np.concatenate([start[over], start[use] + a[run_]])
-        hi = np.concatenate([start[over] + size[over], start[use] + z[run_]])
-        order = np.argsort(at, kind="stable")
-        pairs = np.column_stack([lo, hi])[order].astype("<i8")
-        per_doc = np.bincount(doc[at], minlength=len(count))
-        # back to rows, one for each that came
-        docs_in = np.array([len(x.as_py()) // 8 for x in rows.column("id")])
-        doc_edges, pair_edges = np.concatenate([[0], np.cumsum(docs_in)]), np.concatenate([[0], np.cumsum(per_doc)])
-        tags = unpack(rows, "tag", "<i4")
-        out = []
-        for r, p in enumerate(rows.column("part").to_pylist()):
-            d = slice(doc_edges[r], doc_edges[r + 1])
-            keep = per_doc[d] > 0
-            if keep.any():
-                out.append((p, ids[d][keep], tags[d][keep], per_doc[d][keep].astype("<u4"), pairs[pair_edges[doc_edges[r]] : pair_edges[doc_edges[r + 1]]]))
-        return blob_table(out, CUTS)
-
-    return blobs.groupBy("shard").applyInArrow(run, CUTS_SQL)
+        own = Pieces(disk, total, count)
+        # which distinct piece each blob's pieces are
+        number = [disk.array(n, np.int64) for _, _, n in blobs]
+        passes = -(-total // fold_bytes)
+        for p in range(passes):
+            folded: dict[bytes, int] = {}
+            low: list[int] = []
+            for k, (_, _, n) in enumerate(blobs):
+                raw, at = unpress.decompress(shelf.get(k)), 0
+                for j, (size, i) in enumerate(zip(np.frombuffer(sizes_on.get(k), "<u4").tolist(), np.frombuffer(least_on.get(k), "<i8").tolist(), strict=True)):
+                    piece = raw[at : at + size]
+                    at += size
+                    if passes > 1 and hash(piece) % passes != p:
+                        continue
+                    d = folded.setdefault(piece, len(folded))
+                    if d == len(low):
+                        low.append(i)
+                    elif i < low[d]:
+                        low[d] = i
+                    number[k][j] = own.k + d
+            if folded:
+                own.add(list(folded), np.array(low, np.int64))
+        flags = held_elsewhere(own, disk) if own.k else np.zeros(1, bool)
+        lo, hi = runs_of_flags(flags, disk.block)
+        of = np.searchsorted(own.starts[: own.k], lo, side="right") - 1
+        for k, (part, shard, _) in enumerate(blobs):
+            least = np.frombuffer(least_on.get(k), "<i8")
+            low = own.ids[number[k]]
+            # a piece that stands under a smaller id elsewhere goes whole; its runs matter to the least id alone
+            ask = np.flatnonzero(low == least)
+            heads = np.searchsorted(of, number[k][ask])
+            n_runs = np.zeros(len(least), np.int64)
+            n_runs[ask] = np.searchsorted(of, number[k][ask], side="right") - heads
+            m = n_runs[ask]
+            at = np.repeat(heads, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            base = own.starts[of[at]]
+            pairs = np.column_stack([lo[at] - base, hi[at] - base + LENGTH - 1])
+            yield blob(FOUND, 0, part, shard, len(least), narrow(low), n_runs.astype("<u4"), pairs.astype("<u4"))
+        disk.close()
+
+    return sent.filter("kind = 0").select("shard", "part", "n", "size", "least", "bytes").groupBy("shard").applyInArrow(run, FOUND_SQL)
+
+
+def runs_of_flags(flags: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """``spans`` of flags that may lie on disk; the last flag is never set."""
+    los, his = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(step, 1 << 16)
+    for k in range(0, len(flags), step):
+        lo, hi = spans(np.asarray(flags[k : k + step]))
+        if len(lo) and len(his[-1]) and his[-1][-1] == k and lo[0] == 0:  # goes on from the block before
+            his[-1] = his[-1][:-1]
+            lo = lo[1:]
+        los.append(lo + k)
+        his.append(hi + k)
+    return np.concatenate(los), np.concatenate(his)
 
 
 def unite(ranges: np.ndarray) -> np.ndarray:
@@ -335,50 +497,81 @@ def unite(ranges: np.ndarray) -> np.ndarray:
     return np.column_stack([ranges[first, 0], reach[np.append(first[1:] - 1, len(ranges) - 1)]])
 
 
-def strip(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+def strip(parts: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept_sha256) of every row; ``removed`` holds the runs."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = parts.schema["doc_ids"].dataType.elementType.simpleString()
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(key: tuple, docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for b in blobs.to_pylist():
-            pairs, at = np.frombuffer(b["ranges"], "<i8").reshape(-1, 2), 0
-            for i, t, n in zip(np.frombuffer(b["id"], "<i8").tolist(), np.frombuffer(b["tag"], "<i4").tolist(), np.frombuffer(b["count"], "<u4").tolist(), strict=True):
-                held.setdefault((i, t), []).append(pairs[at : at + n])
-                at += n
-        sizes, gone, runs_, digests = [], [], [], []
-        for i, t, x in zip(docs.column("id").to_pylist(), docs.column("tag").to_pylist(), docs.column("raw"), strict=True):
-            raw = x.as_py()
-            found = held.get((i, t))
-            cuts_ = unite(np.concatenate(found)).tolist() if found else []
-            digest, at = hashlib.sha256(), 0
-            for a, e in cuts_:
-                digest.update(raw[at:a])
-                at = e
-            digest.update(raw[at:])
-            sizes.append(len(raw))
-            gone.append(sum(e - a for a, e in cuts_))
-            runs_.append([{"start": a, "end": e} for a, e in cuts_])
-            digests.append(digest.hexdigest())
-        return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed": pa.array(runs_, pair), "kept_sha256": pa.array(digests, pa.string())})
-
-    return rows.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string")
-
-
-def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    def cuts_of(part: Part, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, [start, end]) of all ranges to cut, by doc."""
+        import zstandard
+
+        own = next((r for r in replies if r["kind"] == 1), None)
+        if own is None:
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        said = sorted((r for r in replies if r["kind"] == 0), key=lambda r: r["shard"])
+        doc = np.frombuffer(own["least"], "<u4").astype(np.int64)
+        where = np.frombuffer(zstandard.ZstdDecompressor().decompress(own["ranges"]), "<i8").reshape(-1, 2)
+        start, number = where[:, 0], where[:, 1]
+        size = np.frombuffer(own["count"], "<u4").astype(np.int64)
+        low = np.concatenate([wide(r["least"], r["n"]) for r in said])
+        count = np.concatenate([np.frombuffer(r["count"], "<u4") for r in said]).astype(np.int64)
+        ranges = np.concatenate([np.frombuffer(r["ranges"], "<u4") for r in said]).astype(np.int64).reshape(-1, 2)
+        before = np.cumsum(count) - count
+        ids = part.ids[doc]
+        # under a larger id than its least a piece goes whole; under its least, only what a smaller id holds elsewhere
+        over = np.flatnonzero(ids > low[number])
+        least = np.flatnonzero(ids == low[number])
+        n = count[number[least]]
+        use = np.repeat(least, n)
+        at = np.repeat(before[number[least]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        docs = np.concatenate([doc[over], doc[use]])
+        pairs = np.concatenate([np.column_stack([start[over], start[over] + size[over]]), start[use][:, None] + ranges[at]])
+        order = np.argsort(docs, kind="stable")
+        return docs[order], pairs[order]
+
+    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for r, row in enumerate(rows.select(["ids", "sizes", "raw"]).to_pylist()):
+            part = Part(row["ids"], row["sizes"], row["raw"], 1)
+            docs, pairs = cuts_of(part, replies.to_pylist())
+            edges = np.searchsorted(docs, np.arange(len(part.ids) + 1))
+            gone, runs_, digests = [], [], []
+            for k in range(len(part.ids)):
+                raw = part.text(k)
+                cuts_ = unite(pairs[edges[k] : edges[k + 1]]).tolist()
+                digest, at = hashlib.sha256(), 0
+                for a, e in cuts_:
+                    digest.update(raw[at:a])
+                    at = e
+                digest.update(raw[at:])
+                gone.append(sum(e - a for a, e in cuts_))
+                runs_.append([{"start": a, "end": e} for a, e in cuts_])
+                digests.append(digest.hexdigest())
+            out.append(pa.table({"doc_id": rows.column("doc_ids")[r].values, "n_bytes": pa.array(part.sizes, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed": pa.array(runs_, pair), "kept_sha256": pa.array(digests, pa.string())}))
+        return pa.concat_tables(out)
+
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string"
+    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, schema)
+
+
+def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES, memory: int = MEMORY) -> DataFrame:
     """What ``strip`` returns, for all rows of ``docs``."""
     spark = docs.sparkSession
-    rows = keyed(docs)
-    total = rows.agg(F.sum(F.octet_length("raw")).alias("n")).first().n or 0
-    shards, parts = max(LEAST, -(-total // shard_bytes)), max(2 * LEAST, -(-total // part_bytes))
-    rows = rows.withColumn("part", F.pmod("tag", F.lit(parts)).cast("int"))
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary"))).alias("n")).first().n or 0
+    shards = min(SHARDS, max(LEAST, -(-total // shard_bytes)))
+    size = min(max(part_bytes, shards * BLOB_BYTES), -(-total // (2 * LEAST)) + 1)
     with small_batches(spark):
-        found = materialise(survivors(runs(rows, shards), parts), "survivors")
-    free_shuffles(spark)
-    cuts = materialise(matches(pieces(rows, found)), "matches")
-    free_shuffles(spark)
-    return strip(rows, cuts)
+        parts = materialise(cut_parts(docs, size), "parts")
+    with small_batches(spark, 2):  # rows of a part are megabytes each
+        kept = materialise(survivors(name_parts(parts, shards)), "survivors")
+        free_shuffles(spark)
+        sent = materialise(pieces(parts, kept, shards), "pieces")
+        free_shuffles(spark)
+        own = sent.filter("kind = 1").select("kind", "part", "shard", "n", "least", F.col("size").alias("count"), F.col("bytes").alias("ranges"))
+        found = materialise(matches(sent, memory), "matches").unionByName(own)
+        free_shuffles(spark)
+    return strip(parts, found)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

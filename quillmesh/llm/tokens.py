@@ -19,8 +19,9 @@ class Encoder:
 
     ``tiktoken`` holds the same merges as ranks and gives the same ids for plain
     text of Latin letters; other texts, and texts with the special token's
-    string, go through ``tokenizers`` itself. Without ``special`` that string
-    is ordinary text.
+    string, go through ``tokenizers`` itself, as do texts whose runs of white
+    space are too long for the other's regular expressions. Without ``special``
+    that string is ordinary text.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, special: bool = True):
@@ -37,11 +38,14 @@ class Encoder:
         self.special = special
 
     def __call__(self, text: str) -> np.ndarray:
-        if FAR.search(text) or (self.special and MARK in text):
-            if self.exact is None:
-                from tokenizers import Tokenizer
-
-                self.exact = Tokenizer.from_file(self.file)
-                self.exact.encode_special_tokens = not self.special
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not (FAR.search(text) or (self.special and MARK in text)):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its backtracking is bounded: too much white space in a row
+                pass
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.file)
+            self.exact.encode_special_tokens = not self.special
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)

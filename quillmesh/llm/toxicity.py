@@ -1,21 +1,28 @@
 """Toxicity by a weighted lexicon, matched with one Aho-Corasick pass over folded text.
 
-Folding lower-cases, maps look-alike letters to Latin ones, and undoes digit
-and symbol substitutions inside words. The lexicon (whole words and word
-stems) and its weights are learned from labelled rows as log odds of document
-frequencies; a word counts once, with its heaviest term, unless it lies inside
-an exception phrase. The sum is normalised by length and mapped to the
-observed share of toxic rows, so 0.3 means three in ten.
+Folding lower-cases, maps look-alike and decorated letters to Latin ones,
+removes joiners and combining marks, and undoes digit and symbol substitutions
+inside words. The lexicon (whole words and word stems) and its weights are
+learned from labelled rows as log odds of document frequencies, and so are
+exception phrases: a harsh word with the word beside it, where the two together
+stand in clean rows and in no toxic one. A word counts once, with its heaviest
+term, unless it lies inside an exception phrase. The sum is normalised by
+length and mapped to the observed share of toxic rows, so 0.3 means three in
+ten.
 
 Edge cases: null and empty texts have no evidence and get the calibrated base
-score; repeated rows are scored alike; a null id is not held out and never
-trains; without labels every score is 0; other input columns are ignored.
+score; repeated rows are scored alike, and an id that repeats with several
+texts trains with one of them (the least); a null id is not held out and never
+trains; without labels every score is 0; other input columns are ignored; time
+is linear in the length of a text, however long its words are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,14 +35,15 @@ from quillmesh.llm.common import Batches, id_remainder, materialise, table
 
 #: Rows of the labelled sample that the lexicon is learned from (least hash of the id first).
 TRAIN_ROWS = 50_000
-#: Terms looked at, at most; the least frequent among toxic rows go.
-CANDIDATES = 20_000
+#: Toxic rows that must hold a term, and clean rows that must hold an exception phrase.
 MIN_SUPPORT = 4
 MIN_WEIGHT = 3.0
 STEMS = range(4, 9)
 LENGTH_WORDS = 400
 BINS = 400
 BIN_WIDTH = 0.25
+#: Terms that a task counts before it hands them on.
+COUNTED = 200_000
 THRESHOLD = 0.3
 
 # Letters that look like Latin ones, and substitutions inside words.
@@ -47,10 +55,26 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 # Harmless phrases that hold a word which is harsh elsewhere.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "circus clown", "rodeo clown", "clown fish", "pond scum")
 
-LOOKALIKE = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
+
+
+def _decorated() -> dict[str, str]:
+    """Accented, full-width and mathematical letters and digits by the ASCII character that they decompose to."""
+    out = {}
+    for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F), (0x1D400, 0x1D800)):
+        for c in map(chr, range(lo, hi)):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            if len(plain) == 1 and plain != c:
+                out[c] = HOMOGLYPHS.get(plain, plain)
+    return out
+
+
+#: Zero-width characters, soft hyphens, variation selectors and combining marks, which only hide a word.
+HIDDEN = dict.fromkeys([0xAD, 0x34F, 0x61C, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0x300, 0x370)], "")
+LOOKALIKE = str.maketrans(_decorated() | HOMOGLYPHS) | HIDDEN
 UNDO = str.maketrans(SUBSTITUTES)
 WORD = re.compile(r"[^\W_]+(?:[@$!|]+[^\W_]+)*")
-CODED = re.compile(r"[^ ]*[0-9@$!|][^ ]*")
+# anchored at the start of a word and possessive, so that a word is read once
+CODED = re.compile(r"(?<= )[^ 0-9@$!|]*+[0-9@$!|][^ ]*")
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -104,9 +128,15 @@ def evidence(folded: str, words: int, automaton) -> float:
                 heaviest[start] = w
     if not heaviest:
         return 0.0
+    # phrases by start, with the farthest end so far
+    excused.sort()
+    heads, reach = [a for a, _ in excused], []
+    for _, b in excused:
+        reach.append(max(b, reach[-1]) if reach else b)
     by_word: dict[str, float] = {}
     for start, w in heaviest.items():
-        if not any(a <= start < b for a, b in excused):
+        k = bisect_right(heads, start) - 1
+        if k < 0 or start >= reach[k]:
             word = folded[start + 1 : folded.index(" ", start + 1)]
             by_word[word] = max(w, by_word.get(word, 0.0))
     return sum(by_word.values()) / (1 + 0.25 * math.log1p(words / LENGTH_WORDS))
@@ -125,21 +155,38 @@ def terms_of(folded: str) -> set[str]:
     return found
 
 
-def _partial_counts(rows: DataFrame, keep: frozenset[str] | None) -> DataFrame:
-    """(term, pos, neg) summed over rows(folded, toxic); all terms of toxic rows, or those in keep."""
+def phrases_of(folded: str, automaton) -> set[str]:
+    """Each word that holds a term, with the word before it and with the word after it."""
+    found = set()
+    for start in {end - n + 1 for end, (n, w) in automaton.iter(folded) if w is not None} if len(automaton) else ():
+        stop = folded.index(" ", start + 1)
+        if start > 0:
+            found.add(folded[folded.rindex(" ", 0, start) : stop + 1])
+        if stop + 1 < len(folded):
+            found.add(folded[start : folded.index(" ", stop + 1) + 1])
+    return found
+
+
+def _counts(rows: DataFrame, of) -> DataFrame:
+    """(term, pos, neg): toxic and clean rows(folded, toxic) that hold each term of ``of()(folded)``."""
     schema = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = of()
+        counts = (Counter(), Counter())
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in counts[::-1])], schema=schema)
+            for c in counts:
+                c.clear()
+
         for b in batches:
-            counts = (Counter(), Counter())
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if toxic or keep is not None:
-                    terms = terms_of(text)
-                    counts[toxic].update(terms if keep is None else terms & keep)
-            out = Batches(schema)
-            for t in counts[0].keys() | counts[1].keys():
-                out.add((t, counts[1][t], counts[0][t]))
-            yield from out.take()
+                counts[toxic].update(terms(text))
+                if len(counts[0]) + len(counts[1]) >= COUNTED:
+                    yield from hand_on()
+        yield from hand_on()
 
     return rows.select("folded", "toxic").mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -165,7 +212,6 @@ def _isotonic(pos: list[int], total: list[int]) -> list[float]:
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, train_rows: int = TRAIN_ROWS) -> Lexicon:
     """A lexicon from the labelled rows that are not held out, ``train_rows`` of them at most."""
-    spark = docs.sparkSession
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_remainder(F.col("doc_id"), 4) != 2))
         .groupBy("doc_id")
@@ -186,16 +232,27 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
         yield from out.take()
 
     # train_rows bounds this side (16 bytes a row), whatever the size of labels
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(folding, "folded string, words long, toxic long")
-    rows = materialise(rows, "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # ids may repeat: one text each, so that train_rows bounds the rows as well
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    rows = materialise(rows.mapInArrow(folding, "folded string, words long, toxic long"), "labelled")
     by = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = by.get(1, 0), by.get(0, 0)
     if not p or not n:
         return Lexicon(exceptions=exceptions)
-    first = _partial_counts(rows, None).filter(F.col("pos") >= MIN_SUPPORT).orderBy(F.desc("pos"), "term").limit(CANDIDATES)
-    keep = frozenset(r.term for r in first.select("term").collect())
-    counts = {r.term: (r.pos, r.neg) for r in _partial_counts(rows, keep).collect()}
-    lexicon = Lexicon(_weights(counts, p, n), exceptions)
+    # the weight that a term has at most in any of the lexicons below
+    most = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.greatest(F.lit(0), F.col("neg") - 1) + 0.5) / n)
+    heavy = _counts(rows, lambda: terms_of).filter((F.col("pos") >= MIN_SUPPORT) & (most >= MIN_WEIGHT - 0.1))
+    counts = {r.term: (r.pos, r.neg) for r in heavy.collect()}
+    weights = _weights(counts, p, n)
+
+    def phrases():
+        automaton = Lexicon(weights, ()).automaton()
+        return lambda folded: phrases_of(folded, automaton)
+
+    clean = _counts(rows, phrases).filter((F.col("pos") == 0) & (F.col("neg") >= MIN_SUPPORT))
+    exceptions = (*exceptions, *sorted(r.term.strip() for r in clean.select("term").collect()))
+    lexicon = Lexicon(weights, exceptions)
     # a training row is judged by what the others say: its own share of the counts is left out
     others = (Lexicon(_weights(counts, p, n, clean=1), exceptions), Lexicon(_weights(counts, p, n, toxic=1), exceptions))
     pos, total = [0] * BINS, [0] * BINS
