@@ -34,8 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders of the intermediate tables of this process that are still there, oldest first.
+_MADE: list[str] = []
+
+
 def _drop(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table when the session ends, if it is still reachable."""
+    """Deletes a folder, if the session is still there to ask."""
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -47,13 +51,38 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Cuts the lineage, survives lost executors, and lets one result feed several
-    consumers without being computed again.
+    consumers without being computed again. The table is there until it is
+    discarded, or the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillmesh-{uuid.uuid4().hex}/{tag}"
-    atexit.register(_drop, spark, path.rpartition("/")[0])
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/quillmesh-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    atexit.register(_drop, spark, folder)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{tag}")
+    made = spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
+    made.quillmesh_folder = folder
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables whose consumers have all been written; other frames are left alone."""
+    for t in tables:
+        folder = getattr(t, "quillmesh_folder", None)
+        if folder in _MADE:
+            _MADE.remove(folder)
+            _drop(t.sparkSession, folder)
+
+
+def made_so_far() -> int:
+    return len(_MADE)
+
+
+def discard_since(n: int, keep: DataFrame) -> None:
+    """Deletes the tables made after the first ``n``, but for ``keep``, when that has been written."""
+    for folder in _MADE[n:]:
+        if folder != keep.quillmesh_folder:
+            _MADE.remove(folder)
+            _drop(keep.sparkSession, folder)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialise
+from quillmesh.llm.common import discard, materialise
 
 
 def _mins(edges: DataFrame) -> DataFrame:
-    """u with the least of its neighbours and itself; combined before the shuffle, so hubs are cheap."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """u with the least of its neighbours and itself; combined before the shuffle, so hubs are cheap.
+
+    Written, so that a join with it has a plain table on both sides: a small
+    one is broadcast, and a hub's rows can be split (adaptive skew joins).
+    """
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "mins")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, written: list[DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.filter("v > u").join(_mins(both), "u")
+    written.append(mins := _mins(both))
+    linked = both.filter("v > u").join(mins, "u")
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, written: list[DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    mins = _mins(down)
+    written.append(mins := _mins(down))
     moved = down.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = mins.select("u", F.col("m").alias("v"))
-    return moved.unionByName(own).filter("u <> v").distinct()
+    return moved.unionByName(mins.withColumnRenamed("m", "v")).filter("u <> v").distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -37,7 +41,10 @@ def stars(edges: DataFrame) -> DataFrame:
     print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = print_of(edges)
     while True:
-        edges = materialise(small_star(large_star(edges)), "edges")
+        written = [edges]
+        written.append(large := materialise(large_star(edges, written), "large"))
+        edges = materialise(small_star(large, written), "edges")
+        discard(*written)
         now = print_of(edges)
         if now == seen:
             return edges

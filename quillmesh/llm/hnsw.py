@@ -2,11 +2,15 @@
 
 Equal vectors form a class, so that copies neither crowd a graph nor a result;
 each class keeps its few smallest ids, which is all that a result can hold.
-Classes are dealt to shards by hash. A shard's graph is a hierarchical
-navigable small world, built by batched insertion and stored as flat arrays:
-one row of ids, vectors, levels and a neighbour table for each layer. Queries
-visit every shard in blocks; a walk keeps ``EF`` best nodes and expands the
-nearest of them. Inner products become distances by one added coordinate.
+Classes are dealt to shards by hash: SHARDS of them, whatever the input, until
+shards reach the size that a task can hold, so that a query's cost grows with
+the logarithm of a shard. A shard's graph is a hierarchical navigable small
+world, built by batched insertion and stored as flat arrays: one row of ids,
+vectors, levels and a neighbour table for each layer. Every query visits every
+shard, and a shard is copied only where more than QUERY_ROWS queries ask it; a
+walk keeps ``EF`` best nodes and expands the nearest of them, and a shard
+returns one short list a query. Inner products become distances by one added
+coordinate.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do null ids; repeated rows count once; only
@@ -25,8 +29,14 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import materialise, table
 
 K = 20
-SHARD_ROWS = 8192
-QUERY_ROWS = 2048
+#: Shards of an index, and classes that a shard holds at least and at most (64 numbers each: about 1 kB in all).
+SHARDS = 8
+LEAST_ROWS, MOST_ROWS = 1024, 1 << 20
+#: Queries that one task takes to a shard, and rows of one vector that are named together.
+QUERY_ROWS = 1 << 16
+MEMBERS = 2048
+#: Bytes of marks for visited nodes that a batch of walks holds.
+SEEN_BYTES = 64 << 20
 #: Neighbours on upper layers, and on the lowest.
 M, M0 = 16, 32
 EF_BUILD = 80
@@ -138,8 +148,9 @@ class Graph:
 
     def build(self) -> Graph:
         n, done = len(self.points), 1
+        batch = max(16, min(BATCH, SEEN_BYTES // max(n, 1)))
         while done < n:
-            new = np.arange(done, min(n, done + min(BATCH, max(1, done // 4))))
+            new = np.arange(done, min(n, done + min(batch, max(1, done // 4))))
             queries = self.points[new]
             seeds = np.zeros((len(new), 1), np.int64)
             for layer in range(len(self.tables) - 1, -1, -1):
@@ -179,83 +190,105 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "vec", F.size("vec").alias("dim"))
 
 
-def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row a shard: its ids and vectors, the levels, and a flat neighbour table for each layer."""
-    sizes = classes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = classes.select("rep", "vec", "dim").join(F.broadcast(sizes), "dim")  # a row for each length of vector
+def build_index(classes: DataFrame, shard_rows: int | None = None) -> DataFrame:
+    """One row a shard: its ids and vectors, the levels, and a flat neighbour table for each layer.
+
+    ``shard_rows`` fixes the classes to a shard; by default there are SHARDS shards of a length of vector.
+    """
+    n = F.count("*")
+    wanted = F.ceil(n / shard_rows) if shard_rows else F.greatest(F.least(F.lit(SHARDS), F.ceil(n / LEAST_ROWS)), F.ceil(n / MOST_ROWS))
+    sizes = classes.groupBy("dim").agg(wanted.cast("int").alias("shards"))
+    dealt = classes.select("rep", "ids", "vec", "dim").join(F.broadcast(sizes), "dim")  # a row for each length of vector
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
-        reps = rows.column("rep").to_numpy()
-        order = np.argsort(reps)
-        vectors = rows.column("vec").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[order]
+        rows = rows.sort_by("rep")
+        lists = rows.column("ids").combine_chunks()
+        vectors = rows.column("vec").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         g = Graph(vectors).build()
         flat = lambda a, t: np.ascontiguousarray(a, t).tobytes()
         return pa.table({
-            "dim": pa.array([vectors.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(reps)], pa.int64()),
-            "ids": pa.array([flat(reps[order], "<i8")], pa.binary()), "vectors": pa.array([flat(vectors, "<f8")], pa.binary()),
-            "levels": pa.array([flat(g.levels, "<i8")], pa.binary()), "neighbours": pa.array([[flat(t, "<i4") for t in g.tables]], pa.list_(pa.binary())),
+            "dim": pa.array([vectors.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([rows.num_rows], pa.int64()),
+            "members": pa.array([flat(lists.value_lengths().to_numpy(), "<i4")], pa.binary()), "ids": pa.array([flat(lists.flatten().to_numpy(), "<i8")], pa.binary()),
+            "vectors": pa.array([flat(vectors, "<f8")], pa.binary()), "levels": pa.array([flat(g.levels, "<i8")], pa.binary()),
+            "neighbours": pa.array([[flat(t, "<i4") for t in g.tables]], pa.list_(pa.binary())),
         })
 
-    schema = "dim int, shard int, n long, ids binary, vectors binary, levels binary, neighbours array<binary>"
+    schema = "dim int, shard int, n long, members binary, ids binary, vectors binary, levels binary, neighbours array<binary>"
     return dealt.groupBy("dim", "shard").applyInArrow(build, schema)
 
 
-def load(row: dict) -> tuple[np.ndarray, np.ndarray, Graph]:
-    """(ids, vectors, graph) of a stored shard."""
-    n, dim = row["n"], row["dim"]
-    vectors = np.frombuffer(row["vectors"], "<f8").reshape(n, dim)
-    g = Graph(vectors)
-    g.levels = np.frombuffer(row["levels"], "<i8")
-    g.tables = [np.frombuffer(t, "<i4").reshape(n, -1) for t in row["neighbours"]]
-    return np.frombuffer(row["ids"], "<i8"), vectors, g
+class Shard:
+    """A stored shard: its vectors, its graph, and the ids of each class."""
+
+    def __init__(self, row: dict):
+        n = row["n"]
+        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(n, row["dim"])
+        self.graph = Graph(self.vectors)
+        self.graph.levels = np.frombuffer(row["levels"], "<i8")
+        self.graph.tables = [np.frombuffer(t, "<i4").reshape(n, -1) for t in row["neighbours"]]
+        self.ids = np.split(np.frombuffer(row["ids"], "<i8"), np.cumsum(np.frombuffer(row["members"], "<i4"))[:-1])
+
+    def best(self, queries: np.ndarray, k: int, ef: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(scores, ids) of the ``k`` nearest ids of each query, best first, ties to smaller ids."""
+        out = []
+        step = max(16, min(BATCH, SEEN_BYTES // max(len(self.vectors), 1)))
+        for lo in range(0, len(queries), step):
+            part = queries[lo : lo + step]
+            for q, found in zip(part, self.graph.search(part, k, ef), strict=True):
+                hits = found[found >= 0].tolist()
+                scores = (self.vectors[hits] * q).sum(1)
+                ids = [self.ids[h] for h in hits]
+                scores, ids = np.repeat(scores, [len(x) for x in ids]), np.concatenate([*ids, np.zeros(0, np.int64)])
+                order = np.lexsort((ids, -scores))[:k]
+                out.append((scores[order], ids[order]))
+        return out
+
+
+BEST = "array<struct<s:double,vec_id:long>>"
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(q, found): for each of queries(q, vec, dim) the k + 1 best classes of all shards as (score, rep)."""
+    """(q, best): for each of queries(q, vec, dim) its ``k`` nearest ids in all shards as (-score, id), nearest first."""
     shards = index.select(F.col("dim").alias("d"), F.col("shard").alias("at"))
     blocks = max(1, -(-queries.count() // query_rows))
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")
     # every query visits every shard
     asked = queries.select("q", "vec", "dim", block).join(shards, F.col("dim") == F.col("d")).select("q", "vec", "block", F.col("d").alias("dim"), F.col("at").alias("shard"))
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kind = pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())]))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"q": [], "score": [], "rep": []}
+        names, best = np.zeros(0, np.int64), []
         if left.num_rows and right.num_rows:
-            reps, vectors, g = load(left.to_pylist()[0])
             names = right.column("q").to_numpy()
-            qs = right.column("vec").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
-            for lo in range(0, len(names), BATCH):
-                part = qs[lo : lo + BATCH]
-                for name, q, found in zip(names[lo : lo + BATCH], part, g.search(part, k + 1, ef), strict=True):
-                    hits = found[found >= 0]
-                    out["q"] += [name] * len(hits)
-                    out["score"] += (vectors[hits] * q).sum(1).tolist()
-                    out["rep"] += reps[hits].tolist()
-        return pa.table({"q": pa.array(out["q"], pa.int64()), "score": pa.array(out["score"], pa.float64()), "rep": pa.array(out["rep"], pa.int64())})
-
-    hits = graphs.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(search, "q long, score double, rep long")
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k + 1).select("q", "score", "rep")
-
-
-def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, ef: int = EF) -> DataFrame:
+            queries_ = right.column("vec").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+            best = Shard(left.to_pylist()[0]).best(queries_, k, ef)
+        flat = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([*(-s for s, _ in best), np.zeros(0)])), pa.array(np.concatenate([*(i for _, i in best), np.zeros(0, np.int64)]))], fields=list(kind.value_type)
+        )
+        ends = np.concatenate([[0], np.cumsum([len(s) for s, _ in best])]).astype(np.int32)
+        return pa.table({"q": pa.array(names, pa.int64()), "best": pa.ListArray.from_arrays(pa.array(ends), flat)})
+
+    hits = graphs.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(search, f"q long, best {BEST}")
+    return hits.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
+def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, ef: int = EF, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (a condition on vec_id) holds for, its k nearest others."""
     took = materialise(valid(rows, id_col, vector_col), "vectors")
     classes = materialise(classes_of(took, k), "classes")
-    index = materialise(build_index(classes), "index")
+    index = materialise(build_index(classes, shard_rows), "index")
     asked = took.filter(is_query)
-    named = asked.join(classes.select("vec", F.col("rep").alias("q")), "vec").select(F.col("vec_id").alias("query_id"), "q")
-    named = materialise(named, "queries")
-    queries = named.select("q").distinct().join(classes.select(F.col("rep").alias("q"), "vec", "dim"), "q")
-    hits = search_index(index, queries, k, ef)
-    members = hits.join(classes.select("rep", "ids"), "rep")
-    # k + 1 classes of k + 1 ids each at most
-    per_query = members.groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")).alias("hits"))
-    ids = F.flatten(F.transform("hits", lambda h: F.transform(h["ids"], lambda i: F.struct(h["s"].alias("s"), i.alias("vec_id")))))
-    best = per_query.select("q", F.array_sort(ids).alias("best"))
-    own = named.join(best, "q").select("query_id", F.slice(F.filter("best", lambda c: c["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    # rows of one vector come in groups, so that a vector of very many rows is few rows where it meets its class and its result
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // MEMBERS)))).alias("group")
+    grouped = asked.groupBy("vec", group).agg(F.collect_list("vec_id").alias("members"))
+    named = materialise(grouped.join(classes.select("vec", F.col("rep").alias("q")), "vec").select("q", "members"), "queries")
+    queries = classes.select(F.col("rep").alias("q"), "vec", "dim").join(named.select("q").distinct(), "q", "left_semi")
+    best = search_index(index, queries, k + 1, ef)
+    dealt = named.join(best, "q").repartition("members")
+    own = dealt.select(F.explode("members").alias("query_id"), "best")
+    own = own.select("query_id", F.slice(F.filter("best", lambda c: c["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("p", "c")).select("query_id", (F.col("p") + 1).alias("rank"), "c.vec_id", (-F.col("c.s")).alias("score"))
 
 

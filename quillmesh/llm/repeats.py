@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import free_shuffles, materialise, small_batches, table
+from quillmesh.llm.common import discard, free_shuffles, materialise, small_batches, table
 from quillmesh.llm.induced import Disk, suffixes
 
 LENGTH = 50
@@ -567,6 +567,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
         kept = materialise(survivors(name_parts(parts, shards)), "survivors")
         free_shuffles(spark)
         sent = materialise(pieces(parts, kept, shards), "pieces")
+        discard(kept)
         free_shuffles(spark)
         own = sent.filter("kind = 1").select("kind", "part", "shard", "n", "least", F.col("size").alias("count"), F.col("bytes").alias("ranges"))
         found = materialise(matches(sent, memory), "matches").unionByName(own)

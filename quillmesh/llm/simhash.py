@@ -185,9 +185,10 @@ def group(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fp, class_fp, component_id) for each distinct fp of rows(id, fp): least linked fp and id."""
     classes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     joined = stars(links(classes, classes.count()))
-    mapped = classes.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("class_fp"))
-    ids = mapped.groupBy("class_fp").agg(F.min("least").alias("component_id"))
-    return mapped.join(ids, "class_fp").select("fp", "class_fp", "component_id")
+    mapped = materialise(classes.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("class_fp")), "mapped")
+    ids = materialise(mapped.groupBy("class_fp").agg(F.min("least").alias("component_id")), "components")
+    # both sides written: a component of very many classes can be split
+    return materialise(mapped.join(ids, "class_fp").select("fp", "class_fp", "component_id"), "groups")
 
 
 def simhash_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

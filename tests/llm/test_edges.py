@@ -48,9 +48,8 @@ def test_toxic_stage_keeps_clean_rows(spark, odd, texts):
 
 
 def test_near_duplicate_stage_keeps_one_of_each_group(spark, odd):
-    from quillmesh.llm.simhash import simhash_groups
+    from test_shingles import kept
 
     docs = table(spark, odd, "documents")
-    groups = simhash_groups(docs, ("doc_id",)).select("class_fp").distinct().count()
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, odd)
-    assert kept.count() == groups
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, odd).collect()} == kept(rows)

@@ -232,17 +232,23 @@ def test_repeats_on_odd_rows(spark, odd, texts):
     assert got == strip(texts)
 
 
-@given(st.integers(0, 10**6), st.integers(1, 90), st.integers(1, 4), st.sampled_from([3, 6, 50]), st.sampled_from([64, 1 << 20]))
-@settings(max_examples=150, deadline=None)
-def test_suffix_array(seed, n, letters, depth, memory):
+@given(st.integers(0, 10**6), st.integers(1, 300), st.integers(1, 4), st.sampled_from([3, 6, 50]), st.sampled_from([64, 4096, 1 << 24]))
+@settings(max_examples=200, deadline=None)
+def test_suffix_order(seed, n, letters, depth, memory):
     rng = np.random.default_rng(seed)
     s = (rng.integers(0, letters, n) + 2).astype(np.int16)
     s[rng.random(n) < 0.1] = 1
-    sa, lcp = induced.suffix_array(s, depth, memory)
+    disk = induced.Disk(memory)
+    symbols = np.zeros(n + 1 + depth, np.int16)
+    symbols[:n] = s
+    blocks = [list(b) for b in induced.suffixes(symbols, n + 1, 257, depth, disk)]
+    disk.close()
+    order = [int(p) for b in reversed(blocks) for block, _ in b for p in block]
+    lcp = [int(c) for b in reversed(blocks) for _, block in b for c in block]
     t = [*s.tolist(), 0]
-    head = [t[i : i + depth] for i in sa.tolist()]
-    assert sorted(sa.tolist()) == list(range(n)) and head == sorted(head)
-    for a, b, k in zip(head, head[1:], lcp[1:].tolist(), strict=False):
+    head = [t[i : i + depth] for i in order]
+    assert sorted(order) == list(range(n)) and head == sorted(head)
+    for a, b, k in zip(head, head[1:], lcp[1:], strict=False):
         same = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert k == same
 
