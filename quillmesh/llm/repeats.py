@@ -48,7 +48,7 @@ from quillmesh.llm.induced import Disk, suffixes
 LENGTH = 50
 GRAM = 16
 #: Bytes of text to a shard, about, and the most shards there are: beyond them shards grow.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 SHARDS = 1 << 14
 #: Bytes of documents to a part, at most for few shards; and the bytes that a blob of a part for a shard stands for, at least.
 PART_BYTES = 12 << 20
@@ -354,10 +354,13 @@ def held_elsewhere(own: Pieces, disk: Disk) -> np.ndarray:
     flags = disk.array(own.n + 1, bool)
     starts, ids = own.starts[: own.k], own.ids[: own.k]
     ends = np.append(starts[1:], own.n) - 1
+    of = disk.array(own.n, np.int32)
+    of[starts[1:]] = 1
+    np.cumsum(of, out=of)
     for blocks in suffixes(own.symbols, own.n + 1, 257, LENGTH, disk):
         group = _Group(flags)
         for pos, lcp in blocks:
-            piece = np.searchsorted(starts, pos, side="right") - 1
+            piece = of[pos]
             whole = ends[piece] - pos >= LENGTH
             # suffixes of fewer symbols than a window are equal to none
             group.feed(pos, ids[piece], whole, lcp >= LENGTH)
