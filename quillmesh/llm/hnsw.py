@@ -39,14 +39,21 @@ MEMBERS = 2048
 SEEN_BYTES = 64 << 20
 #: Neighbours on upper layers, and on the lowest.
 M, M0 = 16, 32
+#: Up to so many classes in a shard, new nodes are compared with all of it.
+EXACT_ROWS = 1 << 14
 EF_BUILD = 80
-EF = 160
+EF = 96
 #: Best nodes that a step of a walk expands together.
 WIDTH = 4
 BATCH = 256
 SEED = 11
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of each row of ``a`` with its rows of ``b``."""
+    return np.matmul(b, a[:, :, None])[:, :, 0]
+
+
 class Graph:
     """Layers of neighbour tables (-1: none) over unit-length augmented vectors."""
 
@@ -72,7 +79,7 @@ class Graph:
         ids = np.full((b, ef), -1, np.int64)
         sims = np.full((b, ef), -np.inf, np.float32)
         ids[:, : seeds.shape[1]] = seeds
-        sims[:, : seeds.shape[1]] = np.where(seeds >= 0, np.einsum("bd,bkd->bk", queries, points[seeds]), -np.inf)
+        sims[:, : seeds.shape[1]] = np.where(seeds >= 0, dots(queries, points[seeds]), -np.inf)
         open_ = ids >= 0
         seen = np.zeros((b, n + 1), bool)
         seen[rows, ids] = True
@@ -95,7 +102,7 @@ class Graph:
             fresh = ~seen[at, near]
             near = np.where(fresh, near, -1)
             seen[at, near] = True
-            got = np.einsum("bd,bkd->bk", queries[live], points[near])
+            got = dots(queries[live], points[near])
             got = np.where(near >= 0, got, -np.inf).astype(np.float32)
             all_ids = np.concatenate([ids[live], near], 1)
             all_sims = np.concatenate([sims[live], got], 1)
@@ -111,7 +118,7 @@ class Graph:
         """At most ``most`` of each row's nodes (nearest first): those nearer to the row than to a node already taken."""
         b, c = ids.shape
         pts = self.points[ids]
-        between = np.einsum("bid,bjd->bij", pts, pts)
+        between = np.matmul(pts, pts.transpose(0, 2, 1))
         keep = np.zeros((b, c), bool)
         count = np.zeros(b, np.int64)
         for k in range(c):
@@ -141,12 +148,23 @@ class Graph:
         for lo in range(0, len(nodes), BATCH):
             own = nodes[lo : lo + BATCH]
             ids = np.concatenate([table[own].astype(np.int64), back[lo : lo + BATCH]], 1)
-            sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", self.points[own], self.points[ids]), -np.inf)
+            sims = np.where(ids >= 0, dots(self.points[own], self.points[ids]), -np.inf)
             order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * most]
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
             table[own] = self.diverse(sims, ids, most)
 
+    def nearest_of(self, layer: int, new: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """The EF_BUILD nearest of the first ``done`` nodes of a layer to each new one, nearest first, by comparing all."""
+        known = np.flatnonzero(self.levels[:done] >= layer)
+        sims = self.points[new] @ self.points[known].T
+        width = min(EF_BUILD, len(known))
+        best = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+        sims = np.take_along_axis(sims, best, 1)
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return known[np.take_along_axis(best, order, 1)], np.take_along_axis(sims, order, 1)
+
     def build(self) -> Graph:
+        """Inserts the nodes in batches. A new node's candidates are found by a walk, or, in a small shard, where that is cheaper, among all."""
         n, done = len(self.points), 1
         batch = max(16, min(BATCH, SEEN_BYTES // max(n, 1)))
         while done < n:
@@ -155,6 +173,11 @@ class Graph:
             seeds = np.zeros((len(new), 1), np.int64)
             for layer in range(len(self.tables) - 1, -1, -1):
                 member = self.levels[new] >= layer
+                if n <= EXACT_ROWS:
+                    if member.any():
+                        found, sims = self.nearest_of(layer, new[member], done)
+                        self.link(layer, new[member], self.diverse(sims, found, M))
+                    continue
                 found, sims = self.walk(layer, queries, seeds, EF_BUILD if member.any() else 1)
                 if member.any():
                     chosen = self.diverse(sims[member], found[member], M)
