@@ -103,10 +103,28 @@ def contained(low: Column, words: Sequence[str]) -> Column:
     """The words that a lower-cased text contains, sorted, overlaps included: one pass over the text.
 
     A look-ahead gives the longest word at every position; a word is contained
-    if it begins one of those.
+    if it begins one of those. Texts that contain none are told by a plain search.
     """
     known = sorted({w for w in words if w})
     if not known:
         return literals([])
     found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({trie_pattern(known)}))"), F.lit(1)))
-    return let(found, lambda ms: F.filter(literals(known), lambda w: F.exists(ms, lambda m: F.startswith(m, w))))
+    held = let(found, lambda ms: F.filter(literals(known), lambda w: F.exists(ms, lambda m: F.startswith(m, w))))
+    return F.when(low.rlike(trie_pattern(known)), held).otherwise(literals([]))
+
+
+#: Elements of an array that are worked on at a time where results are gathered one by one.
+BLOCK = 256
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column, kind: str) -> Column:
+    """The states after each element: step(step(start, v1), v2)... as an array of ``kind``; block by block, so that long arrays stay cheap."""
+    none, no_blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+    within = lambda state, xs: F.aggregate(xs, none, lambda acc, v: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), state), v))))
+
+    def block(acc: Column, xs: Column) -> Column:
+        return let(within(acc["state"], xs), lambda made: F.struct(F.element_at(made, -1).alias("state"), F.concat(acc["out"], F.array(made)).alias("out")))
+
+    done = F.aggregate(blocks, F.struct(start.cast(kind).alias("state"), no_blocks.alias("out")), block)
+    return F.when(F.size(values) > 0, F.flatten(done["out"])).otherwise(none)

@@ -14,11 +14,10 @@ SPACE = r"[\s\p{Z}]+"
 WORD = r"[\p{L}\p{N}_]+"
 URL = r"(?i)https?://[^\s)\]]+"
 QUOTE = '["“”]([^"“”]{8,400})["“”]'
-CAPS = r"(?<![A-Za-z0-9_])[A-Z]{3,}(?![A-Za-z0-9_])"
-NAMED_SOURCE = (
-    r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3})\s+"
-    r"(?:said|told|stated|announced|confirmed|sabi|sinabi|ayon\s+kay|nagsabi)(?![A-Za-z0-9_])"
-)
+# A boundary is looked for behind the first letter, so that it is tried at capitals alone.
+CAPS = r"[A-Z](?<![A-Za-z0-9_].)[A-Z]{2,}(?![A-Za-z0-9_])"
+REPORTED = ("said", "told", "stated", "announced", "confirmed", "sabi", "sinabi", r"ayon\s+kay", "nagsabi")
+NAMED_SOURCE = rf"([A-Z](?<![A-Za-z0-9_].)[a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){{0,3}})\s+(?:{'|'.join(REPORTED)})(?![A-Za-z0-9_])"
 
 
 def text_or_empty(t: Column) -> Column:
@@ -79,6 +78,12 @@ def quotes(t: Column) -> Column:
     return F.regexp_extract_all(text_or_empty(t), F.lit(QUOTE), F.lit(1))
 
 
+def named_sources(t: Column) -> Column:
+    """How often a name is followed by a word of reporting."""
+    plain = "|".join(w.split(r"\s")[0] for w in REPORTED)
+    return F.when(t.rlike(plain), count_of(t, NAMED_SOURCE)).otherwise(0)
+
+
 def structural_features(t: Column) -> dict[str, Column]:
     text = text_or_empty(t)
     n = word_count(t)
@@ -87,7 +92,7 @@ def structural_features(t: Column) -> dict[str, Column]:
         "len_chars": F.length(text),
         "num_urls": count_of(text, URL),
         "num_quotes": F.size(quotes(t)),
-        "num_named_sources": count_of(text, NAMED_SOURCE),
+        "num_named_sources": named_sources(text),
         "caps_ratio": count_of(text, CAPS) / n,
         "excl_count": count_of(text, "!"),
         "question_count": count_of(text, r"\?"),
@@ -140,14 +145,13 @@ def conditioned_line(tokens: list[Column], t: Column) -> Column:
 
 
 def index_code(i: Column) -> Column:
-    """0 to A, 25 to Z, 26 to AA, and so on up to three letters."""
+    """0 to A, 25 to Z, 26 to AA, and so on, with as many letters as it takes."""
     letter = lambda k: F.char(F.lit(65) + k.cast("int"))
-    two, three = i - 26, i - 26 - 26 * 26
-    return (
-        F.when(i < 26, letter(i))
-        .when(i < 26 + 26 * 26, F.concat(letter(F.floor(two / 26)), letter(F.pmod(two, F.lit(26)))))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.pmod(F.floor(three / 26), F.lit(26))), letter(F.pmod(three, F.lit(26)))))
+    # 14 letters hold any long; each step takes the last digit of what is left, in base 26 without a zero
+    step = lambda acc, _: F.when(acc["left"] < 0, acc).otherwise(
+        F.struct((F.floor(acc["left"] / F.lit(26).cast("decimal(2,0)")).cast("bigint") - 1).alias("left"), F.concat(letter(F.pmod(acc["left"], F.lit(26).cast("bigint"))), acc["code"]).alias("code"))
     )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(i.cast("bigint").alias("left"), F.lit("").alias("code")), step)["code"]
 
 
 def column_name(name: str) -> str:
