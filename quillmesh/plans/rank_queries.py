@@ -315,11 +315,6 @@ def top_names(t):
     return R.top_frequencies(rows, "name", 30)
 
 
-@query("q_names_min_count")
-def names(t):
-    return S.counted_names(t("documents"), "text", 2)
-
-
 PLACES = ("the", "of the", "and", "les", "luzon", "der city", "que")
 # The oracle's engine has no look-around: every separator is doubled, so that neighbouring matches can each consume one.
 DOUBLED = r"regexp_replace(coalesce(text, ''), '([^A-Za-z0-9])', '\1\1', 'g')"
@@ -354,27 +349,6 @@ def place_text(t):
     return S.pseudonymise_places(t("documents").select("doc_id", "text"), "doc_id", "text", PLACES)
 
 
-@query("q_person_spans")
-def person_spans(t):
-    return t("documents").select("doc_id", F.explode(S.person_spans(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", "s.entity", "s.pattern")
-
-
-@query("q_strict_gate")
-def strict(t):
-    g = S.strict_gate(t("documents").select("doc_id", "text"), "text", ["candidate a", "the"], ["onof", "reth"])
-    return g.select("doc_id", "accepted", F.size("foreign").alias("n_foreign"), "redacted")
-
-
-@query("q_universal_rewrite")
-def universal(t):
-    return t("documents").withColumn("r", S.universal_rewrite(F.col("text"))).select("doc_id", "r.text", "r.n")
-
-
-@query("q_pseudonymise_people")
-def people(t):
-    return S.pseudonymise_people(t("documents").select("doc_id", "text"), "doc_id", "text", keep=("Candidate A",))[0]
-
-
 @query(
     "q_schema_violations",
     f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 9 = 0 THEN 'missing_required_field:text' END, CASE WHEN length(doc_id::VARCHAR) < 3 THEN 'id_too_short' END,
