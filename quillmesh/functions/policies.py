@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmesh.functions import lexicons as L
@@ -50,14 +51,47 @@ def bin3(p: Column, low: Column | float, high: Column | float) -> Column:
     return F.when(v.isNull(), "unk").when(v >= high, "high").when(v >= low, "mid").otherwise("low")
 
 
+#: Accuracy of the sketch that brackets a percentile, and buckets that its bracket is cut into.
+SKETCH = 10_000
+BUCKETS = 1024
+
+
+def percentiles(values: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """One row (n, p): exact percentiles, interpolated, of the column v, which has no nulls.
+
+    A sketch brackets each percentile, the bracket is cut into buckets, and only
+    the values of the buckets that hold its ranks are put in order; no buffer
+    holds more.
+    """
+    near = [min(1.0, max(0.0, s + d / SKETCH)) for s in shares for d in (-2, 2)]
+    sketch = values.agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), SKETCH).alias("s"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("s")[2 * k].alias("lo"), F.col("s")[2 * k + 1].alias("hi"), ((F.col("n") - 1) * s).alias("at")) for k, s in enumerate(shares)])
+    brackets = sketch.select("n", F.explode(wanted).alias("w")).select("n", "w.*")
+    # a row for each share
+    near_rows = values.join(F.broadcast(brackets), F.col("v") <= F.col("hi"))
+    part = F.when(F.col("v") < F.col("lo"), -1).otherwise(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * (BUCKETS - 1)), F.lit(0)))
+    parted = near_rows.withColumn("part", part.cast("int"))
+    sizes = parted.groupBy("k", "part", "at").agg(F.count("*").alias("m"))  # BUCKETS + 1 rows a share
+    below = F.coalesce(F.sum("m").over(W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("below", below)
+    chosen = placed.filter((F.col("below") <= F.ceil("at")) & (F.floor("at") < F.col("below") + F.col("m"))).select("k", "part", "below")
+    counted = parted.join(F.broadcast(chosen), ["k", "part"]).groupBy("k", "part", "below", "at", "v").agg(F.count("*").alias("c"))
+    upto = F.col("below") + F.sum("c").over(W.partitionBy("k", "part").orderBy("v"))
+    ranked = counted.withColumn("upto", upto)
+    value_at = lambda rank: F.min(F.when(rank < F.col("upto"), F.col("v")))
+    found = ranked.groupBy("k", "at").agg(value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b"))
+    share = F.col("at") - F.floor("at")
+    each = found.select("k", ((1 - share) * F.col("a") + share * F.col("b")).alias("p"))
+    one = each.agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("e")).select(F.transform("e", lambda e: e["p"]).alias("p"))
+    return sketch.select("n").crossJoin(F.broadcast(one))  # one row each
+
+
 def thresholds(df: DataFrame, value: Column, shares: Sequence[float] = (0.33, 0.67), fallback: Sequence[float] = (0.6, 0.8), least: int = 10) -> DataFrame:
     """One row (t_low, t_high): exact percentiles of the known values, or the fallback for fewer than ``least``.
 
-    A degenerate pair is spread by a millionth. ``percentile`` merges counts of
-    distinct values before the shuffle.
+    A degenerate pair is spread by a millionth.
     """
-    known_values = df.select(known(value).alias("v")).filter("v IS NOT NULL")
-    p = known_values.agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, shares))).alias("p"))
+    p = percentiles(df.select(known(value).alias("v")).filter("v IS NOT NULL"), shares)
     low = F.when(F.col("n") < least, F.lit(float(fallback[0]))).otherwise(F.col("p")[0])
     high = F.when(F.col("n") < least, F.lit(float(fallback[1]))).otherwise(F.col("p")[1])
     both = p.select(low.alias("t_low"), high.alias("t_high"))

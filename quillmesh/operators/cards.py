@@ -57,7 +57,7 @@ def from_features(df: DataFrame, key: str, features: str, score: str) -> DataFra
 def profiles(cards: DataFrame, candidate: str, fired: str, prior: DataFrame, codes: Sequence[str] = L.CODES) -> DataFrame:
     """(candidate, code, rate, prior): empirical rates of the codes beside the registry's prior(candidate, code, prior)."""
     rates = empirical_rates(cards, candidate, fired, codes)
-    return rates.join(F.broadcast(prior), [candidate, "code"], "left").select(candidate, "code", "fired", "total", "rate_micro", "prior")
+    return rates.join(prior, [candidate, "code"], "left").select(candidate, "code", "fired", "total", "rate_micro", "prior")
 
 
 def evaluate_holdout(df: DataFrame, label: str, detectors: Sequence[str], threshold: float = 0.5) -> DataFrame:

@@ -21,12 +21,12 @@ def bank_variants(bank: DataFrame) -> DataFrame:
 def with_bank_entry(df: DataFrame, bank: DataFrame, code: str, tier: str, seed: Column, fallback: str = "novice") -> DataFrame:
     """``df`` with entry, the bank's variant for (code, tier) picked by a stable hash; the fallback tier serves where there is none.
 
-    The bank is a fixed dimension table.
+    Whether the bank is broadcast is left to the planner, which knows its size.
     """
     variants = bank_variants(bank)
     own = variants.select(F.col("code").alias("__c"), F.col("tier").alias("__t"), F.col("variants").alias("__own"))
     other = variants.filter(F.col("tier") == fallback).select(F.col("code").alias("__d"), F.col("variants").alias("__other"))
-    joined = df.join(F.broadcast(own), (F.col(code) == F.col("__c")) & (F.col(tier) == F.col("__t")), "left").join(F.broadcast(other), F.col(code) == F.col("__d"), "left")
+    joined = df.join(own, (F.col(code) == F.col("__c")) & (F.col(tier) == F.col("__t")), "left").join(other, F.col(code) == F.col("__d"), "left")
     chosen = F.coalesce("__own", "__other")
     index = stable_index(F.concat(seed, F.col(code), F.col(tier)), F.greatest(F.size(chosen), F.lit(1)).cast("bigint"))
     return joined.withColumn("entry", F.when(chosen.isNotNull(), F.element_at(chosen, (index + 1).cast("int")))).drop("__c", "__t", "__d", "__own", "__other")
@@ -34,7 +34,7 @@ def with_bank_entry(df: DataFrame, bank: DataFrame, code: str, tier: str, seed:
 
 def variant_rotation(df: DataFrame, variants: DataFrame, key: str, position: Column) -> DataFrame:
     """``df`` with variant, taking the variants(key, variants) of its key in turn."""
-    joined = df.join(F.broadcast(variants), key, "left")
+    joined = df.join(variants, key, "left")
     return joined.withColumn("variant", F.when(F.size("variants") > 0, F.element_at("variants", (F.pmod(position, F.size("variants").cast("bigint")) + 1).cast("int"))))
 
 
@@ -59,6 +59,78 @@ def explanation(df: DataFrame, bank: DataFrame, key: str, fired: str, verdict: s
     return joined.select(key, "tier", summary.alias("summary"), F.transform("phrases", lambda p: p.dropFields("pos")).alias("indicator_phrases"))
 
 
+# Introductions that take turns, and what a phrase that the bank lacks says.
+INTROS = {
+    "fake": (
+        "This post shows misinformation cues.", "Several red flags appear in this post.", "This message contains misleading signals.",
+        "Multiple deception cues are present.", "This content exhibits misinformation patterns.",
+    ),
+    "real": (
+        "This post shows credibility cues.", "Several reliability signals appear here.", "This message exhibits trustworthy patterns.",
+        "Multiple credibility markers are present.", "This content shows verifiable cues.",
+    ),
+}
+MISSING_PHRASE = ("This card's ", " indicator needs a hand-authored explanation in the response bank.")
+
+
+def rotating_explanation(df: DataFrame, bank: DataFrame, key: str, index: str, label: str, fired: str, tier: str) -> DataFrame:
+    """(key, summary, indicator_phrases): explanations whose introductions and phrases take turns by the row's index.
+
+    ``bank``(bank_key, variants) holds arrays of (phrase, phrase_en,
+    verifier_action) under code/label/tier. The phrase at place j of a row takes
+    variant (index + j) mod n; rows labelled real also get a CREDIBLE phrase,
+    if the bank has one.
+    """
+    rows = df.select(F.col(key).alias("__k"), F.col(index).cast("bigint").alias("__i"), F.col(label).alias("__l"), F.col(fired).alias("__f"), F.col(tier).alias("__t"))
+    real = F.col("__l") == "real"
+    codes = F.when(real, F.array_append("__f", F.lit("CREDIBLE"))).otherwise(F.col("__f"))
+    each = rows.select("__k", "__i", "__l", "__t", F.size("__f").alias("__n"), F.posexplode(codes).alias("j", "code"))
+    extra = F.col("j") == F.col("__n")
+    turn = F.col("__i") + F.when(extra, 0).otherwise(F.col("j"))
+    joined = each.withColumn("bank_key", F.concat_ws("/", "code", "__l", "__t")).join(bank, "bank_key", "left")
+    v = F.when(F.size("variants") > 0, F.element_at("variants", (F.pmod(turn, F.size("variants").cast("bigint")) + 1).cast("int")))
+    lost = F.concat(F.lit(MISSING_PHRASE[0]), F.col("code"), F.lit(MISSING_PHRASE[1]))
+    phrase = F.struct(
+        F.col("j"), F.col("code").alias("indicator"), F.coalesce(v["phrase"], lost).alias("phrase"), F.coalesce(v["phrase_en"], F.when(v.isNull(), lost), F.lit("")).alias("phrase_en"),
+        F.coalesce(v["verifier_action"], F.lit("")).alias("verifier_action"), F.concat(F.col("bank_key"), F.lit("/v"), F.pmod(turn, F.lit(3)).cast("string")).alias("bank_ref"),
+        F.when(F.col("__l") == "fake", "STOP").otherwise("TRACE").alias("sift_move"),
+    )
+    made = joined.filter(~extra | v.isNotNull()).groupBy("__k").agg(F.array_sort(F.collect_list(phrase)).alias("__p"))
+    intro = lambda k: F.element_at(literals(INTROS[k]), (F.pmod(F.col("__i"), F.lit(len(INTROS[k]))) + 1).cast("int"))
+    head = F.when(F.col("__l") == "fake", intro("fake")).otherwise(intro("real"))
+    told = F.concat(F.size("__f").cast("string"), F.lit(" indicator(s) fired: "), F.array_join("__f", ", "), F.lit("."))
+    summary = F.concat(head, F.lit(" "), F.when(F.size("__f") > 0, told).otherwise("No strong indicators fired."))
+    out = rows.select("__k", summary.alias("summary")).join(made, "__k", "left")
+    phrases = F.coalesce("__p", F.array().cast(made.schema["__p"].dataType))
+    return out.select(F.col("__k").alias(key), "summary", F.transform(phrases, lambda p: p.dropFields("j")).alias("indicator_phrases"))
+
+
+def bank_id(code: Column, version: str, tier: Column, n: Column) -> Column:
+    """The id of a bank entry: code, version, and the first letter of its tier with a number."""
+    return F.concat(code, F.lit(f"/v{version}/"), F.substring(tier, 1, 1), n.cast("string"))
+
+
+def with_credible_entry(df: DataFrame, affirmations: DataFrame, tier: str, seed: Column) -> DataFrame:
+    """``df`` with entry, an affirmation(tier, bank_id, phrase, sift) of the row's tier, or of all where the tier has none, by a stable hash."""
+    entry = F.struct("bank_id", "phrase", "sift")
+    own = affirmations.groupBy(F.col("tier").alias("__t")).agg(F.array_sort(F.collect_list(entry)).alias("__own"))
+    every = affirmations.agg(F.array_sort(F.collect_list(entry)).alias("__all"))
+    joined = df.join(own, F.col(tier) == F.col("__t"), "left").crossJoin(F.broadcast(every))  # one row
+    chosen = F.coalesce("__own", "__all")
+    at = stable_index(F.concat(seed, F.lit("CREDIBLE"), F.col(tier)), F.greatest(F.size(chosen), F.lit(1)).cast("bigint"))
+    return joined.withColumn("entry", F.when(F.size(chosen) > 0, F.element_at(chosen, (at + 1).cast("int")))).drop("__t", "__own", "__all")
+
+
+def bank_stats(bank: DataFrame, tiers: Sequence[str] = ("novice", "proficient", "advanced")) -> DataFrame:
+    """(metric, value) of a bank(code, tier): total_entries, indicators_covered, credible_affirmations and entries by tier."""
+    credible = F.col("code") == "CREDIBLE"
+    one = bank.agg(
+        F.count("*").alias("total_entries"), F.count_distinct(F.when(~credible, F.col("code"))).alias("indicators_covered"), F.count_if(credible).alias("credible_affirmations"),
+        *[F.count_if(F.col("tier") == t).alias(f"by_tier_{t}") for t in tiers],
+    )
+    return one.unpivot([], list(one.columns), "metric", "value")
+
+
 def bank_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(key, change): entries removed, added or changed from a to b."""
     x, y = a.select(F.col(key), F.col(value).alias("__a"), F.lit(1).alias("__x")), b.select(F.col(key), F.col(value).alias("__b"), F.lit(1).alias("__y"))
@@ -68,7 +140,7 @@ def bank_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 def templates_cross(templates: DataFrame, candidates: DataFrame, replicas: int) -> DataFrame:
     """(template, candidate, replica, variant) for every eligible candidate of a template: a generator's plan."""
-    wide = templates.withColumn("archetype", F.explode("archetypes")).join(F.broadcast(candidates), "archetype")
+    wide = templates.withColumn("archetype", F.explode("archetypes")).join(candidates, "archetype")
     each = wide.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
     index = stable_index(F.concat_ws("|", "template_id", "candidate", F.col("replica").cast("string")), F.size("variants").cast("bigint"))
     return each.withColumn("variant", F.element_at("variants", (index + 1).cast("int")))

@@ -132,13 +132,59 @@ def covered(codes: Column, role: Column, tier: Column, bank_keys: Column) -> Col
     return F.forall(codes, lambda c: F.array_contains(bank_keys, F.concat_ws("/", c, role, tier)))
 
 
-def merge_funnel(df: DataFrame, text: str, bank_keys: Sequence[str], role: Column, tier: Column, codes: Column) -> DataFrame:
-    """``df`` with reject_stage and reject_reason of the first stage that fails (quality, remap, bank), null if promoted."""
-    t = F.col(text)
-    staged = df.withColumn("__q", quality(t)).withColumn("remap", remap_codes(t)).withColumn("__ok", covered(codes, role, tier, literals(list(bank_keys))))
-    stage = F.when(F.col("__q").isNotNull(), "quality").when(F.col("remap").isNull(), "remap").when(~F.col("__ok"), "bank_coverage")
-    reason = F.when(F.col("__q").isNotNull(), F.col("__q")).when(F.col("remap").isNull(), "too_many_candidates").when(~F.col("__ok"), "missing_bank_key")
-    return staged.withColumn("reject_stage", stage).withColumn("reject_reason", reason).drop("__q", "__ok")
+def candidate_reason(codes: Column, allowed: Sequence[str] = ("A", "B", "C")) -> Column:
+    """Why the candidate codes of a text do not do: there are none, or foreign ones; null if they do."""
+    foreign = F.array_sort(F.array_except(F.array_distinct(codes), literals(list(allowed))))
+    return F.when(F.size(codes) == 0, "no_candidate_reference").when(F.size(foreign) > 0, F.concat(F.lit("foreign_candidate_codes: "), listed(foreign)))
+
+
+def listed(values: Column) -> Column:
+    """An array of strings as ['a', 'b']."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit("]"))
+
+
+def remapped(t: Column, mapping: Column, pattern: str = CODE_MENTION) -> Column:
+    """The text with the codes of its mentions replaced by ``mapping``."""
+    from quillmesh.operators.spans import replace_matches
+
+    return replace_matches(text_or_empty(t), pattern, lambda m: F.concat(F.lit("Candidate "), mapping[F.regexp_extract(m, pattern, 1)]))
+
+
+def merge_funnel(df: DataFrame, text: str, bank_keys: Sequence[str], role: Column, tier: Column, codes: Column, broken: Column | None = None, allowed: Sequence[str] = ("A", "B", "C")) -> DataFrame:
+    """``df`` with promoted_text, and with reject_stage and reject_reason of the first stage that fails, null if promoted.
+
+    Stages: quality, candidate_remap, candidate_allowlist, response_bank_coverage
+    for ``codes``, and schema_mapping, which fails where ``broken``, the codes of
+    broken constraints, is not empty.
+    """
+    staged = df.withColumn("__q", quality(F.col(text))).withColumn("__r", recover(F.trim(F.col(text)))["text"])
+    staged = staged.withColumn("__n", F.size(F.array_distinct(F.regexp_extract_all(text_or_empty(F.col("__r")), F.lit(CODE_MENTION), F.lit(1)))))
+    staged = staged.withColumn("remap", remap_codes(F.col("__r"), allowed))
+    staged = staged.withColumn("promoted_text", F.when(F.size("remap") > 0, remapped(F.col("__r"), F.col("remap"))).otherwise(F.col("__r")))
+    after = F.regexp_extract_all(text_or_empty(F.col("promoted_text")), F.lit(CODE_MENTION), F.lit(1))
+    keys = literals(list(bank_keys))
+    staged = staged.withColumn("__c", candidate_reason(after, allowed)).withColumn("__m", F.filter(codes, lambda c: ~F.array_contains(keys, F.concat_ws("/", c, role, tier))))
+    staged = staged.withColumn("__b", literals([]) if broken is None else broken)
+    too_many, none = F.col("remap").isNull(), F.size("remap") == 0
+    checks = [
+        ("quality", F.col("__q").isNotNull(), F.col("__q")),
+        ("candidate_remap", too_many, F.concat(F.lit("too_many_distinct_entities ("), F.col("__n").cast("string"), F.lit(f" > {len(allowed)})"))),
+        ("candidate_remap", none, F.lit("no_candidate_reference")),
+        ("candidate_allowlist", F.col("__c").isNotNull(), F.col("__c")),
+        ("response_bank_coverage", F.size("__m") > 0, F.concat(F.lit("unsupported_indicators: "), listed(F.col("__m")))),
+        ("schema_mapping", F.size("__b") > 0, F.array_join("__b", ", ")),
+    ]
+    stage, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, fails, why in reversed(checks):
+        stage, reason = F.when(fails, name).otherwise(stage), F.when(fails, why).otherwise(reason)
+    done = staged.withColumn("reject_stage", stage).withColumn("reject_reason", reason)
+    return done.withColumn("promoted_text", F.when(F.col("reject_stage").isNull(), F.col("promoted_text"))).drop("__q", "__r", "__n", "__c", "__m", "__b")
+
+
+def promotion_rate(funnel: DataFrame) -> DataFrame:
+    """One row on a merge: n_attempted, n_promoted and promotion_rate_pct (0 without attempts)."""
+    promoted = F.count_if(F.col("reject_stage").isNull())
+    return funnel.agg(F.count("*").alias("n_attempted"), promoted.alias("n_promoted"), F.coalesce(F.round(100.0 * F.try_divide(promoted, F.count("*")), 2), F.lit(0.0)).alias("promotion_rate_pct"))
 
 
 def reject_tally(rejects: DataFrame, reason: str = "reject_reason") -> DataFrame:

@@ -20,9 +20,9 @@ def standardise(df: DataFrame, id_col: str, vector: str, train: Column) -> DataF
 def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFrame | None = None, block_rows: int = 8192) -> DataFrame:
     """(src, dst, rank, cos): the k most similar ``others`` (by default all nodes but itself) of each node, ties to the smaller id.
 
-    Exact: every node meets every other, in blocks. A node's block takes only
-    its k best of each block of others, in numpy, and the blocks' winners are
-    merged; memory is two blocks whatever the size of the table.
+    Exact, so every node meets every other, in blocks: a matrix product for each
+    pair of blocks, of which a node keeps its k best, and the blocks' winners
+    are merged; memory is two blocks whatever the size of the table.
     """
     import numpy as np
     import pyarrow as pa
@@ -41,14 +41,25 @@ def knn_edges(nodes: DataFrame, id_col: str, vector: str, k: int, others: DataFr
             (xi, yi), (xv, yv) = ids, (v.flatten().to_numpy().reshape(len(v), -1) for v in vs)
             order = np.argsort(yi)
             yi, yv = yi[order], yv[order]
-            for i, v in zip(xi.tolist(), xv, strict=True):
-                cos = (yv * v).sum(1)
-                cos[yi == i] = -np.inf
-                for j in np.argsort(-cos, kind="stable")[:k].tolist():
-                    if cos[j] > -np.inf:
-                        out["src"].append(i)
-                        out["dst"].append(int(yi[j]))
-                        out["cos"].append(float(cos[j]))
+            width = min(k + 1, len(yi))
+            for lo in range(0, len(xi), 256):
+                part = xv[lo : lo + 256]
+                near = part @ yv.T
+                # the product rounds otherwise than the sum that decides: all that could be among the best are summed again
+                floor = np.partition(near, len(yi) - width, axis=1)[:, len(yi) - width] - 1e-9
+                rows, cols = np.nonzero(near >= floor[:, None])
+                cos = (yv[cols] * part[rows]).sum(1)
+                src, dst = xi[lo + rows], yi[cols]
+                other = src != dst
+                src, dst, cos = src[other], dst[other], cos[other]
+                best_first = np.lexsort((dst, -cos, src))
+                src, dst, cos = src[best_first], dst[best_first], cos[best_first]
+                head = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.zeros(0, np.int64)
+                place = np.arange(len(src)) - np.repeat(head, np.diff(np.append(head, len(src))))
+                keep = place < k
+                for name, values in (("src", src), ("dst", dst), ("cos", cos)):
+                    out[name].append(values[keep])
+        out = {name: np.concatenate(v) if v else [] for name, v in out.items()}
         return pa.table({"src": pa.array(out["src"], pa.int64()), "dst": pa.array(out["dst"], pa.int64()), "cos": pa.array(out["cos"], pa.float64())})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "src long, dst long, cos double")

@@ -164,13 +164,27 @@ def best_run(df: DataFrame, by: Sequence[str], metrics: Sequence[str], key: str)
 def first_appearance(items: DataFrame, entity: str, order: Sequence[str], category: str | None = None) -> DataFrame:
     """(entity[, category], index): entities numbered from 0 by first appearance, within each category.
 
-    The numbering is over distinct entities only, one row each.
+    The numbering is over distinct entities only, one row each. Where the first
+    column of the order is an integer, its range is cut into buckets that are
+    ranked on their own, so that no task numbers all entities.
     """
     by = [entity] + ([category] if category else [])
     first = items.groupBy(*by).agg(F.min(F.struct(*order)).alias("first_at"))
-    w = (W.partitionBy(category) if category else W.partitionBy()).orderBy("first_at")
-    return first.withColumn("index", F.row_number().over(w) - 1)
-
+    keys = [category] if category else []
+    if items.schema[order[0]].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        w = W.partitionBy(*keys).orderBy("first_at")
+        return first.withColumn("index", F.row_number().over(w) - 1)
+    ranged, bucket = id_bucket(first.withColumn("__at", F.col(f"first_at.{order[0]}")), "__at")
+    put = ranged.withColumn("__bucket", F.coalesce(bucket, F.lit(-1))).drop("__at", "__lo", "__hi")  # a null comes first
+    sizes = put.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))  # a row for each bucket
+    base = sizes.select(F.col("__bucket").alias("__b"), *[F.col(k).alias("__c") for k in keys], F.coalesce(before, F.lit(0)).alias("__base"))
+    own = F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy("first_at")) - 1
+    same = F.col("__bucket") == F.col("__b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("__c"))
+    ranked = put.withColumn("__own", own).join(base, same)
+    return ranked.withColumn("index", F.col("__base") + F.col("__own")).select(*by, "first_at", "index")
 
 
 def draw_decks(pool: DataFrame, users: DataFrame, days: int, per_day: int, real_per_day: int, open_share: float = 0.15) -> DataFrame:
@@ -211,7 +225,8 @@ def stratified_sample(pool: DataFrame, n: int, seed: int = 1729) -> DataFrame:
 
     The greedy choice is sequential. It runs over a bounded candidate table: for
     each (verdict, candidate, tier, tactic) only the first n rows in hash order
-    can ever be chosen.
+    can ever be chosen. Rows of one such group are worth the same at any step,
+    so that only the first of each that is left is looked at.
     """
     import pandas as pd
 

@@ -122,6 +122,24 @@ def deck_overlap(decks: DataFrame, user: str, item: str) -> DataFrame:
     return sized.select("a", "b", "common", micro(F.col("common") / F.least("na", "nb")).alias("overlap_micro"))
 
 
+def overlap_summary(decks: DataFrame, user: str, item: str, users: int = 25) -> DataFrame:
+    """One row over all pairs of the first ``users`` users: n_pairs, and mean, max and min of the share of a deck that the next user's holds, in percent."""
+    first = decks.select(F.col(user).alias("u")).distinct().orderBy("u").limit(users)
+    held = decks.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct().join(first, "u")
+    sizes = held.groupBy("u").agg(F.count("*").alias("n"))
+    common = held.alias("x").join(held.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.u") < F.col("y.u"))).groupBy(F.col("x.u").alias("a"), F.col("y.u").alias("b")).agg(F.count("*").alias("common"))
+    # pairs without a common item count with share 0; at most users * users rows
+    pairs = sizes.select(F.col("u").alias("a"), "n").join(sizes.select(F.col("u").alias("b")), F.col("a") < F.col("b")).join(common, ["a", "b"], "left")
+    share = 100.0 * F.coalesce("common", F.lit(0)) / F.col("n")
+    return pairs.agg(F.count("*").alias("n_pairs"), F.round(F.avg(share), 2).alias("mean_overlap_pct"), F.round(F.max(share), 2).alias("max_overlap_pct"), F.round(F.min(share), 2).alias("min_overlap_pct"))
+
+
+def capacity(pool: DataFrame, days: int = 7, per_day: int = 8) -> DataFrame:
+    """One row on how many decks a pool can serve without repeats: pool_size, capacity, expected_overlap_pct."""
+    n, deck = F.count("*"), days * per_day
+    return pool.agg(n.alias("pool_size"), F.floor(n / deck).alias("capacity"), F.round(100.0 * deck / F.greatest(n, F.lit(1)), 2).alias("expected_overlap_pct"))
+
+
 def top_frequencies(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 

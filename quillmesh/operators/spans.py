@@ -174,7 +174,7 @@ def place_codes(df: DataFrame, key: str, text: str, places: Sequence[str]) -> Da
     for kind, pool in L.PLACE_POOLS.items():
         base = pool[0].rstrip(" WXYZVUTSRQ")
         here = F.col("category") == kind
-        pooled = F.when(here, F.try_element_at(literals(pool), F.col("index") + 1)).otherwise(pooled)
+        pooled = F.when(here, F.try_element_at(literals(pool), (F.col("index") + 1).cast("int"))).otherwise(pooled)
         overflow = F.when(here, F.concat(F.lit(f"{base} "), (F.col("index") + 1).cast("string"))).otherwise(overflow)
     constant = F.lit(None).cast("string")
     for kind, name in L.PLACE_CONSTANTS.items():
