@@ -238,7 +238,7 @@ def _words(text: Text, at: np.ndarray, stop: np.ndarray, bits: int) -> list[np.n
 
 def _refine(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(order, tied): rows sorted word by word, and whether each equals the one before; only ties are sorted again."""
-    order = np.argsort(words[0], kind="stable")
+    order = np.argsort(words[0])
     tied = np.concatenate([[False], words[0][order][1:] == words[0][order][:-1]])
     for word in words[1:]:
         at = np.flatnonzero(tied | np.append(tied[1:], False))
@@ -327,7 +327,7 @@ def names(text: Text, bits: int) -> tuple[np.ndarray, int]:
 def _rank_in_memory(named: np.ndarray, depth: int) -> np.ndarray:
     """The positions of ``named`` by the names that follow, ``depth`` of them, by doubling; only ties are ranked again."""
     m = len(named)
-    order = np.argsort(named, kind="stable")
+    order = np.argsort(named)
     # a rank is the place of the first of its class, so that classes that are left alone keep theirs
     first = np.flatnonzero(np.concatenate([[True], np.diff(named[order]) > 0]))
     rank = np.empty(m, np.int64)
@@ -340,11 +340,11 @@ def _rank_in_memory(named: np.ndarray, depth: int) -> np.ndarray:
             return order
         sub = order[at]
         following = sub + reach
-        next_ = np.where(following < m, rank[np.minimum(following, m - 1)], -1)
-        again = np.lexsort((next_, rank[sub]))
-        sub, next_ = sub[again], next_[again]
+        key = rank[sub] * (m + 1) + np.where(following < m, rank[np.minimum(following, m - 1)] + 1, 0)
+        again = np.argsort(key)
+        sub, key = sub[again], key[again]
         order[at] = sub
-        new = np.concatenate([[True], (rank[sub][1:] != rank[sub][:-1]) | (next_[1:] != next_[:-1])])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         rank[sub] = np.maximum.accumulate(np.where(new, at, 0))
         reach *= 2
 

@@ -58,7 +58,7 @@ LEAST = 16
 #: Bytes of documents hashed at a time.
 CHUNK_BYTES = 256 << 10
 #: Bytes of tuples that a shard holds while it sorts, and bytes of distinct pieces that it folds at a time.
-MEMORY = 256 << 20
+MEMORY = 128 << 20
 FOLD_BYTES = 64 << 20
 #: Slices of a shard's names that are matched one after the other.
 SLICES = 16
