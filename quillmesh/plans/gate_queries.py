@@ -222,27 +222,6 @@ def remap(t):
     return named_text(t).select("doc_id", joined.alias("remap"))
 
 
-BANK_KEYS = ("EMO/fake/novice", "URG/fake/novice", "MISS/fake/novice", "MISS/real/novice")
-FUNNEL = f"""
-  SELECT *, CASE WHEN q IS NOT NULL THEN 'quality' WHEN NOT ok THEN 'bank_coverage' END AS reject_stage, CASE WHEN q IS NOT NULL THEN q WHEN NOT ok THEN 'missing_bank_key' END AS reject_reason
-  FROM (SELECT conv_id, turn, {QUALITY} AS q, turn % 2 = 0 OR turn % 3 = 0 AS ok FROM conversations)"""
-
-
-def funnel(t):
-    code = F.when(F.col("turn") % 2 == 0, "EMO").when(F.col("turn") % 3 == 0, "URG").otherwise("POL")
-    return G.merge_funnel(t("conversations"), "text", BANK_KEYS, F.lit("fake"), F.lit("novice"), F.array(code))
-
-
-@query("q_merge_funnel", f"SELECT conv_id, turn, reject_stage, reject_reason FROM ({FUNNEL})")
-def merge_funnel(t):
-    return funnel(t).select("conv_id", "turn", "reject_stage", "reject_reason")
-
-
-@query("q_reject_tally", f"SELECT reject_reason AS reason, count(*) AS n FROM ({FUNNEL}) WHERE reject_reason IS NOT NULL GROUP BY 1")
-def tally(t):
-    return G.reject_tally(funnel(t))
-
-
 def _verdict_sql(high: float, low: float) -> str:
     return f"CASE WHEN {P_FAKE} >= {high}::DOUBLE THEN 'FAKE' WHEN {P_FAKE} <= {low}::DOUBLE THEN 'REAL' ELSE 'UNCERTAIN' END"
 
@@ -308,17 +287,22 @@ def dominant(t):
     return R.dominant_bin(t("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")), ["flag", "status"])
 
 
+#: Every place that a set names, in capitals.
+ALL_PLACES = tuple(p.upper() for ps in (*L.PLACE_SETS.values(), L.KNOWN_CITIES) for p in ps)
+
+
 @query(
     "q_place_category",
     f"""SELECT place, CASE WHEN list_contains({sql_list(L.PLACE_SETS['region'])}, lower(place)) THEN 'region' WHEN list_contains({sql_list(L.PLACE_SETS['metropolitan_area'])}, lower(place)) THEN 'metropolitan_area'
       WHEN list_contains({sql_list(L.PLACE_SETS['landmark'])}, lower(place)) THEN 'landmark' WHEN list_contains({sql_list(L.PLACE_SETS['island_group'])}, lower(place)) THEN 'island_group'
       WHEN list_contains({sql_list(L.KNOWN_CITIES)}, lower(place)) OR lower(place) LIKE '% city' THEN 'city' ELSE 'province' END AS category
-      FROM (SELECT n_name || [' City', '', ' Province'][n_nationkey % 3 + 1] AS place FROM nation UNION ALL SELECT unnest(['Luzon', 'EDSA', 'Metro Manila', 'Caraga', 'Baguio']))""",
+      FROM (SELECT n_name || [' City', '', ' Province'][n_nationkey % 3 + 1] AS place FROM nation UNION ALL SELECT r_name || ' city' FROM region UNION ALL SELECT unnest({sql_list(ALL_PLACES)}))""",
 )
 def places(t):
     own = t("nation").select(F.concat("n_name", F.element_at(F.array(F.lit(" City"), F.lit(""), F.lit(" Province")), F.col("n_nationkey").cast("int") % 3 + 1)).alias("place"))
-    known = t("region").limit(1).select(F.explode(F.array(*map(F.lit, ("Luzon", "EDSA", "Metro Manila", "Caraga", "Baguio")))).alias("place"))
-    return own.unionByName(known).select("place", P.place_category(F.col("place")).alias("category"))
+    regions = t("region").select(F.concat("r_name", F.lit(" city")).alias("place"))
+    known = own.sparkSession.createDataFrame([(p,) for p in ALL_PLACES], "place string")
+    return own.unionByName(regions).unionByName(known).select("place", P.place_category(F.col("place")).alias("category"))
 
 
 CUES = {"A": ("the", "ing"), "B": ("les", "eau", "que"), "C": ("ung", "der")}

@@ -12,6 +12,8 @@ from quillmesh.functions import numeric as N
 from quillmesh.functions.equation import compile_equation
 from quillmesh.operators import ml
 from quillmesh.plans.gate_queries import NEGATIVE, POSITIVE, REGISTRY, STAGE_SQL, gated_sql
+from quillmesh.operators.ranking import curate
+from quillmesh.plans.rank_queries import CARDS, cards, sha
 from quillmesh.plans.registry import ORACLES, QUERIES, query, table, whole
 from quillmesh.sources import readers, writers
 from quillmesh.streaming import gates
@@ -26,32 +28,47 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-@query("q_pca")
+# All components: the length of a centred vector does not change under the projection.
+@query(
+    "q_pca",
+    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT k, avg(x) AS m FROM e WHERE vec_id % 5 <> 0 GROUP BY 1)
+      SELECT vec_id, round(sum((x - m) * (x - m)) * 1000000)::BIGINT AS squared, 64 AS components FROM e JOIN m USING (k) GROUP BY 1""",
+)
 def pca(t):
     vectors = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    out = ml.pca(vectors, "v", 4, vectors.filter("vec_id % 5 <> 0"))
-    return out.select("vec_id", F.transform("pca", lambda x: F.round(F.abs(x) * 1000).cast("bigint")).alias("pca"))
+    out = ml.pca(vectors, "v", 64, vectors.filter("vec_id % 5 <> 0"))
+    squared = F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("vec_id", N.micro(squared).alias("squared"), F.size("pca").alias("components"))
 
 
-@query("q_forest")
+# A forest over all components finds the rule that labels the rows, away from its border.
+@query("q_forest", "SELECT vec_id, (embedding[1] > 0)::BIGINT AS prediction FROM embeddings WHERE abs(embedding[1]) > 0.1")
 def forest(t):
-    rows = t("embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("y"), *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)])
-    model, _ = ml.forest(rows.filter("vec_id % 5 <> 0"), [f"x{i}" for i in range(8)], "y", trees=20)
-    return ml.predict_class(model, rows, ["vec_id"]).select("vec_id", "prediction")
+    rows = t("embeddings").select("vec_id", (F.element_at("embedding", 1) > 0).cast("double").alias("y"), *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(64)])
+    model, _ = ml.forest(rows, [f"x{i}" for i in range(64)], "y", trees=60)
+    return ml.predict_class(model, rows.filter("abs(x0) > 0.1"), ["vec_id"]).select("vec_id", "prediction")
 
 
-@query("q_text_baseline")
+# The baseline tells the language of rows that it was not trained on, but for the very short ones.
+@query("q_text_baseline", "SELECT doc_id, (lang = 'en')::BIGINT AS prediction FROM documents WHERE doc_id % 5 = 0 AND length(text) > 200 AND lang IS NOT NULL")
 def text_baseline(t):
-    rows = t("documents").join(t("labels"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("y"))
-    model = ml.text_baseline(rows.filter("doc_id % 5 <> 0"), "text", "y", vocabulary=5000)
-    return ml.predict_class(model, rows, ["doc_id"]).select("doc_id", "prediction")
+    rows = t("documents").filter("lang IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("lang") == "en").cast("double").alias("y"))
+    model = ml.text_baseline(rows.filter("doc_id % 5 <> 0"), "text", "y")
+    return ml.predict_class(model, rows.filter("doc_id % 5 = 0 AND length(text) > 200"), ["doc_id"]).select("doc_id", "prediction")
 
 
-@query("q_linear_equation")
+# Where a logistic regression fits, predictions and labels have the same moments.
+@query(
+    "q_linear_equation",
+    """SELECT moment, round(value * 100)::BIGINT AS hundredths FROM (SELECT avg(y) AS one, avg(y * l_quantity) AS quantity, avg(y * l_discount) AS discount
+      FROM (SELECT (l_returnflag = 'R')::INT::DOUBLE AS y, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount FROM lineitem)) UNPIVOT (value FOR moment IN (one, quantity, discount))""",
+)
 def linear_equation(t):
     rows = t("lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_discount").cast("double").alias("l_discount"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
     text = ml.linear_equation(rows, ["l_quantity", "l_discount"], "y")
-    return rows.select(N.micro(compile_equation(text, rows.columns)).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    p = compile_equation(text, rows.columns)
+    one = rows.select(p.alias("p"), "l_quantity", "l_discount").agg(F.avg("p").alias("one"), F.avg(F.col("p") * F.col("l_quantity")).alias("quantity"), F.avg(F.col("p") * F.col("l_discount")).alias("discount"))
+    return one.unpivot([], ["one", "quantity", "discount"], "moment", "value").select("moment", F.round(F.col("value") * 100).cast("bigint").alias("hundredths"))
 
 
 def register(name: str, sql: str | None = None):
@@ -87,13 +104,21 @@ def csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, path).select("doc_id", "text")
 
 
-@register("q_pool_document", "SELECT doc_id::VARCHAR AS id, lang, '{\"version\":\"1\"}' AS meta FROM documents WHERE doc_id < 200")
+# A pool is a report of a curated size: so many cards, with a reserve of REAL and a cap on UNCERTAIN.
+POOL = 700
+N_REAL, N_OPEN = int(POOL * 0.35), int(POOL * 0.10)
+
+
+@register(
+    "q_pool_document",
+    f"""WITH cards AS (SELECT *, {sha(1729)} AS h0, row_number() OVER (PARTITION BY verdict ORDER BY {sha(1729)}, doc_id) AS r0, count(*) FILTER (verdict = 'REAL') OVER () AS nr, count(*) FILTER (verdict = 'UNCERTAIN') OVER () AS nu FROM {CARDS})
+      SELECT id, lang, text, '{{"version":"1"}}' AS meta FROM cards ORDER BY CASE WHEN verdict = 'REAL' AND r0 <= {N_REAL} THEN 1 WHEN verdict = 'UNCERTAIN' AND r0 <= {N_OPEN} THEN 2 WHEN verdict = 'FAKE' AND r0 <= {POOL} - least(nr, {N_REAL}) - least(nu, {N_OPEN}) THEN 3 ELSE 4 END, h0, doc_id LIMIT {POOL}""",
+)
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a pool is a report of fixed size
     path = scratch(spark, "pool")
-    cards = table(spark, sf_dir, "documents").filter("doc_id < 200").select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
-    writers.write_pool(cards, {"version": "1"}, path)
-    return readers.read_pool(spark, path, "struct<id:string,lang:string,text:string>").select("id", "lang", F.regexp_replace("pool_metadata", " ", "").alias("meta"))
+    chosen = curate(cards(lambda name: table(spark, sf_dir, name)), "doc_id", POOL).select("id", "lang", "text")
+    writers.write_pool(chosen, {"version": "1"}, path)
+    return readers.read_pool(spark, path, "struct<id:string,lang:string,text:string>").select("id", "lang", "text", F.regexp_replace("pool_metadata", " ", "").alias("meta"))
 
 
 @register(

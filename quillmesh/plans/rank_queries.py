@@ -127,14 +127,15 @@ def last_real(t):
     return K.last_before(t("conversations"), ["conv_id"], ["turn"], F.col("role") == "user", F.col("turn"), "last_user").select("conv_id", "turn", "last_user")
 
 
+# Words of ASCII letters between blanks, which both engines see alike in any language.
 @query(
     "q_first_appearance",
-    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][a-z]{4,5}\\b')) AS w, generate_subscripts(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][a-z]{4,5}\\b'), 1) AS k FROM documents WHERE lang = 'en')
-      SELECT w AS entity, row_number() OVER (ORDER BY min({'a': doc_id, 'b': k})) - 1 AS idx FROM w GROUP BY 1""",
+    """WITH w AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')) AS w, generate_subscripts(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), 1) AS k FROM documents)
+      SELECT w AS entity, row_number() OVER (ORDER BY min({'a': doc_id, 'b': k})) - 1 AS idx FROM w WHERE regexp_full_match(w, '[A-Z][a-z]{4,5}') GROUP BY 1""",
 )
 def first_appearance(t):
-    pattern = r"(?<![A-Za-z0-9_])[A-Z][a-z]{4,5}(?![A-Za-z0-9_])"
-    rows = t("documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))).alias("k", "entity"))
+    words = F.split(F.translate(F.coalesce("text", F.lit("")), "\n", " "), " ", -1)
+    rows = t("documents").select("doc_id", F.posexplode(words).alias("k", "entity")).filter(F.col("entity").rlike("^[A-Z][a-z]{4,5}$"))
     return K.first_appearance(rows, "entity", ["doc_id", "k"]).select("entity", F.col("index").alias("idx"))
 
 
@@ -239,13 +240,14 @@ def pairing(t):
 
 @query(
     "q_deck_overlap",
-    f"""WITH d AS (SELECT DISTINCT user_id AS u, event_type || '/' || date_part('day', ts) AS i FROM events WHERE user_id < 25), s AS (SELECT u, count(*) AS n FROM d GROUP BY 1)
+    f"""WITH d AS (SELECT DISTINCT user_id AS u, event_type || '/' || date_part('day', ts) AS i FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 25)), s AS (SELECT u, count(*) AS n FROM d GROUP BY 1)
       SELECT x.u AS a, y.u AS b, count(*) AS common, {micro('count(*) / least(any_value(p.n), any_value(q.n))')} AS overlap_micro
       FROM d x JOIN d y ON x.i = y.i AND x.u < y.u JOIN s p ON p.u = x.u JOIN s q ON q.u = y.u GROUP BY 1, 2""",
 )
 def deck_overlap(t):
     # the report is over the decks of the first 25 users
-    decks = t("events").filter("user_id < 25").select("user_id", F.concat_ws("/", "event_type", F.dayofmonth("ts").cast("string")).alias("item"))
+    users = t("events").select("user_id").distinct().orderBy("user_id").limit(25)
+    decks = t("events").join(users, "user_id").select("user_id", F.concat_ws("/", "event_type", F.dayofmonth("ts").cast("string")).alias("item"))
     return R.deck_overlap(decks, "user_id", "item")
 
 
@@ -495,10 +497,3 @@ def decks(t):
     users = t("events").select(F.col("user_id").cast("string").alias("user_id")).distinct()
     users = users.withColumn("seed", H.user_seed(F.col("user_id"), F.lit("pool")).cast("string"))
     return K.draw_decks(pool, users, days=7, per_day=8, real_per_day=2)
-
-
-@query("q_pilot_sample")
-def pilot(t):
-    i = F.col("doc_id")
-    pool = cards(t).select("id", "verdict", "candidate", F.element_at(F.array(F.lit("novice"), F.lit("proficient"), F.lit("advanced")), (i % 3 + 1).cast("int")).alias("tier"), F.concat(F.lit("tactic"), (i % 5).cast("string")).alias("tactic"))
-    return K.stratified_sample(pool, 30)
