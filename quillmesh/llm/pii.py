@@ -227,3 +227,61 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     sha = F.sha2(_listed("pii_base").cast("binary"), 256)
     return found.select("doc_id", *map(count, KINDS), sha.alias("base_sha256"), _listed(_all_spans()).alias("spans"), F.size("pii_terms").cast("long").alias("n_term"))
+
+
+def _oracle_kind(order: int, kind: str, pattern: str, valid: str, entity: str) -> str:
+    """(r, o, kind, start, end, entity) of the valid matches of a kind; gaps and matches add up to offsets."""
+    return f"""SELECT r, {order} AS o, '{kind}' AS kind, stop - length(m) AS start, stop, '{kind}:' || {entity} AS entity
+    FROM (SELECT r, m, (sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS stop
+      FROM (SELECT r, unnest(string_split_regex(t, '{pattern}')) AS g, unnest(list_append(regexp_extract_all(t, '{pattern}'), '')) AS m, unnest(range(0, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM d)) WHERE m <> '' AND {valid}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(0, length({_DIGITS})), lambda k: CASE WHEN k % 2 = 0 THEN {_DIGITS}[length({_DIGITS}) - k]::INT
+    WHEN {_DIGITS}[length({_DIGITS}) - k]::INT > 4 THEN 2 * {_DIGITS}[length({_DIGITS}) - k]::INT - 9 ELSE 2 * {_DIGITS}[length({_DIGITS}) - k]::INT END)) % 10 = 0"""
+_BYTE = "^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+_BASE = " UNION ALL ".join(
+    _oracle_kind(*args)
+    for args in (
+        (1, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "lower(m)"),
+        (2, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", f"len(list_filter(string_split(m, '.'), lambda p: NOT regexp_matches(p, '{_BYTE}'))) = 0", "lower(m)"),
+        (3, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}", _DIGITS),
+        (4, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", _DIGITS),
+    )
+)
+
+#: Base spans and disclosing terms by hand: every pair of entity and term is counted.
+ORACLE_OP4 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), base AS MATERIALIZED ({_BASE}
+), held AS (
+  SELECT DISTINCT r, entity FROM base
+), n_c AS (
+  SELECT entity, count(*) AS n_c FROM held GROUP BY 1
+), words AS (
+  SELECT DISTINCT r, lower(unnest(regexp_extract_all(t, '\p{{L}}{{3,}}'))) AS term FROM d
+), n_t AS (
+  SELECT term, count(*) AS n_t FROM words GROUP BY 1
+), n_ct AS (
+  SELECT entity, term, count(*) AS n_ct FROM held JOIN words USING (r) GROUP BY 1, 2
+), risky AS (
+  SELECT entity, term FROM (SELECT *, n_c / (SELECT count(*) FROM d)::DOUBLE AS known FROM n_ct JOIN n_c USING (entity) JOIN n_t USING (term) WHERE n_c < (SELECT count(*) FROM d))
+  WHERE -log2((n_ct + {PRIOR}::DOUBLE * known) / (n_t + {PRIOR}::DOUBLE) / known) / log2(known) >= {DISCLOSURE}::DOUBLE
+), gone AS (
+  SELECT DISTINCT r, term FROM held JOIN risky USING (entity)
+), mentions AS (
+  SELECT r, lower(m) AS term, stop - length(m) AS start, stop FROM (SELECT r, m, (sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS stop
+    FROM (SELECT r, unnest(string_split_regex(t, '\p{{L}}{{3,}}')) AS g, unnest(list_append(regexp_extract_all(t, '\p{{L}}{{3,}}'), '')) AS m, unnest(range(0, len(regexp_extract_all(t, '\p{{L}}{{3,}}')) + 1)) AS i
+      FROM d WHERE r IN (SELECT r FROM base))) WHERE m <> ''
+), terms AS (
+  SELECT r, {len(KINDS) + 1} AS o, 'term' AS kind, start, stop FROM mentions m JOIN gone USING (r, term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.start <= m.start AND m.stop <= b.stop)
+), every AS (
+  SELECT r, o, kind, start, stop FROM base UNION ALL SELECT * FROM terms
+), listed AS (
+  SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in (*KINDS, 'term'))},
+    coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o, stop) FILTER (kind <> 'term'), '') AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o, stop) AS s
+  FROM every GROUP BY 1
+)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*KINDS, 'term'))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans FROM d LEFT JOIN listed USING (r)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE_OP10}
+    return {"op4_pii": pii.ORACLE_OP4, "op7_repeats": repeats.ORACLE_OP7, "op10_mixing": mixing.ORACLE_OP10}

@@ -582,3 +582,26 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document covered by a 50-byte string of a document with a smaller id."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Every window of every document, by hand; for tables whose windows a machine can hold.
+ORACLE_OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {NULL_ID}) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT *, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)
+), low AS (
+  SELECT s, min(id) AS low FROM w GROUP BY s HAVING min(id) < max(id)
+), hits AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM w JOIN low USING (s) WHERE id > low)
+), runs AS (
+  SELECT r, run, min(i) AS a, max(i) + {LENGTH} AS e FROM hits GROUP BY r, run
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(e) AS last, sum(e - a)::BIGINT AS gone, count(*) AS spans
+  FROM (SELECT runs.*, d.h, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs JOIN d USING (r)) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(from_hex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
