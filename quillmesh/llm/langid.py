@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import id_remainder, table
+from quillmesh.llm.common import discard, id_remainder, materialise, table
 
 #: Ids sampled for each language (least hash first) and bytes of its dictionary.
 SAMPLE_ROWS = 600
@@ -50,10 +50,12 @@ def learn(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> dict[str, by
     h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h")
     # ids, not rows, are counted: a sketch a language, so that no task ranks a language's every row
     langs = train.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-    cuts = langs.select("lang", "n", (F.lit(float(LET_IN * rows_per_language)) * HASHES / F.col("n")).alias("cut"))
+    # written, so that the planner knows how small it is and does not shuffle the rows by language
+    cuts = materialise(langs.select("lang", "n", (F.lit(float(LET_IN * rows_per_language)) * HASHES / F.col("n")).alias("cut")), "cuts")
     ids = train.select("doc_id", "lang", h).join(cuts, "lang").filter(F.col("h") <= F.col("cut")).groupBy("lang", "doc_id", "h").agg(F.max("n").alias("n"))
     w = W.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ids.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= rows_per_language).select("doc_id", "lang", "rank", "n")
+    chosen = materialise(chosen, "chosen")
     piece = F.substring(F.col("text").cast("binary"), 1, 4 * PIECE_BYTES).alias("raw")
     picked = train.select("doc_id", "lang", piece).join(chosen, ["doc_id", "lang"]).groupBy("lang", "rank", "n").agg(F.min("raw").alias("raw"))
 
@@ -64,6 +66,7 @@ def learn(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> dict[str, by
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "n": pa.array([rows.column("n")[0].as_py()], pa.int64()), "raw": pa.array([raw], pa.binary())})
 
     found = picked.groupBy("lang").applyInArrow(fill, "lang string, n long, raw binary").collect()
+    discard(cuts, chosen)
     return {r.lang: bytes(r.raw) for r in sorted(found, key=lambda r: (-r.n, r.lang))}
 
 
