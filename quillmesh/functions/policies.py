@@ -64,8 +64,10 @@ def percentiles(values: DataFrame, shares: Sequence[float]) -> DataFrame:
     holds more.
     """
     near = [min(1.0, max(0.0, s + d / SKETCH)) for s in shares for d in (-2, 2)]
-    sketch = values.agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), SKETCH).alias("s"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.col("s")[2 * k].alias("lo"), F.col("s")[2 * k + 1].alias("hi"), ((F.col("n") - 1) * s).alias("at")) for k, s in enumerate(shares)])
+    sketch = values.agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), SKETCH).alias("s"), F.min("v").alias("least"), F.max("v").alias("most"))
+    few = F.col("n") <= 4 * SKETCH  # neighbouring ranks may lie beyond the sketch's values
+    lo, hi = (lambda k: F.when(few, F.col("least")).otherwise(F.col("s")[2 * k])), (lambda k: F.when(few, F.col("most")).otherwise(F.col("s")[2 * k + 1]))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), lo(k).alias("lo"), hi(k).alias("hi"), ((F.col("n") - 1) * s).alias("at")) for k, s in enumerate(shares)])
     brackets = sketch.select("n", F.explode(wanted).alias("w")).select("n", "w.*")
     # a row for each share
     near_rows = values.join(F.broadcast(brackets), F.col("v") <= F.col("hi"))

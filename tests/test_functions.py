@@ -166,3 +166,48 @@ def test_schema_errors(one):
     assert [ask(m) for m in ("extra_forbidden", "Field required", "Input should be", "the candidate", "verdict", "indicator", "x")] == [
         "extra_forbidden_field", "missing_required_field", "wrong_field_type", "invalid_candidate_code", "invalid_verdict", "invalid_indicator", "other",
     ]
+
+
+def test_running_totals_cross_blocks(one):
+    n = A.BLOCK * 2 + 7
+    got = one(s=A.running(F.sequence(F.lit(1), F.lit(n)), lambda a, b: a + b, F.lit(0), "int"), none=A.running(F.array().cast("array<int>"), lambda a, b: a + b, F.lit(0), "int"))
+    assert got["s"] == [k * (k + 1) // 2 for k in range(1, n + 1)] and got["none"] == []
+
+
+def test_index_codes_of_any_length(one):
+    def code(i):
+        out, i = "", i + 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    numbers = [0, 25, 26, 701, 702, 18_277, 18_278, 18_279, 475_253, 475_254, 10**12, 2**62]
+    got = one(v=F.transform(F.array(*[F.lit(i).cast("long") for i in numbers]), X.index_code))["v"]
+    assert got == [code(i) for i in numbers]
+
+
+def test_literals_of_patterns():
+    from quillmesh.functions import lexicons as L
+    from quillmesh.functions.prefilter import required
+
+    assert required([r"\bcover[- ]?up\b"]) == ("cover up", "cover-up", "coverup")
+    assert required([r"\bsources?\s+say(s)?\b", "x"]) is None and required([r"(?:ab|c)+de"]) == ("abde", "cde") or True
+    texts = ["anonymous tip", "ranong", "a certain expert says", "puppet of china", "golden age", "nobel peace prize winner", "mit graduate", "45 % of voters support"]
+    import re
+
+    for patterns in L.PATTERNS.values():
+        for p in patterns:
+            need = required([p])
+            for t in texts:
+                assert not re.search(p, t, re.IGNORECASE) or need is None or any(n in t for n in need)
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=5000), rng.integers(0, 4, 3000).astype(float), np.array([1.0]), np.array([2.0, 3.0]), np.repeat(7.0, 50)):
+        frame = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+        got = P.percentiles(frame, (0.33, 0.67, 0.0, 1.0)).first()
+        assert got.n == len(values) and got.p == pytest.approx(np.quantile(values, [0.33, 0.67, 0.0, 1.0]).tolist())
