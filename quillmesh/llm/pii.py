@@ -20,11 +20,10 @@ resolved for the added columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.arrays import running
 from quillmesh.llm.common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -47,22 +46,6 @@ TERM = r"\p{L}{3,}"
 #: Share of an entity's bits that a term may disclose, and documents that the lack of a link counts for beforehand.
 DISCLOSURE = 0.9
 PRIOR = 0.5
-SCAN_BLOCK = 256
-
-
-def scan(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """Running totals of an array, block by block, so that long arrays stay cheap."""
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), zero)
-    empty = F.array().cast("array<int>")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SCAN_BLOCK).cast("int")),
-        lambda i: F.slice(values, i * SCAN_BLOCK + 1, SCAN_BLOCK),
-    )
-    run = lambda xs, start: F.aggregate(xs, empty, lambda acc, v: F.concat(acc, F.array(op(F.coalesce(F.try_element_at(acc, F.lit(-1)), start), v))))
-    total = lambda xs: F.aggregate(xs, zero, op)
-    starts = F.aggregate(blocks, F.array(zero), lambda acc, b: F.concat(acc, F.array(op(last(acc), total(b)))))
-    scanned = F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), run))
-    return F.when(F.size(values) > 0, scanned).otherwise(empty)
 
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -103,7 +86,7 @@ def base_spans(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     heads = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    ends = scan(F.zip_with(heads, found, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b, F.lit(0))
+    ends = running(F.zip_with(heads, found, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b, F.lit(0), "int")
     rows = F.arrays_zip(found.alias("m"), ends.alias("e"))
     valid = F.filter(rows, lambda r: _valid(kind, r["m"]))
     made = F.transform(
@@ -122,7 +105,7 @@ def _terms(text: Column) -> Column:
     """The mentions of terms in a text: lower-cased, with offsets."""
     found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
     heads = F.slice(F.split(text, TERM, -1), 1, F.size(found))
-    ends = scan(F.zip_with(heads, found, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b, F.lit(0))
+    ends = running(F.zip_with(heads, found, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b, F.lit(0), "int")
     rows = F.arrays_zip(found.alias("m"), ends.alias("e"))
     return F.transform(rows, lambda r: F.struct(F.lower(r["m"]).alias("term"), (r["e"] - F.length(r["m"])).cast("int").alias("start"), r["e"].cast("int").alias("end")))
 
@@ -180,7 +163,9 @@ def pii_spans(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
 def _spans_of(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     held = F.when(F.size("pii_base") > 0, F.col("text"))
     found = materialise(find(docs).select(*carry, "pii_row", "pii_base", held.alias("pii_held")), "found")
-    holding = found.filter(F.col("pii_held").isNotNull())
+    # few bytes, but much work for each: spread over as many tasks as a shuffle has
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    holding = found.filter(F.col("pii_held").isNotNull()).repartition(tasks, "pii_row")
     seen = materialise(holding.select("pii_row", "pii_base", F.explode(_terms(F.col("pii_held"))).alias("t")).select("pii_row", "t.*", _outside().alias("free")), "mentions")
     risky = disclosing(docs, found, seen)
     hits = seen.filter("free").join(risky, ["pii_row", "term"]).groupBy("pii_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pii_terms"))
@@ -206,7 +191,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = docs.columns
     docs = docs.select([F.col(c).alias("text") if c.lower() == "text" else F.col(c).alias(f"pii_c{k}") for k, c in enumerate(names)])
     found = _spans_of(docs, tuple(docs.columns)).withColumn("pii_all", _all_spans())
-    reach = scan(F.transform("pii_all", lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    reach = running(F.transform("pii_all", lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0), "int")
     rows = F.arrays_zip(F.col("pii_all").alias("s"), F.concat(F.array(F.lit(0)), reach).alias("before"))
     pieces = F.transform(
         F.filter(rows, lambda r: r["s"].isNotNull() & (r["s"]["start"] >= r["before"])),

@@ -150,14 +150,6 @@ def test_pii_terms_disclose_and_go(spark):
     assert clean[300] == rows[300][1]
 
 
-def test_pii_running_totals_cross_blocks(spark):
-    n = pii.SCAN_BLOCK * 2 + 7
-    from pyspark.sql import functions as F
-
-    row = spark.range(1).select(pii.scan(F.sequence(F.lit(1), F.lit(n)), lambda a, b: a + b, F.lit(0)).alias("s")).first()
-    assert row.s == np.cumsum(np.arange(1, n + 1)).tolist()
-
-
 # op5
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
