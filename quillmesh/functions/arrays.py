@@ -71,6 +71,17 @@ def metrics_record(record: Column) -> Column:
     return F.map_filter(cast, lambda k, v: v.isNotNull())
 
 
+#: Names under which a run's metrics are kept, and those that stand for them.
+SPLITS = {"test": ("test", "test_metrics"), "val": ("val", "eval_metrics")}
+
+
+def split_metrics(record: Column) -> Column:
+    """(test, val): the metrics of a record of maps under any of their names; the query fails on a record without test metrics."""
+    test, val = (F.coalesce(*[F.try_element_at(record, F.lit(n)) for n in names]) for names in SPLITS.values())
+    checked = F.when(test.isNull(), F.raise_error(F.lit("a record has no test metrics")).cast("map<string,string>")).otherwise(test)
+    return F.struct(metrics_record(checked).alias("test"), metrics_record(val).alias("val"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where a lambda inside it uses it for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)

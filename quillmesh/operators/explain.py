@@ -105,6 +105,39 @@ def rotating_explanation(df: DataFrame, bank: DataFrame, key: str, index: str, l
     return out.select(F.col("__k").alias(key), "summary", F.transform(phrases, lambda p: p.dropFields("j")).alias("indicator_phrases"))
 
 
+# How a template's summary begins, and what a phrase says about each code.
+TEMPLATE_INTROS = {"FAKE": "This post looks suspicious", "REAL": "This post appears credible"}
+TEMPLATE_PHRASES = {
+    "EMO": "Uses loaded emotional language designed to make readers react before checking.",
+    "URG": "Urgency cue — pressure to share now before verifying.",
+    "ANON": "Source is anonymous; nobody is named who could be held accountable.",
+    "MISS": "Missing receipts — no link, no document, no named source.",
+    "FAB": "Fabricated quote without traceable transcript or video.",
+    "POL": "Us-vs-them framing that turns voters against each other.",
+    "CONS": "Conspiracy framing about a hidden cabal without evidence.",
+    "DISC": "Discrediting the person without engaging with their arguments.",
+    "IMP": "Impersonation — fake account or spoofed profile borrowing real credibility.",
+    "REV": "Historical revisionism rewriting a documented period without sources.",
+    "ENDO": "Claimed endorsement without an official statement from the named source.",
+    "RECF": "Recycled content reused with metadata showing it is from a previous event.",
+}
+
+
+def template_summary(verdict: Column, fired: Column) -> Column:
+    """What a template's card says about its verdict and cues."""
+    intro = F.lit("This post is uncertain")
+    for name, text in TEMPLATE_INTROS.items():
+        intro = F.when(verdict == name, text).otherwise(intro)
+    told = F.concat(F.lit(". "), F.size(fired).cast("string"), F.lit(" misinformation cue(s) fired: "), F.array_join(fired, ", "), F.lit("."))
+    return F.concat(intro, F.when(F.size(fired) > 0, told).otherwise(". No major misinformation cues fired."))
+
+
+def template_phrase(code: Column) -> Column:
+    """The phrase about a code, or one that names it."""
+    known = F.create_map(*[F.lit(x) for pair in TEMPLATE_PHRASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, code), F.concat(code, F.lit(" cue detected.")))
+
+
 def bank_id(code: Column, version: str, tier: Column, n: Column) -> Column:
     """The id of a bank entry: code, version, and the first letter of its tier with a number."""
     return F.concat(code, F.lit(f"/v{version}/"), F.substring(tier, 1, 1), n.cast("string"))

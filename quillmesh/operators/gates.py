@@ -209,3 +209,15 @@ def guard_rows(df: DataFrame, most: int) -> DataFrame:
     n = df.agg(F.count("*").alias("__n"))
     checked = df.crossJoin(F.broadcast(n))  # one row
     return checked.filter(F.coalesce(F.assert_true(F.col("__n") <= most, F.lit(f"more than {most} rows")).isNull(), F.lit(True))).drop("__n")
+
+
+def retry_until(attempt, enough: int, most: int = 4) -> tuple[DataFrame, int]:
+    """(rows, attempts): the rows of ``attempt(k)`` for k = 0, 1..., until there are ``enough`` of them or ``most`` attempts were made."""
+    out, n = None, 0
+    for k in range(most):
+        made = attempt(k)
+        out = made if out is None else out.unionByName(made)
+        n += made.count()
+        if n >= enough:
+            break
+    return out, k + 1

@@ -94,3 +94,19 @@ def layer(nodes: DataFrame, edges: DataFrame, id_col: str, vector: str, own: lis
     row = lambda w: F.array(*map(F.lit, map(float, w)))
     outs = [dot(F.col(vector), row(a)) + dot(F.col("mean"), row(b)) + F.lit(float(c)) for a, b, c in zip(own, other, bias, strict=True)]
     return both.select(id_col, F.array(*[F.greatest(o, F.lit(0.0)) if relu else o for o in outs]).alias(vector))
+
+
+def softmax(logits: Column) -> Column:
+    """The softmax of an array, shifted by its maximum."""
+    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+
+
+def classify(nodes: DataFrame, edges: DataFrame, id_col: str, vector: str, layers: list[tuple[list, list, list]], head: tuple[list, list]) -> DataFrame:
+    """(id, p): class probabilities of each node after the layers (own, other, bias) and a linear head (weights, bias)."""
+    out = nodes.select(id_col, vector)
+    for own, other, bias in layers:
+        out = layer(out, edges, id_col, vector, own, other, bias)
+    weights, bias = head
+    logits = F.array(*[dot(F.col(vector), F.array(*map(F.lit, map(float, w)))) + F.lit(float(b)) for w, b in zip(weights, bias, strict=True)])
+    return out.select(id_col, softmax(logits).alias("p"))

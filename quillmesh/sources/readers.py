@@ -70,11 +70,16 @@ def read_packed_csv(spark: SparkSession, path: str, member: str, columns: Sequen
 
 
 def first_of(attempts: Sequence[Callable[[], DataFrame]]) -> DataFrame:
-    """The first source that can be read; the last error if none can."""
+    """The first source that can be read; the last error if none can.
+
+    Reading is lazy, so a row of each source is asked for before it is taken.
+    """
     error: Exception | None = None
     for attempt in attempts:
         try:
-            return attempt()
+            found = attempt()
+            found.take(1)
+            return found
         except Exception as e:  # a tier that fails gives way to the next
             error = e
     raise error or ValueError("no source given")
@@ -98,6 +103,13 @@ def pick_column(df: DataFrame, preferred: str | None, candidates: Sequence[str])
     raise KeyError(f"none of {list(candidates)} in {df.columns}")
 
 
+def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` itself, or an error that names the columns it lacks."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise KeyError(f"missing columns: {missing}")
+    return df
+
+
 def canonical_corpus(df: DataFrame, dataset: str, lang: str, flip: bool = False) -> DataFrame:
     """(dataset, lang, text, label) of a raw corpus with any of the usual headers; rows without a known label go."""
     text, label = pick_column(df, None, ("text", "article", "content")), pick_column(df, None, ("label", "labels", "target"))
@@ -202,5 +214,13 @@ def expand_users(spec: str, demo: int = 25) -> list[str]:
     return list(dict.fromkeys(u.strip() for u in spec.split(",") if u.strip()))
 
 
+def number_list(text: str, n: int | None = None, kind: type = float) -> list:
+    """Numbers from a comma-separated list, ``n`` of them if that is given."""
+    out = [kind(x) for x in text.split(",") if x.strip()]
+    if n is not None and len(out) != n:
+        raise ValueError(f"{n} numbers expected in {text!r}")
+    return out
+
+
 def run_path(base: str, task: str, run: str | int, seed: int) -> str:
     return "/".join([base.rstrip("/"), task, f"run_{run}", f"seed_{seed}"])
