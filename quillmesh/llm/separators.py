@@ -5,6 +5,9 @@ end-of-document id and nothing tells where. The file is read in blocks that
 ignore documents. Each block is searched for the separator with numpy and
 gives its positions; a prefix scan over the block summaries (tokens,
 separators, last separator) stitches documents that cross blocks.
+``read_files`` takes blocks from raw files; ``write_stream`` makes shards of
+documents and keeps their blocks compressed, as raw ids take more room than
+the texts they come from.
 
 Edge cases: null and empty texts are a lone separator and count 0 tokens;
 ids of special tokens cannot come from text; a stream that does not end with a
@@ -28,7 +31,7 @@ from quillmesh.llm.tokens import VOCABULARY, Encoder
 
 SEPARATOR = 50256
 DTYPE = "<u2"
-#: Bytes of a block. Blocks are the unit of work; files may be of any size.
+#: Bytes of a block. Blocks are the unit of work; ``read_files`` reads files of up to 2 GB, the limit of Spark's binary reader.
 BLOCK_BYTES = 256 << 10
 #: Ids of documents to a row of the manifest.
 MANIFEST_ROWS = 4096
