@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,10 +81,9 @@ def attach(new: DataFrame, base: DataFrame, id_col: str, vector: str, k: int) ->
 
 
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, mean): the mean vector over incoming edges; zeros for an isolated node."""
-    sources = nodes.select(F.col(id_col).alias("src"), F.posexplode(vector).alias("k", "x"))
-    sums = edges.select("src", "dst").join(sources, "src").groupBy("dst", "k").agg(F.avg("x").alias("m"))
-    means = sums.groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("mean"))
+    """(id, mean): the mean vector over incoming edges; zeros for an isolated node. Vectors are summed whole, before the shuffle as well."""
+    sources = nodes.select(F.col(id_col).alias("src"), array_to_vector(F.col(vector)).alias("__x"))
+    means = edges.select("src", "dst").join(sources, "src").groupBy("dst").agg(vector_to_array(Summarizer.mean(F.col("__x"))).alias("mean"))
     joined = nodes.select(F.col(id_col), F.col(vector).alias("__v")).join(means, F.col(id_col) == F.col("dst"), "left")
     return joined.select(id_col, F.coalesce("mean", F.transform("__v", lambda x: F.lit(0.0))).alias("mean"))
 

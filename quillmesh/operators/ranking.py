@@ -237,9 +237,12 @@ def stratified_sample(pool: DataFrame, n: int, seed: int = 1729) -> DataFrame:
     marked = few.withColumn("__h", hash_order(seed, F.col("id"))).drop("bucket_rank").withColumn("__one", F.lit(1))
 
     def pick(cards: pd.DataFrame, limits: pd.DataFrame) -> pd.DataFrame:
-        rows = cards.sort_values(["__h", "id"]).to_dict("records")
+        axes = ("verdict", "candidate", "tier", "tactic")
+        waiting: dict[tuple, list[dict]] = {}
+        for r in cards.sort_values(["__h", "id"], ascending=False).to_dict("records"):
+            waiting.setdefault(tuple(r[a] for a in axes), []).append(r)
         limit = {(r["axis"], r["k"]): int(r["slots"]) for r in limits.to_dict("records")}
-        names = sorted({r["candidate"] for r in rows if r["candidate"] is not None})
+        names = sorted({key[1] for key in waiting if key[1] is not None})
         share = {c: n // len(names) + (i < n % len(names)) for i, c in enumerate(names)}
         count: dict[tuple, int] = {}
         chosen: list[dict] = []
@@ -249,12 +252,16 @@ def stratified_sample(pool: DataFrame, n: int, seed: int = 1729) -> DataFrame:
             new = ("tactic", r["tactic"]) not in count
             return 10.0 * new - 3.0 * over("candidate", share.get(r["candidate"], 0)) - 2.0 * over("tier", limit.get(("tier", r["tier"]), 0))
 
-        while len(chosen) < n and rows:
-            free = [r for r in rows if count.get(("verdict", r["verdict"]), 0) < limit.get(("verdict", r["verdict"]), 0)]
-            best = max(free, key=worth) if free else rows[0]
-            rows.remove(best)
+        while len(chosen) < n and waiting:
+            heads = sorted((rows[-1] for rows in waiting.values()), key=lambda r: (r["__h"], r["id"]))
+            free = [r for r in heads if count.get(("verdict", r["verdict"]), 0) < limit.get(("verdict", r["verdict"]), 0)]
+            best = max(free, key=worth) if free else heads[0]
+            key = tuple(best[a] for a in axes)
+            waiting[key].pop()
+            if not waiting[key]:
+                del waiting[key]
             chosen.append(best)
-            for axis in ("verdict", "candidate", "tier", "tactic"):
+            for axis in axes:
                 count[axis, best[axis]] = count.get((axis, best[axis]), 0) + 1
         out = pd.DataFrame(chosen, columns=[c for c in cards.columns if c != "__one"]).drop(columns="__h")
         out["pick"] = range(1, len(out) + 1)

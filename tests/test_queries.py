@@ -39,9 +39,8 @@ def test_equals_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0 or name in ("q_names_min_count",)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_flagship(spark):
