@@ -24,14 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test), a temporary folder is set.
+    Where the session names none, a local session gets a temporary folder, and
+    a cluster its warehouse, which it shares as well.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
+    if named is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         named = f"file://{tempfile.mkdtemp(prefix='quillmesh-')}"
         sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 #: Folders of the intermediate tables of this process that are still there, oldest first.
