@@ -264,5 +264,14 @@ def justifying_phrase(verdict: Column, phrases: Column, summary: Column) -> Colu
     return F.coalesce(F.try_element_at(own, F.lit(1))["phrase"], summary)
 
 
+def bank_document(bank: DataFrame, version: str) -> DataFrame:
+    """One row (json) that holds a bank(code, tier, phrase, sift, bank_id): its version, a digest of its entries, and the entries in order. A bank is a parameter table."""
+    entry = F.struct("bank_id", "code", "tier", "phrase", "sift")
+    lines = F.transform("e", lambda e: F.concat_ws("|", e["bank_id"], e["phrase"], e["sift"]))
+    digest = F.substring(F.sha2(F.array_join(lines, "\n").cast("binary"), 256), 1, 16)
+    one = bank.agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return one.select(F.to_json(F.struct(F.lit(version).alias("bank_version"), digest.alias("bank_hash"), F.col("e").alias("entries"))).alias("json"))
+
+
 def latest(df: DataFrame, by: str, order: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy(F.desc(order)))).filter("__r = 1").drop("__r")

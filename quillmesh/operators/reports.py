@@ -153,3 +153,24 @@ def issue_breakdown(audited: DataFrame, issues: str) -> DataFrame:
     """(issue, n): rows with the issue, and all passing rows as ``passed``."""
     each = audited.select(F.explode(F.when(F.size(issues) == 0, F.array(F.lit("passed"))).otherwise(F.array_distinct(issues))).alias("issue"))
     return each.groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def detector_report(df: DataFrame, verdict: str, detectors: Sequence[str], ensemble: str, strata: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """(axis, value, n, correct, accuracy in millionths) of rows that are FAKE or REAL: each detector over all, and the ensemble in each stratum.
+
+    Where the rows were chosen by the same detectors, this is a check of consistency, not of accuracy.
+    """
+    known = df.filter(F.col(verdict).isin("FAKE", "REAL"))
+    right = lambda d: F.coalesce(((F.col(d) >= threshold) == (F.col(verdict) == "FAKE")).cast("int"), F.lit(0))
+    axes = [F.struct(F.lit("detector").alias("axis"), F.lit(d).alias("value"), right(d).alias("right")) for d in detectors]
+    axes += [F.struct(F.lit(s).alias("axis"), F.col(s).cast("string").alias("value"), right(ensemble).alias("right")) for s in strata]
+    each = known.select(F.explode(F.array(*axes)).alias("r")).select("r.*")
+    counted = each.groupBy("axis", "value").agg(F.count("*").alias("n"), F.sum("right").alias("correct"))
+    return counted.withColumn("accuracy_micro", micro(F.col("correct") / F.col("n")))
+
+
+def deck_report(decks: DataFrame, pool: DataFrame, days: int, per_day: int, candidate: str = "candidate") -> DataFrame:
+    """(user_id, cards, exhausted, least_candidates): for each deck whether the pool ran out, and how many candidates its poorest day shows."""
+    named = decks.join(pool.select("id", F.col(candidate).alias("__c")), "id", "left")
+    daily = named.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.count_distinct("__c").alias("c"))
+    return daily.groupBy("user_id").agg(F.sum("n").alias("cards"), (F.sum("n") < days * per_day).alias("exhausted"), F.min("c").alias("least_candidates"))

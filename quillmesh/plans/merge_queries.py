@@ -9,8 +9,9 @@ from quillmesh.operators import gates as G
 from quillmesh.operators import ranking as K
 from quillmesh.operators import reports as R
 from quillmesh.plans.gate_queries import QUALITY, RECOVERED
-from quillmesh.plans.rank_queries import BANK_VALUES, CARDS, bank, cards, sha
+from quillmesh.plans.rank_queries import BANK_VALUES, CARDS, DECKS, bank, cards, decks, sha
 from quillmesh.plans.registry import query, sql_list
+from quillmesh.sources import writers as W
 
 BANK_KEYS = ("EMO/fake/novice", "URG/fake/novice", "MISS/fake/novice", "MISS/real/novice")
 #: Conversations with no candidate, one with a long code, two, and four.
@@ -154,3 +155,64 @@ def pilot(t):
     i = F.col("doc_id")
     pool = cards(t).select("id", "verdict", "candidate", F.element_at(F.array(F.lit("novice"), F.lit("proficient"), F.lit("advanced")), (i % 3 + 1).cast("int")).alias("tier"), F.concat(F.lit("tactic"), (i % 5).cast("string")).alias("tactic"))
     return K.stratified_sample(pool, 30)
+
+
+@query(
+    "q_detector_report",
+    f"""WITH d AS (SELECT verdict, doc_id, (doc_id % 10) / 10.0::DOUBLE AS a, (doc_id % 7) / 7.0::DOUBLE AS b, lang FROM {CARDS} WHERE verdict IN ('FAKE', 'REAL')),
+      e AS (SELECT 'detector' AS axis, 'a' AS value, (a >= 0.5) = (verdict = 'FAKE') AS r FROM d UNION ALL SELECT 'detector', 'b', (b >= 0.5) = (verdict = 'FAKE') FROM d UNION ALL SELECT 'lang', lang, (b >= 0.5) = (verdict = 'FAKE') FROM d)
+      SELECT axis, value, count(*) AS n, count(*) FILTER (r) AS correct, round(count(*) FILTER (r) / count(*) * 1000000)::BIGINT AS accuracy_micro FROM e GROUP BY 1, 2""",
+)
+def detector_report(t):
+    i = F.col("doc_id")
+    rows = cards(t).select("verdict", "lang", (i % 10 / F.lit(10.0)).alias("a"), (i % 7 / F.lit(7.0)).alias("b"))
+    return R.detector_report(rows, "verdict", ["a", "b"], "b", ["lang"])
+
+
+@query(
+    "q_deck_report",
+    f"""WITH decks AS ({DECKS}), d AS (SELECT user_id, day, count(*) AS n, count(DISTINCT candidate) AS c FROM decks JOIN (SELECT id, candidate FROM {CARDS}) USING (id) GROUP BY 1, 2)
+      SELECT user_id, sum(n)::BIGINT AS cards, sum(n) < 56 AS exhausted, min(c) AS least_candidates FROM d GROUP BY 1""",
+)
+def deck_report(t):
+    return R.deck_report(decks(t), cards(t), days=7, per_day=8)
+
+
+BANK_ENTRIES = "bank_id || '|' || phrase || '|' || sift"
+
+
+@query(
+    "q_bank_document",
+    f"""SELECT bank_id, code, tier, phrase, sift, '1.1' AS version, (SELECT substr(sha256(string_agg({BANK_ENTRIES}, chr(10) ORDER BY bank_id, code, tier, phrase, sift)), 1, 16) FROM {BANK_VALUES}) AS digest FROM {BANK_VALUES}""",
+)
+def bank_document(t):
+    parsed = F.from_json("json", "struct<bank_version:string,bank_hash:string,entries:array<struct<bank_id:string,code:string,tier:string,phrase:string,sift:string>>>")
+    doc = EX.bank_document(bank(t("region")), "1.1").select(parsed.alias("d"))
+    return doc.select(F.explode("d.entries").alias("e"), F.col("d.bank_version").alias("version"), F.col("d.bank_hash").alias("digest")).select("e.*", "version", "digest")
+
+
+TACTICS = ("urgency", "anonymous source")
+FORM = "\n".join(x for q, o in W.QUESTIONS for x in ([q, "", W.ANSWER, ""] if o is None else [q, *(f"- [ ] {c}" for c in o or (W.NO_TACTIC, *sorted(TACTICS))), ""])) + "\n---\n"
+
+
+def text_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "q_questionnaire",
+    f"SELECT conv_id * 1000 + turn AS place, '## Card ' || (conv_id * 1000 + turn) || ' - `' || conv_id || '`' || chr(10) || chr(10) || '> ' || replace(coalesce(text, ''), chr(10), chr(10) || '> ') || chr(10) || chr(10) || {text_sql(FORM)} AS block FROM conversations",
+)
+def questionnaire(t):
+    rows = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("place"), "conv_id", "text")
+    return W.questionnaire(rows, "place", "conv_id", "text", TACTICS)
+
+
+@query(
+    "q_answer_key",
+    f"""SELECT doc_id, '## Card ' || doc_id || ' - `' || id || '`' || chr(10) || chr(10) || '- **Gold verdict:** ' || verdict || chr(10) || '- **Tactic:** `urgency`' || chr(10) || '- **Tier:** novice' || chr(10) || '- **Candidate:** ' || candidate || chr(10)
+      || '- **Fired DEPICT indicators:** ' || CASE WHEN doc_id % 2 = 0 THEN 'EMO, URG' ELSE '(none)' END || chr(10) || '- **Justifying phrase:** why' || chr(10) || chr(10) || '---' || chr(10) AS block FROM {CARDS}""",
+)
+def answer_key(t):
+    fired = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("EMO"), F.lit("URG"))).otherwise(F.array().cast("array<string>"))
+    return W.answer_key(cards(t), "doc_id", "id", F.col("verdict"), F.lit("urgency"), F.lit("novice"), F.col("candidate"), fired, F.lit("why"))

@@ -81,6 +81,14 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("q_model_round_trip", "SELECT vec_id, (embedding[1] > 0)::BIGINT AS prediction FROM embeddings WHERE abs(embedding[1]) > 0.1")
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "model")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.element_at("embedding", 1) > 0).cast("double").alias("y"), *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(4)])
+    ml.save_model(ml.forest(rows, [f"x{i}" for i in range(4)], "y", trees=10)[0], path)
+    return ml.predict_class(ml.load_model(path), rows.filter("abs(x0) > 0.1"), ["vec_id"]).select("vec_id", "prediction")
+
+
 @register("q_jsonl_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "jsonl")

@@ -73,6 +73,42 @@ def markdown_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.select(key, F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))
 
 
+# The questions of a rater's form.
+QUESTIONS = (
+    ("**Q1. Is this post FAKE / REAL / UNCERTAIN?**", ("FAKE", "REAL", "UNCERTAIN")),
+    ("**Q2. Why? (1-2 sentences, open response)**", None),
+    ("**Q3. Which manipulation tactic does it use? (single choice)**", ()),
+    ("**Q4. How confident are you? (1 = not at all, 5 = very confident)**", ("1", "2", "3", "4", "5")),
+    ("**Q5. Would you share this post?**", ("Yes", "No", "Maybe")),
+)
+ANSWER = "> _(rater's free-text answer here)_"
+NO_TACTIC = "credible / not manipulation"
+
+
+def questionnaire(cards: DataFrame, position: str, key: str, text: str, tactics: Sequence[str]) -> DataFrame:
+    """(position, block): a rater's form for each card in Markdown; ``position`` counts from 1."""
+    parts = []
+    for question, options in QUESTIONS:
+        if options is None:
+            parts += [question, "", ANSWER, ""]
+        else:
+            parts += [question, *(f"- [ ] {o}" for o in options or (NO_TACTIC, *sorted(tactics))), ""]
+    head = F.concat(F.lit("## Card "), F.col(position).cast("string"), F.lit(" - `"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("`\n\n> "))
+    quoted = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit("\n> "))
+    return cards.select(position, F.concat(head, quoted, F.lit("\n\n" + "\n".join([*parts, "---", ""]))).alias("block"))
+
+
+def answer_key(cards: DataFrame, position: str, key: str, verdict: Column, tactic: Column, tier: Column, candidate: Column, fired: Column, phrase: Column) -> DataFrame:
+    """(position, block): a scoring sheet for each card in Markdown."""
+    shown = F.when(F.size(fired) > 0, F.array_join(fired, ", ")).otherwise("(none)")
+    lines = [
+        F.concat(F.lit("## Card "), F.col(position).cast("string"), F.lit(" - `"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("`")), F.lit(""),
+        F.concat(F.lit("- **Gold verdict:** "), verdict), F.concat(F.lit("- **Tactic:** `"), tactic, F.lit("`")), F.concat(F.lit("- **Tier:** "), tier), F.concat(F.lit("- **Candidate:** "), candidate),
+        F.concat(F.lit("- **Fired DEPICT indicators:** "), shown), F.concat(F.lit("- **Justifying phrase:** "), phrase), F.lit(""), F.lit("---"), F.lit(""),
+    ]
+    return cards.select(position, F.concat_ws("\n", *lines).alias("block"))
+
+
 def json_schema(df: DataFrame) -> str:
     """The schema of a table as JSON."""
     return df.schema.json()
