@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import lexicons as L
 from quillmesh.functions.arrays import compact, contained, let, literals, trie_pattern
-from quillmesh.functions.prefilter import may_match
+from quillmesh.functions.prefilter import gate, literal_group, may_match
 from quillmesh.functions.text import CAPS, URL, count_of, named_sources, quotes, structural_features, text_or_empty, word_count, words
 
 
@@ -93,32 +93,48 @@ def unanchored_quote(t: Column, least_words: int = 8) -> Column:
     return let(long, judged)
 
 
-def by_patterns(code: str, t: Column, patterns: Sequence[str] | None = None, low: Column | None = None) -> Column:
+def by_patterns(code: str, t: Column, patterns: Sequence[str] | None = None, low: Column | None = None, may: Column | None = None) -> Column:
     own = L.PATTERNS[code] if patterns is None else patterns
     weight, kept = L.WEIGHTS[code]
+    found = pattern_hits(t, own, low) if own else literals([])
+    if may is not None:
+        found = F.when(F.array_contains(may, code), found).otherwise(literals([]))
 
     def judged(found: Column) -> Column:
         fired = F.size(found) > 0
         return hit(code, fired, F.slice(found, 1, kept), fired.cast("double") if code == "IMP" else weight * F.size(found))
 
-    return let(pattern_hits(t, own, low) if own else literals([]), judged)
+    return let(found, judged)
 
 
 def detectors(
-    t: Column, emotive_words: Sequence[str] = L.EMOTIVE, urgent_phrases: Sequence[str] = L.URGENT, patterns: dict[str, Sequence[str]] | None = None, low: Column | None = None
+    t: Column,
+    emotive_words: Sequence[str] = L.EMOTIVE,
+    urgent_phrases: Sequence[str] = L.URGENT,
+    patterns: dict[str, Sequence[str]] | None = None,
+    low: Column | None = None,
+    may: Column | None = None,
 ) -> dict[str, Column]:
-    """All detectors by code, in detector order; ``low`` is the lower-cased text, where it is at hand."""
+    """All detectors by code, in detector order; ``low`` is the lower-cased text and ``may`` the codes of ``literal_gate``, where they are at hand."""
     own = patterns or {}
     made = {"EMO": emotive(t, emotive_words, low), "URG": urgent(t, urgent_phrases, low), "MISS": unsourced(t), "FAB": unanchored_quote(t)}
-    made |= {code: by_patterns(code, t, own.get(code), low) for code in L.PATTERNS}
+    made |= {code: by_patterns(code, t, own.get(code), low, may) for code in L.PATTERNS}
     return {code: made[code] for code in L.CODES}
 
 
+def literal_gate(low: Column, emotive_words: Sequence[str] = L.EMOTIVE, urgent_phrases: Sequence[str] = L.URGENT, patterns: dict[str, Sequence[str]] | None = None) -> Column:
+    """The codes whose words, phrases or patterns a text may hold, by one search for the literals of all."""
+    own = {code: (patterns or {}).get(code, ps) for code, ps in L.PATTERNS.items()}
+    groups = {code: literal_group(ps) if ps else () for code, ps in own.items()}
+    return gate(low, groups | {"EMO": tuple(w for w in emotive_words if w), "URG": tuple(p for p in urgent_phrases if p)})
+
+
 def indicator_map(t: Column, **options) -> Column:
     """code to hit; empty for empty text."""
 
     def build(low: Column) -> Column:
-        return F.map_from_entries(F.array(*[F.struct(F.lit(code), h) for code, h in detectors(t, low=low, **options).items()]))
+        made = lambda may: F.map_from_entries(F.array(*[F.struct(F.lit(code), h) for code, h in detectors(t, low=low, may=may, **options).items()]))
+        return let(literal_gate(low, **options), made)
 
     full = let(F.lower(text_or_empty(t)), build)
     return F.when(text_or_empty(t) != "", full).otherwise(F.map_filter(full, lambda k, v: F.lit(False)))
@@ -140,11 +156,15 @@ def fired_codes(t: Column, emotive_words: Sequence[str] = L.EMOTIVE, urgent_phra
     loud = (marks >= 3) | text.rlike(rf"(?s)(?:{CAPS}.*?){{3}}")
 
     def build(low: Column) -> Column:
-        own = {"MISS": unsourced(t)["fired"], "FAB": unanchored_quote(t)["fired"]}
-        for code in ("EMO", "URG", *L.PATTERNS):
-            own[code] = fires(code, t, low, emotive_words, urgent_phrases, (patterns or {}).get(code, L.PATTERNS.get(code, ())))
-        own["URG"] = own["URG"] | loud
-        return compact(*[F.when(own[code], F.lit(code)) for code in L.CODES])
+        def codes(may: Column) -> Column:
+            own = {"MISS": unsourced(t)["fired"], "FAB": unanchored_quote(t)["fired"]}
+            for code in ("EMO", "URG", *L.PATTERNS):
+                exact = fires(code, t, low, emotive_words, urgent_phrases, (patterns or {}).get(code, L.PATTERNS.get(code, ())))
+                own[code] = F.array_contains(may, code) & exact
+            own["URG"] = own["URG"] | loud
+            return compact(*[F.when(own[code], F.lit(code)) for code in L.CODES])
+
+        return let(literal_gate(low, emotive_words, urgent_phrases, patterns), codes)
 
     return F.when(text != "", let(F.lower(text), build)).otherwise(literals([]))
 
@@ -152,15 +172,15 @@ def fired_codes(t: Column, emotive_words: Sequence[str] = L.EMOTIVE, urgent_phra
 def named_features(t: Column, **options) -> Column:
     """A flat map: ``ind_<code>_fired``, ``ind_<code>_score`` and the structural features."""
 
-    def build(low: Column) -> Column:
+    def named(low: Column, may: Column) -> Column:
         pairs: list[Column] = []
-        for code, h in detectors(t, low=low, **options).items():
+        for code, h in detectors(t, low=low, may=may, **options).items():
             pairs += [F.lit(f"ind_{code.lower()}_fired"), h["fired"].cast("double"), F.lit(f"ind_{code.lower()}_score"), h["score"]]
         for name, value in structural_features(t).items():
             pairs += [F.lit(name), value.cast("double")]
         return F.create_map(*pairs)
 
-    return let(F.lower(text_or_empty(t)), build)
+    return let(F.lower(text_or_empty(t)), lambda low: let(literal_gate(low, **options), lambda may: named(low, may)))
 
 
 def families(codes: Column) -> Column:

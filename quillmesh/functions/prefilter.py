@@ -90,3 +90,35 @@ def may_match(low: Column, patterns: Sequence[str]) -> Column:
     needs = required(patterns)
     # two letters match i and s without regard to case, though they have no other lower case
     return F.lit(True) if needs is None else low.rlike(f"(?:{trie_pattern(needs)})|[ıſ]")
+
+
+def _hides(found: str, literal: str) -> bool:
+    """Whether a match of ``found`` can cover the start of ``literal``: it holds it, or ends in its beginning."""
+    return literal in found or any(found.endswith(literal[:k]) for k in range(1, len(literal)))
+
+
+def gate(low: Column, groups: dict[str, Sequence[str] | None]) -> Column:
+    """The names of the groups, one of whose literals a lower-cased text may hold: one pass over the text for all groups.
+
+    A group without literals is always named. Matches do not overlap, so a
+    literal also names the groups whose literals it can hide.
+    """
+    known = sorted({w for ws in groups.values() for w in ws or ()})
+    always = sorted(k for k, ws in groups.items() if ws is None)
+    names = {f: sorted(k for k, ws in groups.items() if ws and any(_hides(f, w) for w in ws)) for f in known}
+    every = F.array(*map(F.lit, always)) if always else F.array().cast("array<string>")
+    if not known:
+        return every
+    table = F.create_map(*[x for f, ks in names.items() for x in (F.lit(f), F.array(*map(F.lit, ks)))])
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(trie_pattern(known)), F.lit(0)))
+    return F.array_union(every, F.flatten(F.transform(found, lambda f: table[f])))
+
+
+#: Two letters match i and s without regard to case, though they have no other lower case.
+UNFOLDED = ("ı", "ſ")
+
+
+def literal_group(patterns: Sequence[str]) -> tuple[str, ...] | None:
+    """The literals by which ``gate`` names a group of patterns that are matched without regard to case."""
+    needs = required(patterns)
+    return None if needs is None else (*needs, *UNFOLDED)

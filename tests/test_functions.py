@@ -211,3 +211,16 @@ def test_exact_percentiles(spark):
         frame = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
         got = P.percentiles(frame, (0.33, 0.67, 0.0, 1.0)).first()
         assert got.n == len(values) and got.p == pytest.approx(np.quantile(values, [0.33, 0.67, 0.0, 1.0]).tolist())
+
+
+def test_gate_names_every_group_that_occurs(spark):
+    import itertools
+
+    from quillmesh.functions.prefilter import gate
+
+    groups = {"a": ("abc", "cd"), "b": ("bcd", "x"), "c": ("ab",), "d": None, "e": ()}
+    texts = ["".join(x) for n in range(6) for x in itertools.product("abcdx"[:4], repeat=n)] + ["x", "axb"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gate(F.col("t"), groups).alias("g")).collect()
+    for r in got:
+        need = {k for k, ws in groups.items() if ws is None or any(w in r.t for w in ws)}
+        assert need <= set(r.g) and "e" not in r.g, r
