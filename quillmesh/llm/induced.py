@@ -262,7 +262,7 @@ def names(text: Text, bits: int) -> tuple[np.ndarray, int]:
     disk, lms, m = text.disk, text.lms, len(text.lms)
     out = disk.array(m, np.int64)
     stop = lambda k: np.append(lms[k[0] + 1 : k[1] + 1], text.n - 1)[: k[1] - k[0]]
-    step = max(256, disk.memory // (4 * WORK))
+    step = max(256, disk.memory // (2 * WORK))
     if m <= step:
         order, tied = _refine(_words(text, np.asarray(lms), stop((0, m)), bits))
         rank = np.cumsum(~tied) - 1
