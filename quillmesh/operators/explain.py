@@ -38,6 +38,12 @@ def variant_rotation(df: DataFrame, variants: DataFrame, key: str, position: Col
     return joined.withColumn("variant", F.when(F.size("variants") > 0, F.element_at("variants", (F.pmod(position, F.size("variants").cast("bigint")) + 1).cast("int"))))
 
 
+# The parts of an explanation's summary.
+LOOKS = {"REAL": "Looks credible", "FAKE": "Looks suspicious"}
+LIKELIHOOD = " (estimated fake-likelihood {0}%)"
+SUBTLE = ", but the cues are subtle."
+
+
 def explanation(df: DataFrame, bank: DataFrame, key: str, fired: str, verdict: str, percent: Column, tier: str) -> DataFrame:
     """(key, tier, summary, indicator_phrases): up to three phrases by priority, or an affirmation for REAL rows."""
     codes = F.when(F.col(verdict) == "REAL", literals(["CREDIBLE"])).otherwise(by_priority(F.col(fired), L.PRIORITY))
@@ -51,10 +57,12 @@ def explanation(df: DataFrame, bank: DataFrame, key: str, fired: str, verdict: s
     body = F.array_join(F.transform("phrases", lambda p: p["phrase"]), " ")
     names = F.array_join(F.transform("phrases", lambda p: p["indicator"]), ", ")
     n = F.size("phrases")
+    before, after = LIKELIHOOD.split("{0}")
+    looks = lambda v: F.concat(F.lit(LOOKS[v] + before), F.col("pct"), F.lit(after))
     summary = (
-        F.when(F.col("verdict") == "REAL", F.concat(F.lit("Looks credible (estimated fake-likelihood "), F.col("pct"), F.lit("%). "), body))
-        .when(n == 0, F.concat(F.lit("Looks suspicious (estimated fake-likelihood "), F.col("pct"), F.lit("%), but the cues are subtle.")))
-        .otherwise(F.concat(F.lit("Looks suspicious (estimated fake-likelihood "), F.col("pct"), F.lit("%). "), n.cast("string"), F.when(n == 1, " cue: ").otherwise(" cues: "), names, F.lit(". "), body))
+        F.when(F.col("verdict") == "REAL", F.concat(looks("REAL"), F.lit(". "), body))
+        .when(n == 0, F.concat(looks("FAKE"), F.lit(SUBTLE)))
+        .otherwise(F.concat(looks("FAKE"), F.lit(". "), n.cast("string"), F.when(n == 1, " cue: ").otherwise(" cues: "), names, F.lit(". "), body))
     )
     return joined.select(key, "tier", summary.alias("summary"), F.transform("phrases", lambda p: p.dropFields("pos")).alias("indicator_phrases"))
 

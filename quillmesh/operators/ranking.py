@@ -220,6 +220,10 @@ def draw_decks(pool: DataFrame, users: DataFrame, days: int, per_day: int, real_
     )
 
 
+# What a new tactic is worth to a sample, and what a candidate or a tier beyond its share costs.
+NEW_TACTIC, OVER_CANDIDATE, OVER_TIER = 10.0, 3.0, 2.0
+
+
 def stratified_sample(pool: DataFrame, n: int, seed: int = 1729) -> DataFrame:
     """``n`` rows of pool(id, verdict, candidate, tier, tactic), greedily spread: hard quotas by verdict, new tactics first, then balance.
 
@@ -250,7 +254,7 @@ def stratified_sample(pool: DataFrame, n: int, seed: int = 1729) -> DataFrame:
         def worth(r: dict) -> float:
             over = lambda axis, cap: max(0, count.get((axis, r[axis]), 0) - cap)
             new = ("tactic", r["tactic"]) not in count
-            return 10.0 * new - 3.0 * over("candidate", share.get(r["candidate"], 0)) - 2.0 * over("tier", limit.get(("tier", r["tier"]), 0))
+            return NEW_TACTIC * new - OVER_CANDIDATE * over("candidate", share.get(r["candidate"], 0)) - OVER_TIER * over("tier", limit.get(("tier", r["tier"]), 0))
 
         while len(chosen) < n and waiting:
             heads = sorted((rows[-1] for rows in waiting.values()), key=lambda r: (r["__h"], r["id"]))
