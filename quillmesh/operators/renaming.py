@@ -16,6 +16,8 @@ from quillmesh.functions.policies import archetype, lookup
 from quillmesh.functions.text import preview, squeeze, text_or_empty
 
 START, END, SPACE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])", r"[\s\p{Z}]"
+#: Goes into the hash that chooses a candidate where no cue does.
+SALT = "candidates"
 # Titles with names, and surnames that are names on their own.
 TITLED = (
     rf"{START}(?:Pres(?:ident)?\.?|Sen(?:ator)?\.?|Rep(?:resentative)?\.?|Mayor|Gov(?:ernor)?\.?|Sec(?:retary)?\.?|VP|Vice{SPACE}*Pres(?:ident)?|"
@@ -49,7 +51,7 @@ def detected_names(t: Column, surnames: Sequence[str] = SURNAMES) -> Column:
 def candidate_of(t: Column, name: Column, registry: Sequence[Candidate], cues: dict[str, Sequence[str]] = L.ARCHETYPES) -> Column:
     """The code for a text: by its archetype, else by a stable hash of the name or of the text's head."""
     key = F.coalesce(name, F.nullif(preview(t, 80), F.lit("")), F.lit("1729"))
-    rotated = F.element_at(literals([c.code for c in registry]), (stable_index(F.concat(F.lit("minerva|"), key), len(registry)) + 1).cast("int"))
+    rotated = F.element_at(literals([c.code for c in registry]), (stable_index(F.concat(F.lit(f"{SALT}|"), key), len(registry)) + 1).cast("int"))
     return F.coalesce(lookup(archetype(t, cues), {c.archetype: c.code for c in reversed(registry)}), rotated)
 
 

@@ -343,7 +343,11 @@ def collapse_repeats(t: Column, full: str, short: str) -> Column:
     return F.when(F.size(parts) > 1, F.concat(parts[0], F.lit(full), rest)).otherwise(t)
 
 
-def role_for(name: Column, roles: Sequence[str] = ROLES, seed: str = "minerva") -> Column:
+#: Goes into the hash that chooses a role; another seed gives other roles.
+SEED = "roles"
+
+
+def role_for(name: Column, roles: Sequence[str] = ROLES, seed: str = SEED) -> Column:
     """The role that stands in for a name, whatever its case, under a seed."""
     return F.element_at(literals(roles), (stable_index(F.concat(F.lit(f"{seed}:"), F.lower(name)), len(roles)) + 1).cast("int"))
 
@@ -411,7 +415,7 @@ def _pass(t: Column, p: Pattern, keep: Keep, roles: Sequence[str], seed: str) ->
     return F.when(t.rlike(p.java), let(pattern_parts(t, p), rewrite)).otherwise(F.struct(t.alias("text"), F.lit(0).alias("n")))
 
 
-def universal_rewrite(t: Column, keep: Keep = Keep(), roles: Sequence[str] = ROLES, seed: str = "minerva") -> Column:  # noqa: B008
+def universal_rewrite(t: Column, keep: Keep = Keep(), roles: Sequence[str] = ROLES, seed: str = SEED) -> Column:  # noqa: B008
     """(text, n): names replaced by generic roles, pass after pass, and white space tidied; names that ``keep`` spares stay."""
 
     def chain(state: Column, rest: Sequence[Pattern]) -> Column:

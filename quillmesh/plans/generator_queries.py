@@ -64,7 +64,7 @@ CARDS = (
 
 
 def hashed(key: str) -> str:
-    return REGISTRY[int(hashlib.sha256(f"minerva|{key}".encode()).hexdigest()[:8], 16) % 3].code
+    return REGISTRY[int(hashlib.sha256(f"{RN.SALT}|{key}".encode()).hexdigest()[:8], 16) % 3].code
 
 
 # By hand: the golden age makes the first text's names dynastic (C-A), reform the third's (C-B); the others go by hash.

@@ -150,7 +150,7 @@ def rewrite_pass(source: str, k: int, p: S.Pattern) -> str:
         stays += f" OR list_has_any({words}, {every}) OR list_contains({anchors}, {previous}) OR list_contains({sql_list(keep.institutions)}, {following})"
     if p.name == "bare_single":
         stays += f" OR NOT regexp_matches({before}, '[a-z,\"”(]$')"
-    role = f"{sql_list(S.ROLES)}[(('0x' || substr(sha256('minerva:' || lower(o[i])), 1, 8))::BIGINT % {len(S.ROLES)})::INT + 1]"
+    role = f"{sql_list(S.ROLES)}[(('0x' || substr(sha256('{S.SEED}:' || lower(o[i])), 1, 8))::BIGINT % {len(S.ROLES)})::INT + 1]"
     new = {"particle": f"regexp_extract(b[i], '{S.PARTICLES}') || ' ' || {role}", "title": role, "two_word": role}.get(p.name, f"b[i] || {role}")
     start = f"({total('g[1:i-1]')} + {total('b[1:i-1]')} + {total('o[1:i-1]')} + {total('a[1:i-1]')})::BIGINT"
     end = f"({total('g')} - length(g[len(g)]) + {total('b')} + {total('o')} + {total('a')})::BIGINT"

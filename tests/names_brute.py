@@ -39,7 +39,7 @@ def rewrite(text: str) -> tuple[str, int]:
                 stay = stay or any(w in every for w in words) or (before and before[1] in anchors) or (after and after[1] in keep.institutions)
             if p.name == "bare_single":
                 stay = stay or not re.search(r'[a-z,"”(]$', text[: m.start()])
-            role = S.ROLES[int.from_bytes(hashlib.sha256(f"minerva:{name.lower()}".encode()).digest()[:4], "big") % len(S.ROLES)]
+            role = S.ROLES[int.from_bytes(hashlib.sha256(f"{S.SEED}:{name.lower()}".encode()).digest()[:4], "big") % len(S.ROLES)]
             new = {"particle": f"{m[1].split()[0]} {role}" if m[1].split() else role, "title": role, "two_word": role}.get(p.name, m[1] + role)
             out += [text[at : m.start()], m[0] if stay else new + m[3]]
             at = m.end()
