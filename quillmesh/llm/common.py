@@ -48,18 +48,20 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, row_group: int | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Cuts the lineage, survives lost executors, and lets one result feed several
     consumers without being computed again. The table is there until it is
-    discarded, or the session ends.
+    discarded, or the session ends. ``row_group`` bounds the bytes that readers
+    load at once, for rows that are megabytes each.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/quillmesh-{uuid.uuid4().hex}"
     _MADE.append(folder)
     atexit.register(_drop, spark, folder)
-    df.write.option("compression", "zstd").parquet(f"{folder}/{tag}")
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(f"{folder}/{tag}")
     made = spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
     made.quillmesh_folder = folder
     return made

@@ -51,8 +51,10 @@ GRAM = 16
 SHARD_BYTES = 4 << 20
 SHARDS = 1 << 14
 #: Bytes of documents to a part, at most for few shards; and the bytes that a blob of a part for a shard stands for, at least.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 BLOB_BYTES = 4 << 10
+#: Bytes of a row group of parts and blobs.
+ROW_GROUP = 16 << 20
 #: Shards, at least; and half the least number of parts.
 LEAST = 16
 #: Bytes of documents hashed at a time.
@@ -565,11 +567,11 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
     shards = min(SHARDS, max(LEAST, -(-total // shard_bytes)))
     size = min(max(part_bytes, shards * BLOB_BYTES), -(-total // (2 * LEAST)) + 1)
     with small_batches(spark):
-        parts = materialise(cut_parts(docs, size), "parts")
+        parts = materialise(cut_parts(docs, size), "parts", ROW_GROUP)
     with small_batches(spark, 2):  # rows of a part are megabytes each
         kept = materialise(survivors(name_parts(parts, shards)), "survivors")
         free_shuffles(spark)
-        sent = materialise(pieces(parts, kept, shards), "pieces")
+        sent = materialise(pieces(parts, kept, shards), "pieces", ROW_GROUP)
         discard(kept)
         free_shuffles(spark)
         own = sent.filter("kind = 1").select("kind", "part", "shard", "n", "least", F.col("size").alias("count"), F.col("bytes").alias("ranges"))
