@@ -157,7 +157,7 @@ def test_funnel_and_guards(spark):
     long = "A sentence that is long enough to pass the filter because it holds more than eighty characters. "
     df = spark.createDataFrame([(1, long), (2, "short."), (3, long + "Candidate A Candidate B Candidate C Candidate D spoke.")], "id int, text string")
     got = {r.id: (r.reject_stage, r.reject_reason) for r in G.merge_funnel(df, "text", ["EMO/fake/novice"], F.lit("fake"), F.lit("novice"), F.array(F.lit("EMO"))).collect()}
-    assert got == {1: (None, None), 2: ("quality", "too_short"), 3: ("remap", "too_many_candidates")}
+    assert got == {1: ("candidate_remap", "no_candidate_reference"), 2: ("quality", "too_short"), 3: ("candidate_remap", "too_many_distinct_entities (4 > 3)")}
     assert G.guard_rows(df, 3).count() == 3
     with pytest.raises(Exception, match="more than 2 rows"):
         G.guard_rows(df, 2).collect()
