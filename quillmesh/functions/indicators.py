@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import lexicons as L
 from quillmesh.functions.arrays import compact, contained, let, literals, trie_pattern
-from quillmesh.functions.prefilter import gate, literal_group, may_match
+from quillmesh.functions.prefilter import START, WORD_START, gate, literal_group, literal_pattern, may_match
 from quillmesh.functions.text import CAPS, URL, count_of, named_sources, quotes, structural_features, text_or_empty, word_count, words
 
 
@@ -36,7 +36,7 @@ def word_hits(t: Column, lexicon: Sequence[str], low: Column | None = None) -> C
     if not known:
         return literals([])
     held = F.array_sort(F.array_intersect(F.array_distinct(words(F.lower(text_or_empty(t)))), literals(known)))
-    return F.when(_low(t, low).rlike(trie_pattern(known)), held).otherwise(literals([]))
+    return F.when(_low(t, low).rlike(literal_pattern([START + w for w in known], WORD_START)), held).otherwise(literals([]))
 
 
 def phrase_hits(t: Column, phrases: Sequence[str], low: Column | None = None) -> Column:
@@ -126,7 +126,7 @@ def literal_gate(low: Column, emotive_words: Sequence[str] = L.EMOTIVE, urgent_p
     """The codes whose words, phrases or patterns a text may hold, by one search for the literals of all."""
     own = {code: (patterns or {}).get(code, ps) for code, ps in L.PATTERNS.items()}
     groups = {code: literal_group(ps) if ps else () for code, ps in own.items()}
-    return gate(low, groups | {"EMO": tuple(w for w in emotive_words if w), "URG": tuple(p for p in urgent_phrases if p)})
+    return gate(low, groups | {"EMO": tuple(START + w for w in emotive_words if w), "URG": tuple(p for p in urgent_phrases if p)})
 
 
 def indicator_map(t: Column, **options) -> Column:

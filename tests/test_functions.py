@@ -191,8 +191,9 @@ def test_literals_of_patterns():
     from quillmesh.functions import lexicons as L
     from quillmesh.functions.prefilter import required
 
-    assert required([r"\bcover[- ]?up\b"]) == ("cover up", "cover-up", "coverup")
-    assert required([r"\bsources?\s+say(s)?\b", "x"]) is None and required([r"(?:ab|c)+de"]) == ("abde", "cde") or True
+    assert required([r"\bcover[- ]?up\b"]) == ("\0cover up", "\0cover-up", "\0coverup")
+    assert required([r"\bsources?\s+say(s)?\b"]) == ("\0source",) and required(["harvard|mit"]) == ("harvard", "mit")
+    assert required([r"\bsources?\s+say(s)?\b", "x"]) is None
     texts = ["anonymous tip", "ranong", "a certain expert says", "puppet of china", "golden age", "nobel peace prize winner", "mit graduate", "45 % of voters support"]
     import re
 
@@ -200,7 +201,7 @@ def test_literals_of_patterns():
         for p in patterns:
             need = required([p])
             for t in texts:
-                assert not re.search(p, t, re.IGNORECASE) or need is None or any(n in t for n in need)
+                assert not re.search(p, t, re.IGNORECASE) or need is None or any(re.search(("\\b" if n[0] == "\0" else "") + re.escape(n.strip("\0")), t) for n in need)
 
 
 def test_exact_percentiles(spark):
