@@ -97,15 +97,17 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Fewer rows to an Arrow batch while a stage runs whose rows are whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> Iterator[None]:
+    """Fewer rows, or ``size`` bytes, to an Arrow batch while a stage runs whose rows are whole texts."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key, value in wanted.items() if value}
+    for key in before:
+        spark.conf.set(key, str(wanted[key]))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -42,13 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import discard, free_shuffles, materialise, small_batches, table
-from quillmesh.llm.induced import Disk, suffixes
+from quillmesh.llm.common import Batches, discard, free_shuffles, materialise, small_batches, table
+from quillmesh.llm.induced import WORK, Disk, suffixes
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of text to a shard, about, and the most shards there are: beyond them shards grow.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 SHARDS = 1 << 14
 #: Bytes of documents to a part, at most for few shards; and the bytes that a blob of a part for a shard stands for, at least.
 PART_BYTES = 6 << 20
@@ -62,9 +62,16 @@ CHUNK_BYTES = 256 << 10
 #: Bytes of tuples that a shard holds while it sorts, and bytes of distinct pieces that it folds at a time.
 MEMORY = 128 << 20
 FOLD_BYTES = 64 << 20
-#: Slices of a shard's names that are matched one after the other.
+#: Slices of a shard's names that are matched one after the other, at most, and names that a slice holds at least; powers of two.
 SLICES = 16
+SLICE_NAMES = 1 << 20
+#: Rows and bytes of an Arrow batch of blobs; a row of a part is megabytes.
+BLOB_ROWS = 256
+BATCH_BYTES = 4 << 20
 NULL_ID = (1 << 63) - 1
+#: Windows hashed at a time, and odd factors of their hash.
+HASHED = 256 << 10
+FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def names(buf: np.ndarray) -> np.ndarray:
@@ -102,10 +109,10 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return v[start[ok]], doc[ok], start_in[ok], windows[ok]
 
 
-def blob(kind: pa.Schema, *row) -> pa.RecordBatch:
-    """One row, in which numpy arrays stand for their bytes."""
-    raw = (v.tobytes() if isinstance(v, np.ndarray) else v for v in row)
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(raw, kind, strict=True)], schema=kind)
+def put(out: Batches, *row) -> None:
+    """Adds a row, in which numpy arrays stand for their bytes."""
+    raw = tuple(v.tobytes() if isinstance(v, np.ndarray) else v for v in row)
+    out.add(raw, sum(len(v) for v in raw if isinstance(v, bytes)))
 
 
 def schema_of(numbers: str, blobs: str) -> tuple[pa.Schema, str]:
@@ -210,6 +217,7 @@ def name_parts(parts: DataFrame, shards: int) -> DataFrame:
     """(shard, part, n, name, least, more): a part's names for each shard, sorted, with their least ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches(NAMES)
         for b in batches:
             for row in b.to_pylist():
                 part = Part(row["ids"], row["sizes"], row["raw"], shards)
@@ -217,7 +225,10 @@ def name_parts(parts: DataFrame, shards: int) -> DataFrame:
                 lo, more = part.least()
                 for s in np.flatnonzero(np.diff(part.edges)).tolist():
                     at = slice(int(part.edges[s]), int(part.edges[s + 1]))
-                    yield blob(NAMES, s, row["part"], at.stop - at.start, part.keys[at].astype("<u8"), narrow(lo[at]), np.packbits(more[at]))
+                    put(out, s, row["part"], at.stop - at.start, part.keys[at].astype("<u8"), narrow(lo[at]), np.packbits(more[at]))
+                    if out.full():
+                        yield from out.take()
+        yield from out.take()
 
     return parts.select("part", "ids", "sizes", "raw").mapInArrow(run, NAMES_SQL)
 
@@ -250,18 +261,22 @@ def survivors(names_: DataFrame) -> DataFrame:
         blobs: list[tuple[int, int, int]] = []
         more: list[np.ndarray] = []
         cuts: list[np.ndarray] = []
+        bounds = np.arange(1, SLICES, dtype=np.uint64) * np.uint64((1 << 64) // SLICES)
         for b in batches:
             for row in b.to_pylist():
                 n = row["n"]
                 v = np.frombuffer(row["name"], "<u8")
-                bounds = (np.arange(SLICES + 1, dtype=np.float64) * (2.0**64 / SLICES)).astype(object)
-                cuts.append(np.array([0, *(np.searchsorted(v, np.uint64(int(x))) for x in bounds[1:-1]), n]))
+                cuts.append(np.concatenate([[0], np.searchsorted(v, bounds), [n]]))
                 names_on.add(row["name"])
                 least_on.add(wide(row["least"], n).tobytes())
                 blobs.append((row["part"], row["shard"], n))
                 more.append(np.unpackbits(np.frombuffer(row["more"], np.uint8), count=n).astype(bool))
-        for s in range(SLICES):
-            spans_ = [(k, int(c[s]), int(c[s + 1])) for k, c in enumerate(cuts) if c[s] < c[s + 1]]
+        # few names are matched in fewer slices
+        step = SLICES
+        while step > 1 and sum(n for *_, n in blobs) * step > SLICE_NAMES * SLICES:
+            step //= 2
+        for s in range(0, SLICES, step):
+            spans_ = [(k, int(c[s]), int(c[s + step])) for k, c in enumerate(cuts) if c[s] < c[s + step]]
             if not spans_:
                 continue
             v = np.concatenate([np.frombuffer(names_on.get(k, 8 * a, 8 * z), "<u8") for k, a, z in spans_])
@@ -276,9 +291,13 @@ def survivors(names_: DataFrame) -> DataFrame:
             for k, a, z in spans_:
                 more[k][a:z] = two[at : at + z - a]
                 at += z - a
+        out = Batches(KEPT)
         for (part, shard, n), kept in zip(blobs, more, strict=True):
             if kept.any():
-                yield blob(KEPT, part, shard, n, np.packbits(kept))
+                put(out, part, shard, n, np.packbits(kept))
+                if out.full():
+                    yield from out.take()
+        yield from out.take()
 
     return names_.groupBy("shard").applyInArrow(run, KEPT_SQL)
 
@@ -295,7 +314,7 @@ def pieces(parts: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
     def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         import zstandard
 
-        out = [blob(SENT, 0, 0, 0, 0, b"", b"", b"").slice(0, 0)]
+        out, done = Batches(SENT), []
         press = zstandard.ZstdCompressor(level=1)
         for row in rows.to_pylist() if replies.num_rows else ():
             part = Part(row["ids"], row["sizes"], row["raw"], shards)
@@ -321,11 +340,12 @@ def pieces(parts: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
                 least = np.full(len(folded), NULL_ID)
                 np.minimum.at(least, each, part.ids[part.doc[live[own]]])
                 sizes = np.fromiter(map(len, folded), "<u4", len(folded))
-                out.append(blob(SENT, 0, s, row["part"], len(folded), sizes, narrow(least), press.compress(b"".join(folded))))
+                put(out, 0, s, row["part"], len(folded), sizes, narrow(least), press.compress(b"".join(folded)))
                 number[own] = first + each
                 first += len(folded)
-            out.append(blob(SENT, 1, None, row["part"], len(live), size.astype("<u4"), part.doc[live].astype("<u4"), press.compress(np.column_stack([part.start[live], number]).astype("<i8").tobytes())))
-        return pa.Table.from_batches(out)
+            put(out, 1, None, row["part"], len(live), size.astype("<u4"), part.doc[live].astype("<u4"), press.compress(np.column_stack([part.start[live], number]).astype("<i8").tobytes()))
+            done += out.take()
+        return pa.Table.from_batches(done, SENT)
 
     return parts.select("part", "ids", "sizes", "raw").groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(run, SENT_SQL)
 
@@ -350,6 +370,112 @@ class Pieces:
         self.n += len(block)
         self.k += len(texts)
 
+    def take(self, symbols: np.ndarray, lo: np.ndarray, sizes: np.ndarray, ids: np.ndarray, step: int) -> None:
+        """Adds the spans of ``symbols`` from ``lo`` on, about ``step`` symbols at a time."""
+        ends = np.cumsum(sizes + 1)
+        self.starts[: len(lo)] = ends - sizes - 1
+        self.ids[: len(lo)] = ids
+        first = 0
+        while first < len(lo):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + step)))
+            n = sizes[first:last] + 1
+            at = np.repeat(lo[first:last] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            block = symbols[at]
+            block[np.cumsum(n) - 1] = 1
+            self.symbols[self.n : self.n + len(block)] = block
+            self.n += len(block)
+            first = last
+        self.k = len(lo)
+
+
+def window_hashes(symbols: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH symbols from each place on, by doubling; symbols are bytes plus 2."""
+    h = symbols.astype(np.uint64)
+    n, out, done = 1, None, 0
+    while n <= LENGTH:
+        if LENGTH & n:
+            # spans of 2, 16 and 32 symbols make up the 50
+            out = h if out is None else (out[: len(h) - done] * FACTORS[0]) ^ h[done:]
+            done += n
+        if n * 2 <= LENGTH:
+            a = h[:-n] * FACTORS[1]
+            a += h[n:]
+            a ^= a >> np.uint64(29)
+            a *= FACTORS[2]
+            h = a
+        n *= 2
+    out = out[: len(symbols) - LENGTH + 1] * FACTORS[2]
+    return out ^ (out >> np.uint64(32))
+
+
+def standing_twice(own: Pieces, disk: Disk) -> tuple[np.ndarray, np.ndarray] | None:
+    """Runs (from, to) of places whose windows stand twice in a shard's pieces; None if too many may.
+
+    A table by window hash is filled once to see which of its bits are met
+    twice; the hashes that have those bits are then compared whole. Equal
+    windows have equal hashes, so that none that stands twice is left out; the
+    sort decides on what the hashes leave.
+    """
+    bits = min(max(own.n * 4, 1 << 16), disk.memory // 4).bit_length() - 1
+    shift = np.uint64(64 - bits)
+    last = own.n - LENGTH + 1
+
+    def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, hash) of the windows that hold no end of a piece."""
+        for k in range(0, last, HASHED):
+            block = np.asarray(own.symbols[k : min(k + HASHED, last) + LENGTH - 1])
+            ends = np.concatenate([[0], np.cumsum(block == 1, dtype=np.int32)])
+            at = np.flatnonzero(ends[LENGTH:] == ends[:-LENGTH])
+            yield at + k, window_hashes(block)[at]
+
+    met, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+    for _, h in windows():
+        h = np.sort(h >> shift)
+        twice[h[met[h]]] = True
+        twice[h[1:][h[1:] == h[:-1]]] = True
+        met[h] = True
+    del met
+    places, hashes, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for at, h in windows():
+        hit = np.flatnonzero(twice[h >> shift])
+        places.append(at[hit])
+        hashes.append(h[hit])
+        n += len(hit)
+        if n > disk.memory // WORK:
+            return None
+    del twice
+    place, h = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    hit = np.zeros(n, bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    place = place[hit]
+    cut = np.flatnonzero(np.diff(place) > 1)
+    return (place[np.append(0, cut + 1)], place[np.append(cut, -1)] + 1) if len(place) else (place, place)
+
+
+def flags_of(own: Pieces, disk: Disk) -> np.ndarray:
+    """``held_elsewhere``, for which only the runs of windows that may stand twice are sorted."""
+    runs = standing_twice(own, disk)
+    if runs is None:
+        return held_elsewhere(own, disk)
+    lo, hi = runs
+    flags = disk.array(own.n + 1, bool)
+    if not len(lo):
+        return flags
+    sizes = hi - lo + LENGTH - 1
+    few = Pieces(disk, int(sizes.sum()), len(lo))
+    ids = own.ids[np.searchsorted(own.starts[: own.k], lo, side="right") - 1]
+    few.take(own.symbols, lo, sizes, ids, disk.block)
+    found = held_elsewhere(few, disk)
+    a, e = runs_of_flags(found, disk.block)
+    run = np.searchsorted(few.starts[: few.k], a, side="right") - 1
+    moved = lo[run] - few.starts[run]
+    for x, y in zip((a + moved).tolist(), (e + moved).tolist(), strict=True):
+        flags[x:y] = True
+    return flags
+
 
 def held_elsewhere(own: Pieces, disk: Disk) -> np.ndarray:
     """A flag for each symbol: whether the window that starts there also stands in a piece of a smaller id."""
@@ -457,9 +583,10 @@ def matches(sent: DataFrame, memory: int = MEMORY, fold_bytes: int = FOLD_BYTES)
                     number[k][j] = own.k + d
             if folded:
                 own.add(list(folded), np.array(low, np.int64))
-        flags = held_elsewhere(own, disk) if own.k else np.zeros(1, bool)
+        flags = flags_of(own, disk) if own.k else np.zeros(1, bool)
         lo, hi = runs_of_flags(flags, disk.block)
         of = np.searchsorted(own.starts[: own.k], lo, side="right") - 1
+        out = Batches(FOUND)
         for k, (part, shard, _) in enumerate(blobs):
             least = np.frombuffer(least_on.get(k), "<i8")
             low = own.ids[number[k]]
@@ -472,7 +599,10 @@ def matches(sent: DataFrame, memory: int = MEMORY, fold_bytes: int = FOLD_BYTES)
             at = np.repeat(heads, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             base = own.starts[of[at]]
             pairs = np.column_stack([lo[at] - base, hi[at] - base + LENGTH - 1])
-            yield blob(FOUND, 0, part, shard, len(least), narrow(low), n_runs.astype("<u4"), pairs.astype("<u4"))
+            put(out, 0, part, shard, len(least), narrow(low), n_runs.astype("<u4"), pairs.astype("<u4"))
+            if out.full():
+                yield from out.take()
+        yield from out.take()
         disk.close()
 
     return sent.filter("kind = 0").select("shard", "part", "n", "size", "least", "bytes").groupBy("shard").applyInArrow(run, FOUND_SQL)
@@ -568,7 +698,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
     size = min(max(part_bytes, shards * BLOB_BYTES), -(-total // (2 * LEAST)) + 1)
     with small_batches(spark):
         parts = materialise(cut_parts(docs, size), "parts", ROW_GROUP)
-    with small_batches(spark, 2):  # rows of a part are megabytes each
+    with small_batches(spark, BLOB_ROWS, BATCH_BYTES):
         kept = materialise(survivors(name_parts(parts, shards)), "survivors")
         free_shuffles(spark)
         sent = materialise(pieces(parts, kept, shards), "pieces", ROW_GROUP)

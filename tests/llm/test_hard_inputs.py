@@ -168,3 +168,25 @@ def test_a_family_larger_than_a_chunk(spark, monkeypatch):
         rows.append((k, " ".join(text), "en", "s0", 0))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {r.doc_id for r in shingles.keep_first(docs).collect()} == kept(rows)
+
+
+def test_only_windows_that_stand_twice_are_sorted(monkeypatch):
+    rng = np.random.default_rng(8)
+    raw = [rng.integers(0, 256, int(n), dtype=np.uint8).tobytes() for n in rng.integers(50, 300, 400)]
+    raw += [b"a" * 300, b"ab" * 200, b"a" * 90, b"\0" * 77, b"\xff" * 60]
+    raw += [raw[k][:30] + raw[k + 1][: 45 + k] + raw[k + 2] for k in range(30)]
+    ids = rng.integers(0, 200, len(raw))
+    for memory in (1 << 14, 16 << 20):
+        monkeypatch.setattr(repeats, "HASHED", 1000)
+        disk = induced.Disk(memory)
+        own = repeats.Pieces(disk, sum(map(len, raw)), len(raw))
+        own.add(raw, ids)
+        wanted = np.array(repeats.held_elsewhere(own, disk))
+        seen = []
+        plain = repeats.held_elsewhere
+        monkeypatch.setattr(repeats, "held_elsewhere", lambda p, d: seen.append(p.n) or plain(p, d))  # noqa: B023
+        assert (np.array(repeats.flags_of(own, disk)) == wanted).all() and wanted.any()
+        monkeypatch.undo()
+        # what cannot be told apart within the memory is sorted whole
+        assert seen == [own.n] if memory < own.n else seen[0] < own.n // 2
+        disk.close()
