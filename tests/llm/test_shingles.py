@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillmesh.llm import shingles
+from quillmesh.llm import shingles, simhash
 
 
 def words_of(text: str | None) -> set:
@@ -74,3 +75,16 @@ def test_components_are_exact():
     sets = [words_of(rows[i][1]) for i in order]
     assert all(comp[a] == comp[b] for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b]))
     assert len(set(comp.tolist())) == len(kept(rows))
+
+
+def test_stage_takes_what_the_trie_self_join_links(spark, monkeypatch):
+    """Without any bands, near copies within the budget of op9 are still found, and exact similarity decides."""
+    rows = near_rows()
+    prints = [simhash.fingerprint(r[1].encode()) for r in rows]
+    sets = [words_of(r[1]) for r in rows]
+    linked = {b for b in range(len(rows)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= simhash.BUDGET and near(sets[a], sets[b]) and sets[a] != sets[b]}
+    plain = shingles.with_class
+    monkeypatch.setattr(shingles, "with_class", lambda *a: plain(*a).withColumn("bands", F.array().cast("array<long>")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert linked and got & {rows[b][0] for b in linked} == set() and got >= kept(rows)
